@@ -44,7 +44,7 @@ def snapshot_features(df: DataFrame, variant: str = "training") -> DataFrame:
     tenure, total, monthly = col("tenure"), col("TotalCharges"), col("MonthlyCharges")
     combo = ((col("Contract") == "Month-to-month") & (col("PaymentMethod") == "Electronic check")).cast("int")
     if variant == "training":
-        avg = total / (tenure + F.lit(1))
+        avg = F.try_divide(total, tenure + F.lit(1))
         services = row_sum([F.when(col(s) == "Yes", 1).otherwise(0) for s in ADDON_SERVICES])
         new = [
             avg.alias("AvgMonthlySpend"),
@@ -55,7 +55,7 @@ def snapshot_features(df: DataFrame, variant: str = "training") -> DataFrame:
             (tenure <= NEW_CUSTOMER_MAX_TENURE).cast("int").alias("IsNewCustomer"),
         ]
     elif variant == "serving":
-        avg = total / F.when(tenure == 0, F.lit(1)).otherwise(tenure)
+        avg = F.try_divide(total, F.when(tenure == 0, F.lit(1)).otherwise(tenure))
         phone = col("PhoneService")
         phone_yes = (F.when(phone == "Yes", 1).otherwise(0) if _is_text(df, "PhoneService")
                      else F.coalesce(phone.cast("int"), F.lit(0)))

@@ -214,7 +214,7 @@ def i2_null_counts(spark, sf_dir):
 
 
 @register("slice_went_quiet_churn", with_fx(
-    f"select \"WentQuiet\", count(*) as customers, sum(\"Churn\") as churned, "
+    f"select \"WentQuiet\", count(*) as customers, cast(sum(\"Churn\") as bigint) as churned, "
     f"round(avg(cast(\"Churn\" as double)), 6) as churn_rate "
     f"from (select \"Churn\", {CHANGE_SQL} from prepared) group by \"WentQuiet\"", "fx2", extra=PREPARED))
 def slice_went_quiet_churn(spark, sf_dir):
