@@ -42,25 +42,27 @@ def _slice_column(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str
 
 
 def running_totals(df: DataFrame, key: str, measures: list[str], descending: bool = False,
-                   buckets: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``measures`` over the global order of ``key``.
+                   buckets: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """Inclusive running sums of ``measures`` over the order of ``key`` (per ``by`` group).
 
-    ``df`` must hold one row per distinct ``key`` (collapse it first, see
-    :func:`distinct_totals`).  Output columns: the input plus ``cum_<m>``.
+    ``df`` must hold one row per distinct (``by``, ``key``) (collapse it first,
+    see :func:`distinct_totals`).  Output columns: the input plus ``cum_<m>``.
+    The offsets table holds one row per (group, slice); groups are few
+    (models, labels) in every use here.
     """
+    by = list(by or [])
     spark = df.sparkSession
     n = min(MAX_BUCKETS, buckets or shuffle_width(spark))
     tagged, s = _slice_column(df, key, n)
     if descending:
         tagged = tagged.withColumn(s, F.lit(n) - F.col(s))
-    totals = tagged.groupBy(s).agg(*[F.sum(m).alias(f"_tot_{m}") for m in measures])
-    # bounded table (<= n rows): a single ordered window over it is cheap
-    before = Window.orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(s, *[F.coalesce(F.sum(f"_tot_{m}").over(before), F.lit(0)).alias(f"_off_{m}")
-                                 for m in measures])
+    totals = tagged.groupBy(*by, s).agg(*[F.sum(m).alias(f"_tot_{m}") for m in measures])
+    before = Window.partitionBy(*by).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, s, *[F.coalesce(F.sum(f"_tot_{m}").over(before), F.lit(0))
+                                      .alias(f"_off_{m}") for m in measures])
     order = F.col(key).desc() if descending else F.col(key).asc()
-    within = Window.partitionBy(s).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.join(F.broadcast(offsets), s)
+    within = Window.partitionBy(*by, s).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = tagged.join(F.broadcast(offsets), [*by, s])
     return out.select(*df.columns, *[(F.sum(m).over(within) + F.col(f"_off_{m}")).alias(f"cum_{m}")
                                      for m in measures])
 
