@@ -1,6 +1,6 @@
 """Registered queries: importing this package registers every query module."""
 
-from churnkit.plans import account_queries, eval_queries, store_queries, usage_queries  # noqa: F401
+from churnkit.plans import account_queries, eval_queries, explain_queries, store_queries, usage_queries  # noqa: F401
 from churnkit.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
