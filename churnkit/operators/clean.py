@@ -108,11 +108,11 @@ def fit_vocabulary(df: DataFrame, cols: list[str], drop_first: bool = True,
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), col(c).cast("string").alias("v"))
                                           for c in cols])).alias("p")).select("p.k", "p.v")
     distinct = pairs.filter(F.col("v").isNotNull()).distinct()
-    n = distinct.count()
-    if n > max_categories:
-        raise ValueError(f"{n} categories exceed max_categories={max_categories}")
+    rows = distinct.limit(max_categories + 1).collect()  # one job; the limit is the size check
+    if len(rows) > max_categories:
+        raise ValueError(f"more than max_categories={max_categories} categories")
     found: dict[str, list[str]] = {c: [] for c in cols}
-    for r in distinct.collect():
+    for r in rows:
         found[r["k"]].append(r["v"])
     kept = {}
     for c in cols:

@@ -19,15 +19,18 @@ EPS = 1e-10            # F1 denominator guard of the threshold search
 DEFAULT_THRESHOLD = 0.5
 
 
-def pr_curve(df: DataFrame, prob: str = "prob", label: str = "label", by: list[str] | None = None) -> DataFrame:
+def pr_curve(df: DataFrame, prob: str = "prob", label: str = "label", by: list[str] | None = None,
+             score_range: tuple[float, float] | None = (0.0, 1.0)) -> DataFrame:
     """V1: one point per distinct score t (pred = score >= t), per ``by`` group.
 
-    Columns: by..., threshold, tp, fp, precision, recall, f1.
+    Columns: by..., threshold, tp, fp, precision, recall, f1.  Scores are
+    probabilities by default (fixed slices over [0, 1]); pass
+    ``score_range=None`` for unbounded scores (quantile slices).
     """
     by = list(by or [])
     pts = df.groupBy(*[col(b) for b in by], col(prob).alias("threshold")).agg(
         F.sum(col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("cnt"))
-    cum = running_totals(pts, "threshold", ["pos", "cnt"], descending=True, by=by)
+    cum = running_totals(pts, "threshold", ["pos", "cnt"], descending=True, by=by, value_range=score_range)
     totals = df.groupBy(*[col(b) for b in by]).agg(F.sum(col(label).cast("long")).alias("_P"))
     j = cum.join(F.broadcast(totals), by) if by else cum.crossJoin(F.broadcast(totals))
     tp = F.col("cum_pos")

@@ -145,13 +145,20 @@ def fixture_linear_score() -> LinearScore:
 
 
 def linear_contributions(df: DataFrame, model: LinearScore, prob: str = "churn_probability",
-                         out: str = "contribs") -> DataFrame:
+                         out: str = "contribs", with_text: bool = False) -> DataFrame:
     """Per-row contribution array and probability (exact Shapley values of a
-    linear model with independent features, relative to the centres)."""
+    linear model with independent features, relative to the centres).
+
+    ``with_text`` adds each element's description, strength and sentence.
+    Feature names are known when the plan is built, so these are plain
+    (code-generated) expressions on that feature's own columns; leave them
+    out when only factors and actions are needed.
+    """
     items, z = [], F.lit(model.intercept)
     for name, value, x, coef, centre in model.terms:
         c = model.contribution(x, coef, centre)
-        items.append(F.struct(F.lit(name).alias("feature"), value.cast("double").alias("value"),
+        items.append(annotated_item(name, value.cast("double"), c) if with_text else
+                     F.struct(F.lit(name).alias("feature"), value.cast("double").alias("value"),
                               c.alias("contribution")))
         z = z + c
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
@@ -223,22 +230,50 @@ def sentence(feature: Column, value: Column, contribution: Column) -> Column:
     return F.when(is_ranged(feature) & value.isNotNull(), ranged).otherwise(plain)
 
 
+def sentence_static(name: str, value: Column, contribution: Column) -> Column:
+    """X10 for a feature whose name is known when the plan is built."""
+    verb = F.when(contribution > 0, F.lit("increases")).otherwise(F.lit("reduces"))
+    desc = FEATURE_DESCRIPTIONS.get(name, name.replace("_", " "))
+    plain = F.concat(F.lit(desc.capitalize() + " "), strength(contribution), F.lit(" "), verb,
+                     F.lit(" churn risk."))
+    if name not in NUMERICAL_RANGES:
+        return plain
+    ranged = F.concat(F.lit("Their "), value_phrase(F.lit(name), value), F.lit(f" ({desc}) "),
+                      strength(contribution), F.lit(" "), verb, F.lit(" churn risk."))
+    return F.when(value.isNotNull(), ranged).otherwise(plain)
+
+
+def annotated_item(name: str, value: Column, contribution: Column) -> Column:
+    """One contribution element with its text fields (static feature name)."""
+    desc = FEATURE_DESCRIPTIONS.get(name, name.replace("_", " "))
+    return F.struct(F.lit(name).alias("feature"), value.alias("value"), contribution.alias("contribution"),
+                    F.lit(desc).alias("description"), strength(contribution).alias("strength"),
+                    sentence_static(name, value, contribution).alias("sentence"))
+
+
+def annotate(contribs: Column) -> Column:
+    """Text fields for arrays whose feature names are only known per row
+    (``array<struct<feature, value, contribution>>``)."""
+    return F.transform(contribs, lambda x: F.struct(
+        x["feature"].alias("feature"), x["value"].alias("value"), x["contribution"].alias("contribution"),
+        describe(x["feature"]).alias("description"), strength(x["contribution"]).alias("strength"),
+        sentence(x["feature"], x["value"], x["contribution"]).alias("sentence")))
+
+
 # ---------------------------------------------------------------- factors and actions
 
 def _sorted(contribs: Column, key: str) -> Column:
-    """Contributions sorted by ``key`` descending ('signed' or 'abs'), ties by feature name."""
+    """Elements sorted by ``key`` descending ('signed' or 'abs'), ties by feature name."""
     def k(x):
         c = x["contribution"]
         return -c if key == "signed" else -F.abs(c)
-    keyed = F.transform(contribs, lambda x: F.struct(k(x).alias("k"), x["feature"].alias("feature"),
-                                                     x["value"].alias("value"),
-                                                     x["contribution"].alias("contribution")))
+    keyed = F.transform(contribs, lambda x: F.struct(k(x).alias("k"), x.alias("item")))
     return F.sort_array(keyed)
 
 
 def top_items(contribs: Column, n: int, key: str = "signed") -> Column:
-    """Top n contribution structs (X5 signed, X11 absolute)."""
-    return F.slice(_sorted(contribs, key), 1, n)
+    """Top n contribution elements (X5 signed, X11 absolute)."""
+    return F.transform(F.slice(_sorted(contribs, key), 1, n), lambda x: x["item"])
 
 
 def top_factors(contribs: Column, n: int = BATCH_TOP_N) -> Column:
@@ -259,49 +294,69 @@ def recommend(factors: Column) -> Column:
     return F.coalesce(F.try_element_at(actions, F.try_element_at(hits, F.lit(1))), F.lit(DEFAULT_ACTION))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element transform),
+    so an expensive sub-expression is not copied into every place it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def reason_text(contribs: Column, n: int = REASON_TOP_N) -> Column:
-    """X11: the plain-English explanation over the top n absolute contributions."""
-    top = top_items(contribs, n, "abs")
-    pos = F.filter(top, lambda x: x["contribution"] > 0)
-    neg = F.filter(top, lambda x: x["contribution"] < 0)
+    """X11: the plain-English explanation over the top n absolute contributions.
+
+    ``contribs`` must carry the text fields (:func:`annotated_item` or
+    :func:`annotate`).
+    """
+    def body(top):
+        pos = F.filter(top, lambda x: x["contribution"] > 0)
+        neg = F.filter(top, lambda x: x["contribution"] < 0)
+
+        def lines(items):
+            return F.transform(items, lambda x: F.concat(F.lit(BULLET), x["sentence"]))
 
-    def lines(items):
-        return F.transform(items, lambda x: F.concat(F.lit(BULLET), sentence(x["feature"], x["value"],
-                                                                             x["contribution"])))
+        def header(items, one, many):
+            return (F.when(F.size(items) == 0, F.array().cast("array<string>"))
+                    .when(F.size(items) == 1, F.array(F.lit(one))).otherwise(F.array(F.lit(many))))
 
-    def header(items, one, many):
-        return (F.when(F.size(items) == 0, F.array().cast("array<string>"))
-                .when(F.size(items) == 1, F.array(F.lit(one))).otherwise(F.array(F.lit(many))))
+        close = (F.when((F.size(pos) > 0) & (F.size(neg) > 0), F.lit(CLOSE_MIXED))
+                 .when(F.size(pos) > 0, F.lit(CLOSE_POS)).otherwise(F.lit(CLOSE_NEG)))
+        parts = F.concat(header(pos, POS_ONE, POS_MANY), lines(pos), header(neg, NEG_ONE, NEG_MANY),
+                         lines(neg), F.array(close))
+        return F.array_join(parts, "\n")
 
-    close = (F.when((F.size(pos) > 0) & (F.size(neg) > 0), F.lit(CLOSE_MIXED))
-             .when(F.size(pos) > 0, F.lit(CLOSE_POS)).otherwise(F.lit(CLOSE_NEG)))
-    parts = F.concat(header(pos, POS_ONE, POS_MANY), lines(pos), header(neg, NEG_ONE, NEG_MANY), lines(neg),
-                     F.array(close))
-    return F.array_join(parts, "\n")
+    return _let(top_items(contribs, n, "abs"), body)
 
 
 def summary_text(contribs: Column, prob: Column) -> Column:
     """One line from the largest absolute contribution and the probability."""
-    top = F.element_at(_sorted(contribs, "abs"), 1)
     level = (F.when(prob > SUMMARY_HIGH, F.lit("high")).when(prob > SUMMARY_MODERATE, F.lit("moderate"))
              .otherwise(F.lit("low")))
     pct = F.concat(F.regexp_replace(F.format_number(prob * F.lit(100.0), 1), ",", ""), F.lit("%"))
-    head = F.concat(F.lit("This customer has "), level, F.lit(" churn risk ("), pct, F.lit("). Their "),
-                    describe(top["feature"]), F.lit(" "), strength(top["contribution"]))
-    return F.when(top["contribution"] > 0, F.concat(head, F.lit(" increases their likelihood to leave.")))\
-        .otherwise(F.concat(head, F.lit(" helps retain them.")))
+
+    def body(top):
+        head = F.concat(F.lit("This customer has "), level, F.lit(" churn risk ("), pct, F.lit("). Their "),
+                        top["description"], F.lit(" "), top["strength"])
+        return F.when(top["contribution"] > 0, F.concat(head, F.lit(" increases their likelihood to leave.")))\
+            .otherwise(F.concat(head, F.lit(" helps retain them.")))
+
+    return _let(F.element_at(top_items(contribs, 1, "abs"), 1), body)
 
 
 def explain_frame(df: DataFrame, id_col: str, contribs: str = "contribs", prob: str = "churn_probability",
                   threshold: float = 0.5) -> DataFrame:
-    """X13 inputs: per customer the batch fields and the explanation texts."""
+    """Per customer: level, top 3 factors, action, reason and summary.
+
+    ``contribs`` must carry the text fields.  Factors are computed in their
+    own projection and referenced twice, so the optimizer keeps them as one
+    column instead of sorting the contributions twice.
+    """
     from churnkit.operators.store import risk_level
 
-    factors = top_factors(F.col(contribs), BATCH_TOP_N)
-    return df.select(col(id_col), F.col(prob), risk_level(prob, threshold).alias("risk_level"),
-                     factors.alias("top_factors"), recommend(factors).alias("recommended_action"),
-                     reason_text(F.col(contribs)).alias("reason"), summary_text(F.col(contribs), F.col(prob))
-                     .alias("summary"))
+    staged = df.select(col(id_col), F.col(prob), F.col(contribs),
+                       top_factors(F.col(contribs), BATCH_TOP_N).alias("top_factors"))
+    return staged.select(col(id_col), F.col(prob), risk_level(prob, threshold).alias("risk_level"),
+                         "top_factors", recommend(F.col("top_factors")).alias("recommended_action"),
+                         reason_text(F.col(contribs)).alias("reason"),
+                         summary_text(F.col(contribs), F.col(prob)).alias("summary"))
 
 
 def risk_report(df: DataFrame, id_col: str, contribs: str = "contribs", prob: str = "churn_probability",
@@ -309,8 +364,9 @@ def risk_report(df: DataFrame, id_col: str, contribs: str = "contribs", prob: st
     """Id, probability to 4 decimals, level, top 3 factors, action; highest first."""
     from churnkit.operators.store import risk_level
 
-    factors = top_factors(F.col(contribs), BATCH_TOP_N)
-    return df.select(col(id_col).alias("customer_id"), F.round(F.col(prob), 4).alias("churn_probability"),
-                     risk_level(prob, threshold).alias("risk_level"), factors.alias("top_factors"),
-                     recommend(factors).alias("recommended_action")).orderBy(
+    staged = df.select(col(id_col).alias("customer_id"), F.col(prob),
+                       top_factors(F.col(contribs), BATCH_TOP_N).alias("top_factors"))
+    return staged.select("customer_id", F.round(F.col(prob), 4).alias("churn_probability"),
+                         risk_level(prob, threshold).alias("risk_level"), "top_factors",
+                         recommend(F.col("top_factors")).alias("recommended_action")).orderBy(
         F.col("churn_probability").desc(), F.col("customer_id"))

@@ -5,14 +5,17 @@ totals over a global order are computed here in two levels instead:
 
 1. collapse the input to distinct keys (hash aggregate with map-side
    combine, so a hot key costs one row per mapper);
-2. cut the key range into ``buckets`` slices at approximate quantiles of the
-   distinct keys (``percentile_approx`` is a mergeable sketch);
-3. per-slice totals (at most ``buckets`` rows) -> exclusive prefix offsets;
-   the offsets table is bounded by ``buckets`` and is the only broadcast;
+2. cut the key range into order-preserving slices;
+3. per-slice totals (one row per present slice, a bounded number) ->
+   exclusive prefix offsets; the offsets table is the only broadcast;
 4. a window partitioned by slice adds the in-slice running sum to the
    slice's offset.
 
 The split points only balance the work; results are exact whatever they are.
+Slices are order-preserving functions of the key computed per row: fixed
+width for keys of a known range (probabilities), binade + mantissa prefix
+for any other double, or (on request) cuts at sampled quantiles, which cost
+one extra pass but balance any distribution.
 """
 
 from __future__ import annotations
@@ -20,9 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnkit.session import shuffle_width
-
 MAX_BUCKETS = 20000  # bound of the broadcast offsets table
+RANGE_BUCKETS = 4096  # fixed slices over a known key range
 
 
 def _slice_column(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
@@ -41,8 +43,40 @@ def _slice_column(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str
     return tagged.withColumn("_slice", F.col("_slice_d").cast("int")).drop("_key_d", "_slice_d"), "_slice"
 
 
+def _binade_slice_column(df: DataFrame, key: str, sub_bits: int = 6) -> tuple[DataFrame, str]:
+    """Order-preserving slices of any double, computed per row (no sampling pass).
+
+    Positive values: (binade e = floor(log2 v), first ``sub_bits`` mantissa
+    bits); negatives mirrored below zero.  ``log2`` is monotone and division
+    by 2^e is exact, so the slice number never decreases as the key grows.
+    Present slices are at most 2 x 2100 x 2^sub_bits, which bounds the
+    broadcast offsets table.
+    """
+    subs = 1 << sub_bits
+    v = F.col(key).cast("double")
+    a = F.abs(v)
+    e = F.floor(F.log2(a))
+    sub = F.least(F.greatest(F.floor((a / F.pow(F.lit(2.0), e) - F.lit(1.0)) * F.lit(subs)), F.lit(0)),
+                  F.lit(subs - 1))
+    mag = (e + F.lit(1100)) * F.lit(subs) + sub          # in [0, 2200 * subs)
+    span = 2200 * subs
+    inf = float("inf")
+    s = (F.when(F.isnan(v), F.lit(3 * span + 1)).when(v == inf, F.lit(3 * span))
+         .when(v == -inf, F.lit(-1)).when(v > 0, F.lit(2 * span) + mag).when(v == 0, F.lit(span))
+         .otherwise(F.lit(span) - F.lit(1) - mag)).cast("long")
+    return df.withColumn("_slice", s), "_slice"
+
+
+def _range_slice_column(df: DataFrame, key: str, buckets: int, lo: float, hi: float) -> tuple[DataFrame, str]:
+    """Uniform slices of a known value range (no sampling pass)."""
+    width = (hi - lo) / buckets
+    s = F.floor((F.col(key).cast("double") - F.lit(lo)) / F.lit(width)).cast("int")
+    return df.withColumn("_slice", F.least(F.greatest(s, F.lit(0)), F.lit(buckets - 1))), "_slice"
+
+
 def running_totals(df: DataFrame, key: str, measures: list[str], descending: bool = False,
-                   buckets: int | None = None, by: list[str] | None = None) -> DataFrame:
+                   buckets: int | None = None, by: list[str] | None = None,
+                   value_range: tuple[float, float] | None = None) -> DataFrame:
     """Inclusive running sums of ``measures`` over the order of ``key`` (per ``by`` group).
 
     ``df`` must hold one row per distinct (``by``, ``key``) (collapse it first,
@@ -51,11 +85,19 @@ def running_totals(df: DataFrame, key: str, measures: list[str], descending: boo
     (models, labels) in every use here.
     """
     by = list(by or [])
-    spark = df.sparkSession
-    n = min(MAX_BUCKETS, buckets or shuffle_width(spark))
-    tagged, s = _slice_column(df, key, n)
+    if value_range is not None:
+        # keys in a known range (scores in [0, 1]): fixed slices, one plan, no extra pass
+        n = min(MAX_BUCKETS, buckets or RANGE_BUCKETS)
+        tagged, s = _range_slice_column(df, key, n, *value_range)
+    elif buckets:
+        # explicit bucket count: cut at sampled quantiles (one extra pass)
+        n = min(MAX_BUCKETS, buckets)
+        tagged, s = _slice_column(df, key, n)
+    else:
+        n = 0
+        tagged, s = _binade_slice_column(df, key)
     if descending:
-        tagged = tagged.withColumn(s, F.lit(n) - F.col(s))
+        tagged = tagged.withColumn(s, -F.col(s))
     totals = tagged.groupBy(*by, s).agg(*[F.sum(m).alias(f"_tot_{m}") for m in measures])
     before = Window.partitionBy(*by).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, s, *[F.coalesce(F.sum(f"_tot_{m}").over(before), F.lit(0))

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from churnkit.operators import explain as ex
 from churnkit.operators.accounts import encode_accounts
 from churnkit.operators.counterfactual import best_change, counterfactuals, scenario_rows
-from churnkit.plans.account_queries import ACC_CTES, q
+from churnkit.operators.clean import Vocabulary
+from churnkit.plans.account_queries import ACC_CTES, SQL_VOCAB, q
 from churnkit.plans.fixture_sql import with_fx
 from churnkit.plans.registry import register
 from churnkit.sources import fixtures
 
 REPORT_THRESHOLD = 0.5
+# Scoring uses the vocabulary stored with the model (fixed at fit time), not one
+# refitted on the rows being scored.
+BUNDLE_VOCAB = Vocabulary({k: list(v) for k, v in SQL_VOCAB.items()})
 
 # (feature, value sql, model input sql, coef, centre) -- mirrors explain.fixture_linear_score
 TERMS = [
@@ -108,9 +112,9 @@ REASON_SQL = (
     "where rk <= 3) group by \"customerID\")")
 
 
-def scored_accounts(spark, sf_dir):
-    encoded, _ = encode_accounts(fixtures.accounts(spark, sf_dir))
-    return ex.linear_contributions(encoded, ex.fixture_linear_score())
+def scored_accounts(spark, sf_dir, with_text=False):
+    encoded, _ = encode_accounts(fixtures.accounts(spark, sf_dir), vocab=BUNDLE_VOCAB)
+    return ex.linear_contributions(encoded, ex.fixture_linear_score(), with_text=with_text)
 
 
 def long_contribs(spark, sf_dir):
@@ -177,7 +181,7 @@ def x10_sentence(spark, sf_dir):
 
 @register("x11_reason_text", with_fx(REASON_SQL, "acc", extra=EX_CTES[:7]))
 def x11_reason_text(spark, sf_dir):
-    s = scored_accounts(spark, sf_dir)
+    s = scored_accounts(spark, sf_dir, with_text=True)
     return s.select("customerID", ex.reason_text(F.col("contribs")).alias("reason"))
 
 
@@ -189,7 +193,7 @@ def x11_reason_text(spark, sf_dir):
     "leave.' else ' helps retain them.' end as summary from absr a join lin l on a.\"customerID\" = l.\"customerID\" "
     "where a.rk = 1", "acc", extra=EX_CTES[:7]))
 def x12_summary_text(spark, sf_dir):
-    s = scored_accounts(spark, sf_dir)
+    s = scored_accounts(spark, sf_dir, with_text=True)
     return s.select("customerID", ex.summary_text(F.col("contribs"), F.col("churn_probability")).alias("summary"))
 
 
@@ -217,8 +221,7 @@ def _score_fn(vocab):
 
 def counterfactual_frame(spark, sf_dir, with_current=False):
     raw = fixtures.accounts(spark, sf_dir)
-    _, vocab = encode_accounts(raw)
-    return counterfactuals(raw, _score_fn(vocab), with_current=with_current)
+    return counterfactuals(raw, _score_fn(BUNDLE_VOCAB), with_current=with_current)
 
 
 SCEN_VALUES = ", ".join(
