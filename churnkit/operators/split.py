@@ -29,14 +29,14 @@ def class_rank(df: DataFrame, label: str, id_col: str, seed: int = 42) -> DataFr
     """Adds ``_rank`` (1-based rank inside the class by hash order) and ``_class_n``."""
     h = hash_key(id_col, seed)
     tagged = df.withColumn("_h", h).withColumn("_slice", F.substring("_h", 1, SLICE_HEX_DIGITS))
-    sizes = tagged.groupBy(col(label).alias("_cls"), "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_cls").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_cls")
-    offsets = sizes.select("_cls", F.col("_slice").alias("_oslice"),
+    sizes = tagged.groupBy(col(label).alias("_rk_cls"), "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_rk_cls").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_rk_cls")
+    offsets = sizes.select("_rk_cls", F.col("_slice").alias("_oslice"),
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
                            F.sum("_n").over(whole).alias("_class_n"))
     # classes x slices rows: bounded broadcast
-    j = tagged.join(F.broadcast(offsets), col(label).eqNullSafe(F.col("_cls")) & (F.col("_slice") == F.col("_oslice")))
+    j = tagged.join(F.broadcast(offsets), col(label).eqNullSafe(F.col("_rk_cls")) & (F.col("_slice") == F.col("_oslice")))
     within = Window.partitionBy(col(label), F.col("_slice")).orderBy("_h", col(id_col))
     return j.select(*[col(c) for c in df.columns],
                     (F.row_number().over(within) + F.col("_off")).alias("_rank"), F.col("_class_n"))
@@ -78,9 +78,9 @@ def fold_ids(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = 42,
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """weight = n / (2 n_class) -- balanced weights for a binary label."""
-    counts = df.groupBy(col(label).alias("_cls")).agg(F.count(F.lit(1)).alias("_nc"))
+    counts = df.groupBy(col(label).alias("_rk_cls")).agg(F.count(F.lit(1)).alias("_nc"))
     total = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = counts.crossJoin(F.broadcast(total)).select(
-        "_cls", (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
+        "_rk_cls", (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
     # classes x 1 rows: bounded broadcast
-    return df.join(F.broadcast(w), col(label).eqNullSafe(F.col("_cls"))).drop("_cls")
+    return df.join(F.broadcast(w), col(label).eqNullSafe(F.col("_rk_cls"))).drop("_rk_cls")
