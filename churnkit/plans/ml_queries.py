@@ -303,3 +303,21 @@ def x1_score_table(spark, sf_dir):
     raw = fixtures.accounts(spark, sf_dir).drop("Churn")
     out = score(raw, models["model"], vocabulary_of(doc), doc["columns"], scaler_of(doc))
     return out.select(ID, "churn_probability")
+
+
+# ------------------------------------------------------------------ tree contributions
+
+@register("x4_tree_contributions")
+def x4_tree_contributions(spark, sf_dir):
+    """TreeSHAP of a boosted model over every test row, long form with the
+    explanation texts' inputs (top factors by signed contribution)."""
+    from churnkit.operators import explain as ex
+    from churnkit.operators.treeshap import tree_contributions
+
+    train, test, feats, _ = scaled_parts(spark, sf_dir)
+    m = ml.fit(train, feats, ml.boosted(**SMALL_GBT), LABEL)
+    contrib = tree_contributions(test, m, feats, ID)
+    return contrib.select(ID, "base_value", "model_output",
+                          ex.top_factors(F.col("contribs"), ex.BATCH_TOP_N).alias("top_factors"),
+                          F.aggregate("contribs", F.lit(0.0), lambda acc, x: acc + x["contribution"])
+                          .alias("contribution_sum"))
