@@ -14,9 +14,16 @@ from churnkit.sources import fixtures
 from churnkit.sources.sinks import compare_runs
 
 # Two more deterministic scores per row, so that there are three "models".
-MODEL_B = ((F.col("id") * 104729 + 7919) % 883 + F.when(F.col("label") == 1, 200).otherwise(0)).cast("double") / 1100
-MODEL_C = ((F.col("id") * 15485863 + 32452843) % 509
-           + F.when(F.col("label") == 1, 150).otherwise(0)).cast("double") / 700
+
+def model_b():
+    return ((F.col("id") * 104729 + 7919) % 883 + F.when(F.col("label") == 1, 200).otherwise(0)).cast("double") / 1100
+
+
+def model_c():
+    return ((F.col("id") * 15485863 + 32452843) % 509
+            + F.when(F.col("label") == 1, 150).otherwise(0)).cast("double") / 700
+
+
 MODEL_B_SQL = "cast((id * 104729 + 7919) % 883 + case when label = 1 then 200 else 0 end as double) / 1100"
 MODEL_C_SQL = "cast((id * 15485863 + 32452843) % 509 + case when label = 1 then 150 else 0 end as double) / 700"
 
@@ -78,8 +85,8 @@ def scored_split(spark, sf_dir):
 
 def scores_wide(spark, sf_dir):
     s = scored_split(spark, sf_dir)
-    return s.select("id", "label", "part", F.col("prob").alias("prob_a"), MODEL_B.alias("prob_b"),
-                    MODEL_C.alias("prob_c"))
+    return s.select("id", "label", "part", F.col("prob").alias("prob_a"), model_b().alias("prob_b"),
+                    model_c().alias("prob_c"))
 
 
 def scores_long(spark, sf_dir):

@@ -26,11 +26,18 @@ def read_accounts(spark: SparkSession, path: str, with_label: bool = False) -> D
     """CSV with header; every field read as text, then typed leniently.
 
     Rows with too few or too many fields keep their raw line in
-    ``_corrupt_record`` (PERMISSIVE mode) for :func:`split_rejects`.
+    ``_corrupt_record`` (PERMISSIVE mode) for :func:`split_rejects`.  CSV
+    column pruning is off for this read, so a short row is detected whatever
+    columns a later query uses.
     """
     raw = (spark.read.schema(account_schema(with_label)).option("header", True)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-           .option("enforceSchema", False).csv(path))
+           .option("enforceSchema", False).option("columnPruning", False).csv(path))
+    return type_accounts(raw)
+
+
+def type_accounts(raw: DataFrame) -> DataFrame:
+    """Lenient typing of a text-typed snapshot (shared by batch and stream reads)."""
     typed = []
     for f in raw.columns:
         c = F.col(f)
