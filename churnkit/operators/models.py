@@ -78,8 +78,8 @@ def make_pipeline(features: list[str], estimator, label: str = "label") -> Pipel
 def prepare(df: DataFrame, features: list[str], label: str | None = "label") -> DataFrame:
     """Double features with nulls as 0 and a double ``label`` column."""
     cols = [F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
-    rest = [col(c) for c in df.columns if c not in features and c != LABEL]
     lab = [col(label).cast("double").alias(LABEL)] if label and label in df.columns else []
+    rest = [col(c) for c in df.columns if c not in features and not (lab and c == LABEL)]
     return df.select(*rest, *cols, *lab)
 
 

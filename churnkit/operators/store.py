@@ -136,7 +136,7 @@ def retain(df: DataFrame, as_of: str, days: int, ts: str = "timestamp",
 
     Predictions and metadata older than the cutoff go; queue rows go only when
     resolved and last updated before the cutoff.  On day-partitioned tables
-    the filter prunes whole partitions (see :func:`retention_rewrite`).
+    the filter prunes whole partitions (see :func:`compact_retention`).
     """
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.make_interval(days=F.lit(days))
     if queue_table:
@@ -171,3 +171,20 @@ def latest_batch_rows(preds: DataFrame, meta: DataFrame) -> DataFrame:
     """H2: detail rows of the most recent batch in the history."""
     latest = meta.agg(F.max_by("batch_id", F.struct("timestamp", "batch_id")).alias("_latest"))
     return preds.join(F.broadcast(latest), F.col("batch_id") == F.col("_latest")).drop("_latest")
+
+
+def compact_retention(spark, src: str, dst: str, as_of: str, days: int, queue_table: bool = False,
+                      date_col: str = "ds") -> str:
+    """Q9 on stored tables: write the surviving rows to a new snapshot folder.
+
+    Partitions entirely older than the cutoff are never read (the filter on
+    the partition column prunes them); the source is left untouched, so
+    readers of the old snapshot are safe.  Returns ``dst``, the new pointer.
+    """
+    df = spark.read.parquet(src)
+    cutoff_day = F.to_date(F.lit(as_of).cast("timestamp_ntz") - F.make_interval(days=F.lit(days)))
+    if not queue_table and date_col in df.columns:
+        df = df.filter(F.col(date_col) >= cutoff_day)  # partition pruning
+    kept = retain(df, as_of, days, queue_table=queue_table)
+    kept.write.mode("errorifexists").partitionBy(date_col).parquet(dst)
+    return dst

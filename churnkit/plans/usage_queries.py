@@ -223,3 +223,34 @@ def slice_went_quiet_churn(spark, sf_dir):
     return frame.groupBy("WentQuiet").agg(
         F.count(F.lit(1)).alias("customers"), F.sum("Churn").alias("churned"),
         F.round(F.avg(col("Churn").cast("double")), 6).alias("churn_rate"))
+
+
+PIVOT_METRICS = ["total_rech_amt", "total_ic_mou", "total_og_mou", "vol_2g_mb"]
+
+
+@register("s2_pivot_usage", with_fx(
+    "select customer_id, " + ", ".join(f"{m}_{mo}" for m in PIVOT_METRICS for mo in (6, 7, 8, 9)) + " from fx2",
+    "fx2"))
+def s2_pivot_usage(spark, sf_dir):
+    """S2 long -> wide: one (customer, metric, month, value) row per order and metric,
+    pivoted to one column per metric and month."""
+    from churnkit.sources.accounts import pivot_usage
+    from churnkit.sources.tables import load
+
+    o = load(spark, sf_dir, "orders", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate")
+    year = F.year("o_orderdate")
+    month = F.when(year == 1998, 6).when(year == 1999, 7).when(year == 2000, 8).when(year == 2001, 9)
+    long = o.select(F.col("o_custkey").alias("customer_id"), month.alias("month"), F.explode(F.array(
+        F.struct(F.lit("total_rech_amt").alias("metric"), F.col("o_totalprice").cast("decimal(18,2)").alias("v")),
+        F.struct(F.lit("total_ic_mou").alias("metric"),
+                 F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).cast("decimal(18,2)").alias("v")),
+        F.struct(F.lit("total_og_mou").alias("metric"),
+                 F.when(F.col("o_orderstatus") == "O", 1).otherwise(0).cast("decimal(18,2)").alias("v")),
+        F.struct(F.lit("vol_2g_mb").alias("metric"),
+                 F.when(F.col("o_orderstatus") == "P", 1).otherwise(0).cast("decimal(18,2)").alias("v")),
+    )).alias("x")).filter(F.col("month").isNotNull()).select("customer_id", "month", "x.metric", "x.v")
+    wide = pivot_usage(long, "customer_id", "metric", "month", "v", PIVOT_METRICS)
+    wide = wide.select("customer_id", *[F.col(f"{m}_{mo}").cast("double").alias(f"{m}_{mo}")
+                                        for m in PIVOT_METRICS for mo in (6, 7, 8, 9)])
+    c = load(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("c_custkey", "customer_id")
+    return c.join(wide, "customer_id", "left")
