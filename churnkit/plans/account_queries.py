@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from churnkit.functions.columns import clip, col
 from churnkit.operators import accounts as acc_ops
-from churnkit.operators.clean import (MULTI_COLUMNS, align_columns, clean_accounts, scale_with_stats,
-                                      scaler_stats, to_numbers)
+from churnkit.operators.clean import align_columns, clean_accounts, scale_with_stats, scaler_stats, to_numbers
 from churnkit.operators.cohort import rate
 from churnkit.operators.profile import profile, target_candidates
 from churnkit.plans.fixture_sql import with_fx
@@ -194,5 +193,3 @@ def i1_profile(spark, sf_dir):
 def i3_target_candidates(spark, sf_dir):
     return target_candidates(accounts(spark, sf_dir))
 
-
-__all__ = ["MULTI_COLUMNS"]

@@ -1,7 +1,5 @@
 """Sources and sinks (S1-S5, S7, S8) and stored-table operators (Q1, Q2, Q8, Q9)."""
 
-import os
-
 from pyspark.sql import functions as F
 
 from churnkit.operators import store
