@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnkit.functions.columns import col
+from churnkit.operators.joins import salted_join
 
 HIGH_CUTOFF = 0.6  # probability above which a customer is High risk
 HIGH, MEDIUM, LOW = "High", "Medium", "Low"
@@ -105,7 +106,8 @@ def apply_updates(queue_df: DataFrame, updates: DataFrame, customer: str = "cust
     time (row timestamp <= update ts).  Per customer only two facts are needed
     -- the latest update and the latest one with a non-empty note -- so the
     fold is one partial aggregate (a hot customer costs one row per mapper)
-    and one join; no pairs of updates and rows are formed.
+    and one join, salted for customers holding a large share of the queue;
+    no pairs of updates and rows are formed.
     """
     order = F.struct(F.col("ts"), F.col("update_id"))
     noted = F.when(F.length(F.coalesce(F.col("follow_up_notes"), F.lit(""))) > 0, order)
@@ -113,7 +115,8 @@ def apply_updates(queue_df: DataFrame, updates: DataFrame, customer: str = "cust
         F.max_by(F.struct(F.col("ts").alias("u_ts"), F.col("status").alias("u_status")), order).alias("u"),
         F.max_by(F.struct(F.col("ts").alias("n_ts"), F.col("follow_up_notes").alias("n_notes")), noted).alias("n"))
     latest = latest.select("_cust", "u.u_ts", "u.u_status", "n.n_ts", "n.n_notes")
-    j = queue_df.join(latest, col(customer) == F.col("_cust"), "left")
+    # a customer holding a large share of the queue is spread over several tasks
+    j = salted_join(queue_df, latest, customer, "_cust", "left")
     applies = F.col("u_ts").isNotNull() & (F.col("u_ts") >= F.col("timestamp"))
     note_applies = F.col("n_ts").isNotNull() & (F.col("n_ts") >= F.col("timestamp"))
     out = []

@@ -18,14 +18,14 @@ from churnkit.operators.calibration import calibrate_cv, calibrate_frozen, platt
 from churnkit.operators.clean import apply_scaler, fit_scaler
 from churnkit.operators.evaluate import best_threshold, evaluate, overfit_table
 from churnkit.operators.split import stratified_split
-from churnkit.operators.stack import escalate, fit_stack, reliable
+from churnkit.operators.stack import escalate, fit_stack
 from churnkit.operators.tune import bounded_search, build_final, random_search
 from churnkit.operators.usage import usage_model_frame
 from churnkit.plans.account_queries import ACC_CTES
 from churnkit.plans.explain_queries import BUNDLE_VOCAB
 from churnkit.plans.fixture_sql import with_fx
 from churnkit.plans.registry import register
-from churnkit.session import scratch_path
+from churnkit.session import reliable, scratch_path
 from churnkit.sources import fixtures
 from churnkit.sources.bundle import load_bundle, save_bundle, scaler_of, vocabulary_of
 from churnkit.sources.tables import load

@@ -65,6 +65,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def reliable(df):
+    """Materialise ``df`` in the shared checkpoint folder (cuts lineage, survives executor loss)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint location for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
