@@ -193,3 +193,19 @@ def i1_profile(spark, sf_dir):
 def i3_target_candidates(spark, sf_dir):
     return target_candidates(accounts(spark, sf_dir))
 
+
+
+@register("s1_csv_roundtrip", with_fx(
+    "select \"customerID\", \"TotalCharges\", tenure, \"MonthlyCharges\", \"SeniorCitizen\", \"Contract\", "
+    "\"PaymentMethod\", \"Churn\" from clean", "acc", extra=ACC_CTES[:1]))
+def s1_csv_roundtrip(spark, sf_dir):
+    """S1 + S3: the snapshot written as CSV, read back leniently, rejects split off, cleaned."""
+    from churnkit.session import scratch_path
+    from churnkit.sources.accounts import read_accounts, split_rejects
+
+    path = scratch_path(spark, "accounts-csv")
+    accounts(spark, sf_dir).write.option("header", True).csv(path)
+    good, _ = split_rejects(read_accounts(spark, path, with_label=True))
+    cleaned = clean_accounts(good.withColumn("customerID", F.col("customerID").cast("long")))
+    return cleaned.select("customerID", "TotalCharges", "tenure", "MonthlyCharges", "SeniorCitizen", "Contract",
+                          "PaymentMethod", "Churn")
