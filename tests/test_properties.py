@@ -85,6 +85,20 @@ def test_knn_exact_against_numpy_and_lsh_recall(spark):
     assert recall > 0.3  # LSH is approximate; measured here, not assumed
 
 
+def test_knn_with_a_third_of_rows_identical(spark):
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(150, 4))
+    X[:50] = X[0]                      # a group of copies holding a third of the rows
+    X[60:63] = X[70]                   # and a smaller one
+    ids = [f"p{i:03d}" for i in range(150)]
+    df = spark.createDataFrame([(ids[i], [float(x) for x in X[i]]) for i in range(150)], "pid string, v array<double>")
+    got = {(r["pid"], r["rank"]): r["nbr_id"] for r in knn(df, "pid", "v", k=5).collect()}
+    for i in range(150):
+        d = np.sqrt(((X - X[i]) ** 2).sum(axis=1))
+        order = sorted((float(d[j]), ids[j]) for j in range(150) if j != i)[:5]
+        assert [got[(ids[i], r)] for r in range(1, 6)] == [b for _, b in order]
+
+
 def test_smote_parity_and_segments(spark):
     df = spark.createDataFrame([(i, float(i % 10), float((i * 7) % 13), 1 if i % 4 == 0 else 0)
                                 for i in range(200)], "id int, a double, b double, y int")
