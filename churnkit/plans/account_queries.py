@@ -112,7 +112,7 @@ def c7_one_hot(spark, sf_dir):
 
 
 SERVING_ENC_SQL = ("select \"customerID\", " + ", ".join(
-    (f"cast({q(c)} as double) as {q(c)}" if c in BASE_COLS + TRAIN_EXTRA else f"0.0 as {q(c)}")
+    (f"cast({q(c)} as double) as {q(c)}" if c in BASE_COLS + TRAIN_EXTRA else f"cast(0.0 as double) as {q(c)}")
     if not any(c == f"{k}_{v}" for k, vs in SQL_VOCAB.items() if k != "TenureGroup" for v in vs)
     else f"cast(case when {q(c.split('_', 1)[0])} = '{c.split('_', 1)[1]}' then 1 else 0 end as double) as {q(c)}"
     for c in TRAIN_FEATURES) + " from serving")
