@@ -14,6 +14,25 @@ def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def qi(name: str) -> str:
+    """Quoted identifier for SQL expression text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_lit(v) -> str:
+    """SQL literal for a Python value (strings quoted, floats exact)."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, float):
+        r = repr(v)
+        return f"{r}D" if r.replace("-", "").replace(".", "").isdigit() else f"CAST('{r}' AS DOUBLE)"
+    return str(v)
+
+
 def to_number(c: Column | str, default: float | None = 0.0) -> Column:
     """Lenient numeric parse: text that is not a number -> null -> default."""
     c = col(c) if isinstance(c, str) else c

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnkit.functions.columns import clip, col, map_values, to_number, yes_no
+from churnkit.functions.columns import clip, col, qi, sql_lit
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -41,13 +41,19 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def to_numbers(df: DataFrame, cols: list[str], default: float | None = 0.0) -> DataFrame:
     """C1 over several columns in one projection."""
     targets = set(cols)
-    return df.select(*[to_number(c, default).alias(c) if c in targets else col(c) for c in df.columns])
+    fill = "" if default is None else f", {sql_lit(float(default))}"
+
+    def num(c):
+        e = f"try_cast(cast({qi(c)} as string) as double)"
+        return f"coalesce({e}{fill}) as {qi(c)}" if fill else f"{e} as {qi(c)}"
+    return df.selectExpr(*[num(c) if c in targets else qi(c) for c in df.columns])
 
 
 def encode_yes_no(df: DataFrame, cols: list[str]) -> DataFrame:
     """Yes/No -> 1/0 for the given columns (absent columns are skipped)."""
     targets = set(cols) & set(df.columns)
-    return df.select(*[yes_no(c).alias(c) if c in targets else col(c) for c in df.columns])
+    return df.selectExpr(*[f"case when {qi(c)} = 'Yes' then 1 when {qi(c)} = 'No' then 0 end as {qi(c)}"
+                           if c in targets else qi(c) for c in df.columns])
 
 
 def encode_values(df: DataFrame, mappings: dict[str, dict], only_text: bool = False) -> DataFrame:
@@ -60,18 +66,20 @@ def encode_values(df: DataFrame, mappings: dict[str, dict], only_text: bool = Fa
     for c in df.columns:
         m = mappings.get(c)
         if m is None or (only_text and not isinstance(df.schema[c].dataType, T.StringType)):
-            out.append(col(c))
+            out.append(qi(c))
         else:
-            out.append(map_values(c, m).alias(c))
-    return df.select(*out)
+            whens = " ".join(f"when {qi(c)} = {sql_lit(k)} then {sql_lit(v)}" for k, v in m.items())
+            out.append(f"case {whens} end as {qi(c)}")
+    return df.selectExpr(*out)
 
 
 def fill_zero(df: DataFrame, name_parts: tuple = FLAG_NAME_PARTS) -> DataFrame:
     """C4: null -> 0 for flag columns matched by name part and all numeric columns."""
     flags = [c for c in df.columns if any(p in c for p in name_parts)]
     nums = set(numeric_columns(df)) | set(flags)
-    return df.select(*[F.coalesce(col(c), F.lit(0).cast(df.schema[c].dataType)).alias(c)
-                       if c in nums else col(c) for c in df.columns])
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.selectExpr(*[f"coalesce({qi(c)}, cast(0 as {types[c]})) as {qi(c)}" if c in nums else qi(c)
+                           for c in df.columns])
 
 
 def drop_if_present(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -82,7 +90,7 @@ def drop_if_present(df: DataFrame, cols: list[str]) -> DataFrame:
 def drop_period(df: DataFrame, month: int, keep: tuple = ()) -> DataFrame:
     """Drop every column of the label period (suffix ``_{month}``)."""
     suffix = f"_{month}"
-    return df.select(*[col(c) for c in df.columns if not c.endswith(suffix) or c in keep])
+    return df.selectExpr(*[qi(c) for c in df.columns if not c.endswith(suffix) or c in keep])
 
 
 @dataclass
@@ -128,18 +136,18 @@ def one_hot(df: DataFrame, vocab: Vocabulary, dtype: str = "int") -> DataFrame:
     vocabulary order, like ``get_dummies``.
     """
     encoded = set(vocab.kept)
-    rest = [col(c) for c in df.columns if c not in encoded]
-    dummies = [F.when(col(c) == v, 1).otherwise(0).cast(dtype).alias(f"{c}_{v}")
+    rest = [qi(c) for c in df.columns if c not in encoded]
+    dummies = [f"cast(case when {qi(c)} = {sql_lit(v)} then 1 else 0 end as {dtype}) as {qi(c + '_' + v)}"
                for c, vs in vocab.kept.items() if c in df.columns for v in vs]
-    return df.select(*rest, *dummies)
+    return df.selectExpr(*rest, *dummies)
 
 
 def align_columns(df: DataFrame, columns: list[str], keep: tuple = ()) -> DataFrame:
     """Training column list -- add missing as 0.0, fixed order, extras dropped, double."""
     have = set(df.columns)
-    out = [col(k) for k in keep if k in have]
-    out += [(col(c).cast("double") if c in have else F.lit(0.0)).alias(c) for c in columns]
-    return df.select(*out)
+    out = [qi(k) for k in keep if k in have]
+    out += [f"cast({qi(c)} as double) as {qi(c)}" if c in have else f"0.0D as {qi(c)}" for c in columns]
+    return df.selectExpr(*out)
 
 
 def as_vector(df: DataFrame, columns: list[str], output: str = "features") -> DataFrame:
@@ -186,8 +194,9 @@ def scaler_stats(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def apply_scaler(df: DataFrame, scaler: Scaler) -> DataFrame:
     """C11 apply: (x - mean) / scale as one projection with literal constants."""
-    return df.select(*[((col(c).cast("double") - F.lit(scaler.mean[c])) / F.lit(scaler.scale[c])).alias(c)
-                       if c in scaler.mean else col(c) for c in df.columns])
+    return df.selectExpr(*[f"(cast({qi(c)} as double) - {sql_lit(float(scaler.mean[c]))}) / "
+                           f"{sql_lit(float(scaler.scale[c]))} as {qi(c)}" if c in scaler.mean else qi(c)
+                           for c in df.columns])
 
 
 def scale_with_stats(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:

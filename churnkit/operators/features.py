@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnkit.functions.columns import clip, col, row_mean, row_std, row_sum
+from churnkit.functions.columns import qi, sql_lit
 
 # The six optional add-on services counted by NumServices.
 ADDON_SERVICES = ["OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport",
@@ -23,14 +23,32 @@ NEW_CUSTOMER_MAX_TENURE = 3          # training: tenure <= 3
 SERVING_NEW_CUSTOMER_BELOW = 6       # serving: tenure < 6
 
 
-def bucket(c, edges: list[float], labels: list[str]):
-    """right-closed bins (e0, e1], (e1, e2], ...; outside -> null."""
-    c = col(c) if isinstance(c, str) else c
-    out = None
-    for lo, hi, lab in zip(edges[:-1], edges[1:], labels):
-        cond = (c > lo) & (c <= hi)
-        out = F.when(cond, lab) if out is None else out.when(cond, lab)
-    return out
+def bucket(c: str, edges: list[float], labels: list[str]) -> str:
+    """right-closed bins (e0, e1], (e1, e2], ...; outside -> null (SQL text)."""
+    whens = " ".join(f"when {qi(c)} > {lo} and {qi(c)} <= {hi} then {sql_lit(lab)}"
+                     for lo, hi, lab in zip(edges[:-1], edges[1:], labels))
+    return f"case {whens} end"
+
+
+def _mean(cols: list[str]) -> str:
+    return "((" + " + ".join(qi(c) for c in cols) + f") / {float(len(cols))}D)"
+
+
+def row_std_sql(cols: list[str]) -> str:
+    """Row-wise sample deviation (n - 1) as SQL text; null for a single column."""
+    if len(cols) < 2:
+        return "CAST(NULL AS DOUBLE)"
+    m = _mean(cols)
+    ss = " + ".join(f"({qi(c)} - {m}) * ({qi(c)} - {m})" for c in cols)
+    return f"sqrt(({ss}) / {float(len(cols) - 1)}D)"
+
+
+def _try_div(num: str, den: str) -> str:
+    return f"try_divide({num}, {den})"
+
+
+def _clip(e: str, lo: float, hi: float) -> str:
+    return f"case when ({e}) is null then null else greatest({lo}D, least({hi}D, {e})) end"
 
 
 def snapshot_features(df: DataFrame, variant: str = "training") -> DataFrame:
@@ -41,35 +59,32 @@ def snapshot_features(df: DataFrame, variant: str = "training") -> DataFrame:
     phone service counted among the services, new below 6 months, and no
     tenure group.
     """
-    tenure, total, monthly = col("tenure"), col("TotalCharges"), col("MonthlyCharges")
-    combo = ((col("Contract") == "Month-to-month") & (col("PaymentMethod") == "Electronic check")).cast("int")
+    combo = "cast((`Contract` = 'Month-to-month') and (`PaymentMethod` = 'Electronic check') as int)"
+    yes = [f"case when {qi(c)} = 'Yes' then 1 else 0 end" for c in ADDON_SERVICES]
     if variant == "training":
-        avg = F.try_divide(total, tenure + F.lit(1))
-        services = row_sum([F.when(col(s) == "Yes", 1).otherwise(0) for s in ADDON_SERVICES])
+        avg = _try_div("`TotalCharges`", "(`tenure` + 1)")
         new = [
-            avg.alias("AvgMonthlySpend"),
-            (monthly - avg).alias("ChargeIncrease"),
-            services.alias("NumServices"),
-            bucket("tenure", TENURE_EDGES, TENURE_LABELS).alias("TenureGroup"),
-            combo.alias("HighRiskCombo"),
-            (tenure <= NEW_CUSTOMER_MAX_TENURE).cast("int").alias("IsNewCustomer"),
+            f"{avg} as `AvgMonthlySpend`",
+            f"(`MonthlyCharges` - {avg}) as `ChargeIncrease`",
+            "(" + " + ".join(yes) + ") as `NumServices`",
+            f"{bucket('tenure', TENURE_EDGES, TENURE_LABELS)} as `TenureGroup`",
+            f"{combo} as `HighRiskCombo`",
+            f"cast(`tenure` <= {NEW_CUSTOMER_MAX_TENURE} as int) as `IsNewCustomer`",
         ]
     elif variant == "serving":
-        avg = F.try_divide(total, F.when(tenure == 0, F.lit(1)).otherwise(tenure))
-        phone = col("PhoneService")
-        phone_yes = (F.when(phone == "Yes", 1).otherwise(0) if _is_text(df, "PhoneService")
-                     else F.coalesce(phone.cast("int"), F.lit(0)))
-        services = row_sum([phone_yes] + [F.when(col(s) == "Yes", 1).otherwise(0) for s in ADDON_SERVICES])
+        avg = _try_div("`TotalCharges`", "(case when `tenure` = 0 then 1 else `tenure` end)")
+        phone = ("case when `PhoneService` = 'Yes' then 1 else 0 end" if _is_text(df, "PhoneService")
+                 else "coalesce(cast(`PhoneService` as int), 0)")
         new = [
-            avg.alias("AvgMonthlySpend"),
-            (monthly > avg).cast("int").alias("ChargeIncrease"),
-            services.alias("NumServices"),
-            (tenure < SERVING_NEW_CUSTOMER_BELOW).cast("int").alias("IsNewCustomer"),
-            combo.alias("HighRiskCombo"),
+            f"{avg} as `AvgMonthlySpend`",
+            f"cast(`MonthlyCharges` > {avg} as int) as `ChargeIncrease`",
+            "(" + " + ".join([phone] + yes) + ") as `NumServices`",
+            f"cast(`tenure` < {SERVING_NEW_CUSTOMER_BELOW} as int) as `IsNewCustomer`",
+            f"{combo} as `HighRiskCombo`",
         ]
     else:
         raise ValueError(f"unknown variant {variant!r}")
-    return df.select(*[col(c) for c in df.columns], *new)
+    return df.selectExpr(*[qi(c) for c in df.columns], *new)
 
 
 def _is_text(df: DataFrame, name: str) -> bool:
@@ -100,33 +115,33 @@ def behaviour_features(df: DataFrame, months=(6, 7, 8), stats=("trend", "avg", "
         cols = [f"{b}_{m}" for m in months]
         for s in stats:
             if s == "trend":
-                e = col(f"{b}_{last}") - col(f"{b}_{first}")
+                e = f"{qi(f'{b}_{last}')} - {qi(f'{b}_{first}')}"
             elif s == "avg":
-                e = row_mean(cols)
+                e = _mean(cols)
             elif s == "std":
-                e = row_std(cols)
+                e = row_std_sql(cols)
             else:
                 raise ValueError(f"unknown stat {s!r}")
             new.append((f"{b}_{s}", e))
     if names == "generated":
         new = [(f"feature_{i}", e) for i, (_, e) in enumerate(new)]
-    return df.select(*[col(c) for c in df.columns], *[e.alias(n) for n, e in new])
+    return df.selectExpr(*[qi(c) for c in df.columns], *[f"{e} as {qi(n)}" for n, e in new])
 
 
-def usage_drop(metric: str, a: int = 7, b: int = 8):
-    """(m_a - m_b) / (m_a + 1) clipped to [-1, 1]."""
-    num = col(f"{metric}_{a}") - col(f"{metric}_{b}")
-    return clip(F.try_divide(num, col(f"{metric}_{a}") + F.lit(1)), -1.0, 1.0)
+def usage_drop(metric: str, a: int = 7, b: int = 8) -> str:
+    """(m_a - m_b) / (m_a + 1) clipped to [-1, 1] (SQL text)."""
+    ma, mb = qi(f"{metric}_{a}"), qi(f"{metric}_{b}")
+    return _clip(_try_div(f"({ma} - {mb})", f"({ma} + 1)"), -1.0, 1.0)
 
 
-def consistency(cols: list[str]):
-    """row deviation / (row mean + 1)."""
-    return F.try_divide(row_std(cols), row_mean(cols) + F.lit(1))
+def consistency(cols: list[str]) -> str:
+    """row deviation / (row mean + 1) (SQL text)."""
+    return _try_div(row_std_sql(cols), f"({_mean(cols)} + 1)")
 
 
-def went_quiet(calls: str = "total_ic_mou_8", data: str = "vol_2g_mb_8"):
-    """zero calls and zero data in the action month."""
-    return ((col(calls) == 0) & (col(data) == 0)).cast("int")
+def went_quiet(calls: str = "total_ic_mou_8", data: str = "vol_2g_mb_8") -> str:
+    """zero calls and zero data in the action month (SQL text)."""
+    return f"cast(({qi(calls)} = 0) and ({qi(data)} = 0) as int)"
 
 
 def matching_columns(columns: list[str], contains: tuple[str, ...], months=(6, 7, 8),
@@ -140,22 +155,20 @@ def matching_columns(columns: list[str], contains: tuple[str, ...], months=(6, 7
     return out
 
 
-def sum_columns(columns: list[str]):
-    """row total with nulls skipped."""
-    return row_sum([F.coalesce(col(c), F.lit(0.0)) for c in columns])
+def sum_columns(columns: list[str]) -> str:
+    """row total with nulls skipped (SQL text)."""
+    return "(" + " + ".join(f"coalesce({qi(c)}, 0.0D)" for c in columns) + ")" if columns else "0.0D"
 
 
 def usage_change_features(df: DataFrame) -> DataFrame:
     """F12-F14 and F9-F11 of the calibrated usage model, in one projection."""
     rech = [c for c in df.columns if "total_rech_amt" in c and re.search(r"_[678]$", c)]
-    new = [
-        usage_drop("total_ic_mou").alias("CallUsageDrop_7to8"),
-        usage_drop("vol_2g_mb").alias("DataUsageDrop_7to8"),
-    ]
+    new = [f"{usage_drop('total_ic_mou')} as `CallUsageDrop_7to8`",
+           f"{usage_drop('vol_2g_mb')} as `DataUsageDrop_7to8`"]
     if len(rech) >= 3:
-        new.append(consistency(rech).alias("RechargeConsistency"))
-    new.append(went_quiet().alias("WentQuiet"))
-    staged = df.select(*[col(c) for c in df.columns], *new)
+        new.append(f"{consistency(rech)} as `RechargeConsistency`")
+    new.append(f"{went_quiet()} as `WentQuiet`")
+    staged = df.selectExpr(*[qi(c) for c in df.columns], *new)
     return behaviour_features(staged)
 
 
@@ -166,9 +179,9 @@ def usage_totals(df: DataFrame) -> DataFrame:
     data = matching_columns(cols, ("vol_2g_mb", "vol_3g_mb"))
     minutes = matching_columns(cols, ("mou",))
     rech = matching_columns(cols, ("rech",), ignore_case=True)
-    return df.select(*[col(c) for c in cols],
-                     sum_columns(calls).alias("total_calls_6_8"),
-                     sum_columns(data).alias("total_data_6_8"),
-                     sum_columns(minutes).alias("total_usage_6_8"),
-                     sum_columns(rech).alias("total_rech_6_8"),
-                     row_std(rech).alias("rech_consistency"))
+    return df.selectExpr(*[qi(c) for c in cols],
+                         f"{sum_columns(calls)} as total_calls_6_8",
+                         f"{sum_columns(data)} as total_data_6_8",
+                         f"{sum_columns(minutes)} as total_usage_6_8",
+                         f"{sum_columns(rech)} as total_rech_6_8",
+                         f"{row_std_sql(rech)} as rech_consistency")

@@ -42,119 +42,112 @@ ACCOUNT_COLUMNS = [
 ]
 
 
+def _eq(column: str, value: str) -> str:
+    return f"{column} = '{value}'"
+
+
 def _orders(spark, sf_dir, *cols):
     return load(spark, sf_dir, "orders", *cols)
 
 
 def accounts_snake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FX1 with the fixture's snake-case column names."""
+    """FX1 with the fixture's snake-case column names.
+
+    Expressions are passed as SQL text (one JVM call each) rather than built
+    node by node from Python.
+    """
     o = _orders(spark, sf_dir, "o_orderkey", "o_custkey", "o_orderstatus",
                 "o_totalprice", "o_orderdate", "o_orderpriority")
-    prio = F.col("o_orderpriority")
+    prios = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     per_cust = o.groupBy("o_custkey").agg(
-        F.min("o_orderdate").alias("first_date"),
-        F.max("o_orderdate").alias("last_date"),
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total_dec"),
-        *[F.max(F.when(prio == p, 1).otherwise(0)).alias(f"s{i}")
-          for i, p in enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], 1)],
-    )
+        F.expr("min(o_orderdate) as first_date"), F.expr("max(o_orderdate) as last_date"),
+        F.expr("sum(cast(o_totalprice as decimal(18,2))) as total_dec"),
+        *[F.expr(f"max(case when {_eq('o_orderpriority', p)} then 1 else 0 end) as s{i}")
+          for i, p in enumerate(prios, 1)])
     latest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    last_two = (o.withColumn("rn", F.row_number().over(latest)).filter(F.col("rn") <= 2)
+    last_two = (o.withColumn("rn", F.row_number().over(latest)).filter("rn <= 2")
                 .groupBy("o_custkey").agg(
-                    F.max(F.when(F.col("rn") == 1, F.col("o_totalprice"))).alias("monthly_charges"),
-                    F.max(F.when(F.col("rn") == 1, prio)).alias("last_priority"),
-                    F.max(F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)).alias("s6")))
-    first = F.col("first_date")
-    g = per_cust.join(last_two, "o_custkey").select(
+                    F.expr("max(case when rn = 1 then o_totalprice end) as monthly_charges"),
+                    F.expr("max(case when rn = 1 then o_orderpriority end) as last_priority"),
+                    F.expr("max(case when o_orderstatus = 'P' then 1 else 0 end) as s6")))
+    g = per_cust.join(last_two, "o_custkey").selectExpr(
         "o_custkey",
-        ((F.lit(TENURE_ORIGIN_YEAR) - F.year(first)) * 12
-         + (F.lit(TENURE_ORIGIN_MONTH) - F.month(first))).cast("int").alias("tenure"),
-        F.col("total_dec"), "monthly_charges", "last_priority", "s1", "s2", "s3", "s4", "s5", "s6",
-        F.when(F.col("last_date") < F.lit(CHURN_CUTOFF).cast("timestamp_ntz"), "Yes")
-         .otherwise("No").alias("churn"))
-
+        f"cast(({TENURE_ORIGIN_YEAR} - year(first_date)) * 12 + ({TENURE_ORIGIN_MONTH} - month(first_date)) as int)"
+        " as tenure",
+        "total_dec", "monthly_charges", "last_priority", "s1", "s2", "s3", "s4", "s5", "s6",
+        f"case when last_date < cast('{CHURN_CUTOFF}' as timestamp_ntz) then 'Yes' else 'No' end as churn")
     c = load(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    k, nk = F.col("c_custkey"), F.col("c_nationkey")
-    no_net = nk % 5 == 0
 
     def addon(flag):
-        return (F.when(no_net, "No internet service")
-                .when(F.col(flag) == 1, "Yes").otherwise("No"))
-
-    last_p = F.col("last_priority")
-    return c.join(g, c.c_custkey == g.o_custkey, "left").select(
-        k.alias("customer_id"),
-        F.when(k % 97 == 0, "Other").when(k % 2 == 0, "Male").otherwise("Female").alias("gender"),
-        F.when(k % 7 == 0, 1).otherwise(0).alias("senior_citizen"),
-        F.when(k % 3 == 0, "Yes").otherwise("No").alias("partner"),
-        F.when(k % 4 == 0, "Yes").otherwise("No").alias("dependents"),
-        F.when(k % 10 == 0, "No").otherwise("Yes").alias("phone_service"),
-        F.when(k % 10 == 0, "No phone service").when(k % 3 == 1, "Yes").otherwise("No")
-         .alias("multiple_lines"),
-        F.when(no_net, "No").when(nk % 5 <= 2, "Fiber optic").otherwise("DSL").alias("internet_service"),
-        F.when(F.col("c_acctbal") >= 5000, "Yes").otherwise("No").alias("paperless_billing"),
-        F.coalesce(F.col("tenure"), F.lit(0)).alias("tenure"),
-        F.col("monthly_charges"),
-        F.when(k % 50 == 0, " ").otherwise(F.col("total_dec").cast("decimal(18,2)").cast("string"))
-         .alias("total_charges_raw"),
-        F.when(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), "Month-to-month")
-         .when(F.col("c_mktsegment").isin("MACHINERY", "FURNITURE"), "One year")
-         .otherwise("Two year").alias("contract"),
-        F.when(last_p.isin("1-URGENT", "2-HIGH"), "Electronic check")
-         .when(last_p == "3-MEDIUM", "Mailed check")
-         .when(last_p == "4-NOT SPECIFIED", "Bank transfer (automatic)")
-         .otherwise("Credit card (automatic)").alias("payment_method"),
-        addon("s1").alias("online_security"), addon("s2").alias("online_backup"),
-        addon("s3").alias("tech_support"), addon("s4").alias("device_protection"),
-        addon("s5").alias("streaming_tv"), addon("s6").alias("streaming_movies"),
-        F.coalesce(F.col("churn"), F.lit("Yes")).alias("churn"),
-    )
+        return (f"case when c_nationkey % 5 = 0 then 'No internet service' when {flag} = 1 then 'Yes' "
+                "else 'No' end")
+
+    return c.join(g, c.c_custkey == g.o_custkey, "left").selectExpr(
+        "c_custkey as customer_id",
+        "case when c_custkey % 97 = 0 then 'Other' when c_custkey % 2 = 0 then 'Male' else 'Female' end as gender",
+        "case when c_custkey % 7 = 0 then 1 else 0 end as senior_citizen",
+        "case when c_custkey % 3 = 0 then 'Yes' else 'No' end as partner",
+        "case when c_custkey % 4 = 0 then 'Yes' else 'No' end as dependents",
+        "case when c_custkey % 10 = 0 then 'No' else 'Yes' end as phone_service",
+        "case when c_custkey % 10 = 0 then 'No phone service' when c_custkey % 3 = 1 then 'Yes' else 'No' end"
+        " as multiple_lines",
+        "case when c_nationkey % 5 = 0 then 'No' when c_nationkey % 5 <= 2 then 'Fiber optic' else 'DSL' end"
+        " as internet_service",
+        "case when c_acctbal >= 5000 then 'Yes' else 'No' end as paperless_billing",
+        "coalesce(tenure, 0) as tenure",
+        "monthly_charges",
+        "case when c_custkey % 50 = 0 then ' ' else cast(cast(total_dec as decimal(18,2)) as string) end"
+        " as total_charges_raw",
+        "case when c_mktsegment in ('BUILDING', 'AUTOMOBILE') then 'Month-to-month' "
+        "when c_mktsegment in ('MACHINERY', 'FURNITURE') then 'One year' else 'Two year' end as contract",
+        "case when last_priority in ('1-URGENT', '2-HIGH') then 'Electronic check' "
+        "when last_priority = '3-MEDIUM' then 'Mailed check' "
+        "when last_priority = '4-NOT SPECIFIED' then 'Bank transfer (automatic)' "
+        "else 'Credit card (automatic)' end as payment_method",
+        f"{addon('s1')} as online_security", f"{addon('s2')} as online_backup",
+        f"{addon('s3')} as tech_support", f"{addon('s4')} as device_protection",
+        f"{addon('s5')} as streaming_tv", f"{addon('s6')} as streaming_movies",
+        "coalesce(churn, 'Yes') as churn")
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX1 under the account-snapshot column names of the reference."""
-    snake = accounts_snake(spark, sf_dir)
-    return snake.select(*[F.col(s).alias(r) for s, r in ACCOUNT_COLUMNS])
+    return accounts_snake(spark, sf_dir).selectExpr(*[f"{s} as `{r}`" for s, r in ACCOUNT_COLUMNS])
 
 
 def usage_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX2: one row per subscriber, one column per metric and month 6..9."""
-    o = _orders(spark, sf_dir, "o_custkey", "o_totalprice", "o_orderstatus",
-                "o_orderpriority", "o_orderdate")
-    year = F.year("o_orderdate")
-    ph = F.when(year == 1998, 6).when(year == 1999, 7).when(year == 2000, 8).when(year == 2001, 9)
-    p = o.select("o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority", ph.alias("ph"))
-    ph, prio, status = F.col("ph"), F.col("o_orderpriority"), F.col("o_orderstatus")
+    o = _orders(spark, sf_dir, "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    ph = " ".join(f"when {y} then {m}" for y, m in PERIOD_YEARS.items())
+    p = o.selectExpr("o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority",
+                     f"case year(o_orderdate) {ph} end as ph")
 
     def count_if(m, cond, zero_when_present=True):
-        e = F.when((ph == m) & cond, 1)
-        if zero_when_present:
-            e = e.when(ph == m, 0)
-        return F.sum(e).cast("double")
+        zero = f" when ph = {m} then 0" if zero_when_present else ""
+        return f"cast(sum(case when ph = {m} and {cond} then 1{zero} end) as double)"
 
     aggs = []
     for m in (6, 7):
-        aggs.append(count_if(m, prio == "1-URGENT", False).alias(f"total_rech_data_{m}"))
-        aggs.append(F.max(F.when((ph == m) & (prio == "1-URGENT"), F.col("o_totalprice")))
-                    .alias(f"av_rech_amt_data_{m}"))
+        aggs.append(f"{count_if(m, _eq('o_orderpriority', '1-URGENT'), False)} as total_rech_data_{m}")
+        aggs.append(f"max(case when ph = {m} and o_orderpriority = '1-URGENT' then o_totalprice end)"
+                    f" as av_rech_amt_data_{m}")
     for m in (6, 7, 8, 9):
-        aggs.append(count_if(m, prio == "5-LOW").alias(f"vol_3g_mb_{m}"))
+        aggs.append(f"{count_if(m, _eq('o_orderpriority', '5-LOW'))} as vol_3g_mb_{m}")
     for m in (6, 7, 8):
-        aggs.append(F.max(F.when((ph == m) & (prio == "2-HIGH"), F.lit(1.0))).alias(f"fb_user_{m}"))
+        aggs.append(f"max(case when ph = {m} and o_orderpriority = '2-HIGH' then 1.0D end) as fb_user_{m}")
     for m in (6, 7, 8, 9):
-        aggs.append(F.sum(F.when(ph == m, F.col("o_totalprice").cast("decimal(18,2)")))
-                    .cast("double").alias(f"total_rech_amt_{m}"))
+        aggs.append(f"cast(sum(case when ph = {m} then cast(o_totalprice as decimal(18,2)) end) as double)"
+                    f" as total_rech_amt_{m}")
     for name, st in (("total_ic_mou", "F"), ("total_og_mou", "O"), ("vol_2g_mb", "P")):
         for m in (6, 7, 8, 9):
-            aggs.append(count_if(m, status == st).alias(f"{name}_{m}"))
-    w = p.groupBy("o_custkey").agg(*aggs)
+            aggs.append(f"{count_if(m, _eq('o_orderstatus', st))} as {name}_{m}")
+    w = p.groupBy("o_custkey").agg(*[F.expr(a) for a in aggs])
     c = load(spark, sf_dir, "customer", "c_custkey")
     order = (["total_rech_amt_6", "total_rech_amt_7", "total_rech_amt_8", "total_rech_amt_9"]
              + [f"{n}_{m}" for n in ("total_ic_mou", "total_og_mou", "vol_2g_mb") for m in (6, 7, 8, 9)]
              + ["total_rech_data_6", "av_rech_amt_data_6", "total_rech_data_7", "av_rech_amt_data_7"]
              + [f"vol_3g_mb_{m}" for m in (6, 7, 8, 9)] + ["fb_user_6", "fb_user_7", "fb_user_8"])
-    return c.join(w, c.c_custkey == w.o_custkey, "left").select(
-        F.col("c_custkey").alias("customer_id"), *order)
+    return c.join(w, c.c_custkey == w.o_custkey, "left").selectExpr("c_custkey as customer_id", *order)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
