@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnkit.functions.columns import col
+from churnkit.functions.columns import col, qi, sql_lit
 
 # The what-if factors, their raw column and the values tried, in order.
 SCENARIOS = [
@@ -50,14 +50,19 @@ def scenarios(spark) -> DataFrame:
                                                   "text_value string, num_value double")
 
 
-def _scenario_array(with_current: bool):
+def _scenario_array(with_current: bool) -> str:
+    """The scenario list as one SQL array literal of structs."""
     rows = scenario_rows()
     if with_current:
         rows = [(None, None, -1, None, None, None)] + rows
-    return F.array(*[F.struct(F.lit(f).cast("string").alias("factor"), F.lit(c).cast("string").alias("column"),
-                              F.lit(o).alias("order"), F.lit(lab).cast("string").alias("label"),
-                              F.lit(t).cast("string").alias("text_value"), F.lit(n).cast("double").alias("num_value"))
-                     for f, c, o, lab, t, n in rows])
+
+    def text(v):
+        return "CAST(NULL AS STRING)" if v is None else sql_lit(v)
+
+    items = [f"named_struct('factor', {text(f)}, 'column', {text(c)}, 'order', {o}, 'label', {text(lab)}, "
+             f"'text_value', {text(t)}, 'num_value', {'CAST(NULL AS DOUBLE)' if n is None else sql_lit(n)})"
+             for f, c, o, lab, t, n in rows]
+    return "array(" + ", ".join(items) + ")"
 
 
 def counterfactuals(raw: DataFrame, score: Callable[[DataFrame], DataFrame], id_col: str = "customerID",
@@ -69,22 +74,22 @@ def counterfactuals(raw: DataFrame, score: Callable[[DataFrame], DataFrame], id_
     (factor null, order -1), which :func:`best_change` uses as the baseline.
     Output: id, factor, order, label, prob.
     """
-    expanded = raw.select("*", F.explode(_scenario_array(with_current)).alias("_s"))
+    expanded = raw.selectExpr("*", f"explode({_scenario_array(with_current)}) as _s")
     changed = []
+    text_cols = {column for _, column, _ in SCENARIOS}
+    types = {f.name: f.dataType.simpleString() for f in raw.schema.fields}
     for c in raw.columns:
-        s = F.col("_s")
         if c in ("tenure", "MonthlyCharges"):
-            v = F.when(s["column"] == c, s["num_value"].cast(raw.schema[c].dataType)).otherwise(col(c))
-        elif any(c == column for _, column, _ in SCENARIOS):
-            v = F.when(s["column"] == c, s["text_value"]).otherwise(col(c))
+            changed.append(f"case when _s.column = {sql_lit(c)} then cast(_s.num_value as {types[c]}) "
+                           f"else {qi(c)} end as {qi(c)}")
+        elif c in text_cols:
+            changed.append(f"case when _s.column = {sql_lit(c)} then _s.text_value else {qi(c)} end as {qi(c)}")
         else:
-            v = col(c)
-        changed.append(v.alias(c))
-    modified = expanded.select(*changed, F.col("_s.factor").alias("_factor"),
-                               F.col("_s.order").alias("_order"), F.col("_s.label").alias("_label"))
+            changed.append(qi(c))
+    modified = expanded.selectExpr(*changed, "_s.factor as _factor", "_s.order as _order", "_s.label as _label")
     scored = score(modified)
-    return scored.select(col(id_col), F.col("_factor").alias("factor"), F.col("_order").alias("order"),
-                         F.col("_label").alias("label"), F.col(prob).alias(prob))
+    return scored.selectExpr(qi(id_col), "_factor as factor", "_order as `order`", "_label as label",
+                             f"{qi(prob)} as {qi(prob)}")
 
 
 def best_change(cf: DataFrame, id_col: str = "customerID", prob: str = "churn_probability") -> DataFrame:

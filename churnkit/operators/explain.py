@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnkit.functions.columns import col
+from churnkit.functions.columns import col, qi, sql_lit
 
 # ---------------------------------------------------------------- fixed values
 # Human-readable feature descriptions.
@@ -114,32 +114,31 @@ SINGLE_TOP_N, BATCH_TOP_N, REASON_TOP_N = 5, 3, 3
 class LinearScore:
     """p = sigmoid(intercept + sum coef * (x - centre)).
 
-    ``terms``: (feature name, value column, model input column, coef, centre);
-    the value is what texts show, the input what the model multiplies.
+    ``terms``: (feature name, value SQL, model input SQL, coef, centre); the
+    value is what texts show, the input what the model multiplies.
     """
 
     intercept: float
-    terms: list[tuple[str, Column, Column, float, float]]
+    terms: list[tuple[str, str, str, float, float]]
     digits: int | None = 6
 
-    def contribution(self, x: Column, coef: float, centre: float) -> Column:
+    @staticmethod
+    def contribution(x: str, coef: float, centre: float) -> str:
         # a missing input sits at the centre: no contribution
-        return F.lit(coef) * (F.coalesce(x, F.lit(centre)) - F.lit(centre))
+        return f"{sql_lit(coef)} * (coalesce({x}, {sql_lit(centre)}) - {sql_lit(centre)})"
 
 
 def fixture_linear_score() -> LinearScore:
     """The fixed linear score of FIXTURES.md 2.5 on encoded account columns."""
-    t = col("tenure")
-    m = col("MonthlyCharges")
     terms = [
-        ("tenure", t.cast("double"), t.cast("double"), -0.02, 60.0),
-        ("MonthlyCharges", m, m / F.lit(100000.0), 0.15, 2.0),
-        ("NumServices", col("NumServices").cast("double"), col("NumServices").cast("double"), -0.1, 4.0),
+        ("tenure", "cast(`tenure` as double)", "cast(`tenure` as double)", -0.02, 60.0),
+        ("MonthlyCharges", "`MonthlyCharges`", "`MonthlyCharges` / 100000.0D", 0.15, 2.0),
+        ("NumServices", "cast(`NumServices` as double)", "cast(`NumServices` as double)", -0.1, 4.0),
     ]
     for name, coef, centre in [("HighRiskCombo", 0.8, 0.2), ("Contract_One year", -0.3, 0.4),
                                ("Contract_Two year", -0.7, 0.2), ("InternetService_Fiber optic", 0.5, 0.4),
                                ("PaymentMethod_Electronic check", 0.35, 0.4)]:
-        c = col(name).cast("double")
+        c = f"cast({qi(name)} as double)"
         terms.append((name, c, c, coef, centre))
     return LinearScore(-0.4, terms)
 
@@ -154,17 +153,17 @@ def linear_contributions(df: DataFrame, model: LinearScore, prob: str = "churn_p
     (code-generated) expressions on that feature's own columns; leave them
     out when only factors and actions are needed.
     """
-    items, z = [], F.lit(model.intercept)
+    items, z = [], sql_lit(float(model.intercept))
     for name, value, x, coef, centre in model.terms:
         c = model.contribution(x, coef, centre)
-        items.append(annotated_item(name, value.cast("double"), c) if with_text else
-                     F.struct(F.lit(name).alias("feature"), value.cast("double").alias("value"),
-                              c.alias("contribution")))
-        z = z + c
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        v = f"cast({value} as double)"
+        items.append(annotated_item_sql(name, v, c) if with_text else
+                     f"named_struct('feature', {sql_lit(name)}, 'value', {v}, 'contribution', {c})")
+        z = f"{z} + {c}"
+    p = f"1.0D / (1.0D + exp(-({z})))"
     if model.digits is not None:
-        p = F.round(p, model.digits)
-    return df.select("*", F.array(*items).alias(out), p.alias(prob))
+        p = f"round({p}, {model.digits})"
+    return df.selectExpr("*", f"array({', '.join(items)}) as {qi(out)}", f"{p} as {qi(prob)}")
 
 
 def contributions_long(df: DataFrame, id_col: str, contribs: str = "contribs") -> DataFrame:
@@ -230,25 +229,35 @@ def sentence(feature: Column, value: Column, contribution: Column) -> Column:
     return F.when(is_ranged(feature) & value.isNotNull(), ranged).otherwise(plain)
 
 
-def sentence_static(name: str, value: Column, contribution: Column) -> Column:
-    """X10 for a feature whose name is known when the plan is built."""
-    verb = F.when(contribution > 0, F.lit("increases")).otherwise(F.lit("reduces"))
+def _strength_sql(c: str) -> str:
+    whens = " ".join(f"when abs({c}) < {sql_lit(b)} then {sql_lit(w)}" for b, w in STRENGTH_WORDS)
+    return f"case {whens} else {sql_lit(STRENGTH_TOP)} end"
+
+
+def _phrase_sql(name: str, v: str) -> str:
+    whens = " ".join(f"when {v} >= {lo} and {v} < {hi} then {sql_lit(t)}" for lo, hi, t in NUMERICAL_RANGES[name])
+    return f"case {whens} else regexp_replace(format_number({v}, 2), ',', '') end"
+
+
+def sentence_static(name: str, value: str, contribution: str) -> str:
+    """X10 for a feature whose name is known when the plan is built (SQL text)."""
+    verb = f"case when {contribution} > 0 then 'increases' else 'reduces' end"
     desc = FEATURE_DESCRIPTIONS.get(name, name.replace("_", " "))
-    plain = F.concat(F.lit(desc.capitalize() + " "), strength(contribution), F.lit(" "), verb,
-                     F.lit(" churn risk."))
+    strength_sql = _strength_sql(contribution)
+    plain = f"concat({sql_lit(desc.capitalize() + ' ')}, {strength_sql}, ' ', {verb}, ' churn risk.')"
     if name not in NUMERICAL_RANGES:
         return plain
-    ranged = F.concat(F.lit("Their "), value_phrase(F.lit(name), value), F.lit(f" ({desc}) "),
-                      strength(contribution), F.lit(" "), verb, F.lit(" churn risk."))
-    return F.when(value.isNotNull(), ranged).otherwise(plain)
+    ranged = (f"concat('Their ', {_phrase_sql(name, value)}, {sql_lit(' (' + desc + ') ')}, {strength_sql}, ' ', "
+              f"{verb}, ' churn risk.')")
+    return f"case when {value} is not null then {ranged} else {plain} end"
 
 
-def annotated_item(name: str, value: Column, contribution: Column) -> Column:
-    """One contribution element with its text fields (static feature name)."""
+def annotated_item_sql(name: str, value: str, contribution: str) -> str:
+    """One contribution element with its text fields (static feature name, SQL text)."""
     desc = FEATURE_DESCRIPTIONS.get(name, name.replace("_", " "))
-    return F.struct(F.lit(name).alias("feature"), value.alias("value"), contribution.alias("contribution"),
-                    F.lit(desc).alias("description"), strength(contribution).alias("strength"),
-                    sentence_static(name, value, contribution).alias("sentence"))
+    return (f"named_struct('feature', {sql_lit(name)}, 'value', {value}, 'contribution', {contribution}, "
+            f"'description', {sql_lit(desc)}, 'strength', {_strength_sql(contribution)}, "
+            f"'sentence', {sentence_static(name, value, contribution)})")
 
 
 def annotate(contribs: Column) -> Column:
@@ -303,7 +312,7 @@ def _let(value: Column, body) -> Column:
 def reason_text(contribs: Column, n: int = REASON_TOP_N) -> Column:
     """X11: the plain-English explanation over the top n absolute contributions.
 
-    ``contribs`` must carry the text fields (:func:`annotated_item` or
+    ``contribs`` must carry the text fields (:func:`annotated_item_sql` or
     :func:`annotate`).
     """
     def body(top):
