@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnkit.functions.columns import col
+from churnkit.functions.columns import col, qi
 from churnkit.operators.ordered import running_totals
 
 EPS = 1e-10            # F1 denominator guard of the threshold search
@@ -69,11 +69,11 @@ def apply_threshold(df: DataFrame, threshold, prob: str = "prob", out: str = "pr
 
 
 def metric_columns(pred: str = "pred", label: str = "label"):
-    p, y = col(pred), col(label)
-    tp = F.sum(F.when((p == 1) & (y == 1), 1).otherwise(0)).cast("long")
-    fp = F.sum(F.when((p == 1) & (y == 0), 1).otherwise(0)).cast("long")
-    fn = F.sum(F.when((p == 0) & (y == 1), 1).otherwise(0)).cast("long")
-    n = F.count(F.lit(1))
+    p, y = qi(pred), qi(label)
+    tp = F.expr(f"cast(sum(case when {p} = 1 and {y} = 1 then 1 else 0 end) as bigint)")
+    fp = F.expr(f"cast(sum(case when {p} = 1 and {y} = 0 then 1 else 0 end) as bigint)")
+    fn = F.expr(f"cast(sum(case when {p} = 0 and {y} = 1 then 1 else 0 end) as bigint)")
+    n = F.expr("count(1)")
     return tp, fp, fn, n
 
 
@@ -82,18 +82,19 @@ def evaluate(df: DataFrame, pred: str = "pred", label: str = "label", by: list[s
     by = list(by or [])
     tp, fp, fn, n = metric_columns(pred, label)
     counts = df.groupBy(*[col(b) for b in by]).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), n.alias("n"))
-    return counts.select(*by, *metrics_from_counts())
+    return counts.selectExpr(*[qi(b) for b in by], *METRICS_SQL)
 
 
-def metrics_from_counts():
-    tp, fp, fn, n = F.col("tp"), F.col("fp"), F.col("fn"), F.col("n")
-    tn = n - tp - fp - fn
+def _ratio(a: str, b: str) -> str:
+    return f"case when {b} = 0 then 0.0D else ({a}) / ({b}) end"
+
 
-    def ratio(a, b):
-        return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
+METRICS_SQL = [f"{_ratio('n - fp - fn', 'n')} as accuracy", f"{_ratio('tp', 'tp + fp')} as precision",
+               f"{_ratio('tp', 'tp + fn')} as recall", f"{_ratio('2 * tp', '2 * tp + fp + fn')} as f1"]
 
-    return [ratio(tp + tn, n).alias("accuracy"), ratio(tp, tp + fp).alias("precision"),
-            ratio(tp, tp + fn).alias("recall"), ratio(F.lit(2) * tp, F.lit(2) * tp + fp + fn).alias("f1")]
+
+def metrics_from_counts():
+    return [F.expr(m) for m in METRICS_SQL]
 
 
 def overfit_table(preds: DataFrame, model: str = "model", part: str = "part", pred: str = "pred",
