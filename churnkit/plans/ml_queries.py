@@ -248,7 +248,7 @@ def u3_build_final(spark, sf_dir):
     return ml.predict_proba(m, test, feats, keep=[ID, LABEL])
 
 
-def run_pipeline(spark, sf_dir, k: int = 3, balance: bool = True):
+def run_end_to_end(spark, sf_dir, k: int = 3, balance: bool = True):
     """U4: split, tune, stack with balancing inside the folds, threshold from
     out-of-fold training scores, test metrics and the overfit table."""
     train, test, feats, _ = scaled_parts(spark, sf_dir)
@@ -268,10 +268,10 @@ def run_pipeline(spark, sf_dir, k: int = 3, balance: bool = True):
     return thr, evaluate(both.filter(F.col("part") == "test"), "pred", LABEL), overfit_table(both, label=LABEL)
 
 
-@register("u4_run_pipeline")
-def u4_run_pipeline(spark, sf_dir):
+@register("u4_end_to_end")
+def u4_end_to_end(spark, sf_dir):
     # two folds keep the registered run short; the fold count is a parameter
-    thr, metrics, over = run_pipeline(spark, sf_dir, k=2)
+    thr, metrics, over = run_end_to_end(spark, sf_dir, k=2)
     return over.crossJoin(metrics).withColumn("threshold", F.lit(float(thr)))
 
 
