@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnkit.functions.columns import col
+from churnkit.functions.columns import col, qi, sql_lit
 from churnkit.operators.joins import salted_join
 
 HIGH_CUTOFF = 0.6  # probability above which a customer is High risk
@@ -23,6 +23,9 @@ STATUSES = (PENDING, CONTACTED, RESOLVED)
 
 def risk_level(prob, threshold) -> F.Column:
     """> 0.6 High, > threshold Medium, else Low."""
+    if isinstance(prob, str) and not isinstance(threshold, F.Column):
+        return F.expr(f"case when {qi(prob)} > {HIGH_CUTOFF}D then '{HIGH}' when {qi(prob)} > "
+                      f"{sql_lit(float(threshold))} then '{MEDIUM}' else '{LOW}' end")
     p = col(prob) if isinstance(prob, str) else prob
     t = threshold if isinstance(threshold, F.Column) else F.lit(float(threshold))
     return F.when(p > HIGH_CUTOFF, HIGH).when(p > t, MEDIUM).otherwise(LOW)
@@ -41,11 +44,10 @@ def level_counts(df: DataFrame, level: str = "risk_level") -> DataFrame:
 
 def queue_rows(preds: DataFrame, ts: str = "timestamp", level: str = "risk_level") -> DataFrame:
     """Q1/Q2: the High rows of a prediction frame as new pending queue entries."""
-    high = preds.filter(col(level) == HIGH)
-    extra = [F.lit(PENDING).alias("status"), F.lit(None).cast("string").alias("follow_up_notes"),
-             col(ts).alias("last_updated")]
+    high = preds.filter(f"{qi(level)} = '{HIGH}'")
     keep = [c for c in preds.columns if c not in ("status", "follow_up_notes", "last_updated", "batch_id")]
-    return high.select(*[col(c) for c in keep], *extra)
+    return high.selectExpr(*[qi(c) for c in keep], f"'{PENDING}' as status",
+                           "cast(null as string) as follow_up_notes", f"{qi(ts)} as last_updated")
 
 
 def batch_summary(preds: DataFrame, batches: DataFrame | None = None, batch: str = "batch_id",
@@ -117,20 +119,19 @@ def apply_updates(queue_df: DataFrame, updates: DataFrame, customer: str = "cust
     latest = latest.select("_cust", "u.u_ts", "u.u_status", "n.n_ts", "n.n_notes")
     # a customer holding a large share of the queue is spread over several tasks
     j = salted_join(queue_df, latest, customer, "_cust", "left")
-    applies = F.col("u_ts").isNotNull() & (F.col("u_ts") >= F.col("timestamp"))
-    note_applies = F.col("n_ts").isNotNull() & (F.col("n_ts") >= F.col("timestamp"))
+    applies = "(u_ts is not null and u_ts >= `timestamp`)"
+    note_applies = "(n_ts is not null and n_ts >= `timestamp`)"
     out = []
     for c in queue_df.columns:
         if c == "status":
-            out.append(F.when(applies, F.col("u_status")).otherwise(F.col("status")).alias("status"))
+            out.append(f"case when {applies} then u_status else status end as status")
         elif c == "follow_up_notes":
-            out.append(F.when(note_applies, F.col("n_notes")).otherwise(F.col("follow_up_notes"))
-                       .alias("follow_up_notes"))
+            out.append(f"case when {note_applies} then n_notes else follow_up_notes end as follow_up_notes")
         elif c == "last_updated":
-            out.append(F.when(applies, F.col("u_ts")).otherwise(F.col("last_updated")).alias("last_updated"))
+            out.append(f"case when {applies} then u_ts else last_updated end as last_updated")
         else:
-            out.append(col(c))
-    return j.select(*out)
+            out.append(qi(c))
+    return j.selectExpr(*out)
 
 
 def retain(df: DataFrame, as_of: str, days: int, ts: str = "timestamp",
