@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from churnkit.functions.columns import qi, sql_lit
 

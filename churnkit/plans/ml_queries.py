@@ -160,21 +160,21 @@ def m7_select_top_features(spark, sf_dir):
 
 # ------------------------------------------------------------------ ensembles
 
-def _bases(n_rows):
+def _bases():
     return {"forest": ml.forest(**SMALL_FOREST), "gbt": ml.boosted(**SMALL_GBT)}
 
 
 @register("e1_stack")
 def e1_stack(spark, sf_dir):
     train, test, feats, _ = scaled_parts(spark, sf_dir)
-    model, _ = fit_stack(train, feats, _bases(None), LABEL, ID, k=3)
+    model, _ = fit_stack(train, feats, _bases(), LABEL, ID, k=3)
     return model.transform(test.select(ID, LABEL, *feats)).select(ID, LABEL, "p_forest", "p_gbt", "prob")
 
 
 @register("e5_escalate")
 def e5_escalate(spark, sf_dir):
     train, test, feats, _ = scaled_parts(spark, sf_dir)
-    return escalate(train, test, feats, ml.boosted(n_estimators=5, max_depth=2), _bases(None), target=0.95,
+    return escalate(train, test, feats, ml.boosted(n_estimators=5, max_depth=2), _bases(), target=0.95,
                     label=LABEL)
 
 
