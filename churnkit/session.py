@@ -22,6 +22,26 @@ BASE_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 4,
+               target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for the input: shuffle partitions so that each post-shuffle
+    partition starts near ``target_partition_bytes`` (AQE coalesces smaller
+    ones and splits skewed ones), at least two waves of tasks, and file splits
+    of the same size.  Our own broadcasts are bounded tables, so the automatic
+    broadcast threshold stays at Spark's default.
+    """
+    slots = executors * cores_per_executor
+    partitions = max(2 * slots, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+    }
+
+
 def get_session(master: str | None = None, app: str = "churnkit",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:

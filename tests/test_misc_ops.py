@@ -28,3 +28,12 @@ def test_compare_runs_tags_and_stacks(spark):
     b = spark.createDataFrame([(0.8, 0.4)], "accuracy double, f1 double")
     rows = compare_runs(("d1", a), ("d2", b)).orderBy("Dataset").collect()
     assert [(r["Dataset"], r["accuracy"]) for r in rows] == [("d1", 0.9), ("d2", 0.8)]
+
+
+def test_scale_conf_sizes_partitions():
+    from churnkit.session import scale_conf
+
+    conf = scale_conf(100 * (1 << 40), executors=1000, cores_per_executor=4)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600  # 100 TiB / 256 MiB
+    small = scale_conf(1 << 30, executors=10, cores_per_executor=4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 80      # two waves of 40 slots
