@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from churnkit.operators import models as ml
-from churnkit.operators.treeshap import extract_trees, shap_values, tree_contributions, tree_output
+from churnkit.operators.treeshap import batch_output, extract_trees, shap_values, tree_contributions, tree_output
 
 
 def _data(spark, n=400):
@@ -55,6 +55,7 @@ def test_gbt_additivity_and_brute_force(spark):
     for r in range(len(X)):
         assert abs(phi[r].sum() + base - tree_output(trees, X[r])) < 1e-9
         assert np.allclose(phi[r], _brute(trees, X[r], 3), atol=1e-9)
+    assert np.allclose(batch_output(trees, X), [tree_output(trees, x) for x in X], atol=0, rtol=0)
     # the tree walk reproduces MLlib's margin: rawPrediction = [-F, F]
     raw = m.transform(ml.prepare(df.limit(25), feats, "label")).select(
         vector_to_array("rawPrediction")[1].alias("f")).collect()
