@@ -177,3 +177,13 @@ def test_plans_have_no_python_udf(spark, name):
     plan = e.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
         assert node not in plan
+
+
+@pytest.mark.parametrize("name", ["q10_dedupe_queue", "c1_to_number", "i3_target_candidates"])
+def test_latest_per_key_is_limited_before_the_shuffle(spark, name):
+    """Top-n per key plans a partial WindowGroupLimit on the map side, so a hot key
+    sends at most n rows per mapper."""
+    import __spark_entry__ as e
+
+    plan = e.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
