@@ -375,7 +375,9 @@ def risk_report(df: DataFrame, id_col: str, contribs: str = "contribs", prob: st
 
     staged = df.select(col(id_col).alias("customer_id"), F.col(prob),
                        top_factors(F.col(contribs), BATCH_TOP_N).alias("top_factors"))
-    return staged.select("customer_id", F.round(F.col(prob), 4).alias("churn_probability"),
+    # rounded like Python's round(): on the binary value, not on its decimal text
+    rounded = F.regexp_replace(F.format_number(F.col(prob), 4), ",", "").cast("double")
+    return staged.select("customer_id", rounded.alias("churn_probability"),
                          risk_level(prob, threshold).alias("risk_level"), "top_factors",
                          recommend(F.col("top_factors")).alias("recommended_action")).orderBy(
         F.col("churn_probability").desc(), F.col("customer_id"))

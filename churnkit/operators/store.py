@@ -111,7 +111,8 @@ def apply_updates(queue_df: DataFrame, updates: DataFrame, customer: str = "cust
     and one join, salted for customers holding a large share of the queue;
     no pairs of updates and rows are formed.
     """
-    order = F.struct(F.col("ts"), F.col("update_id"))
+    # a total order: duplicate log rows (same ts and id) tie-break on their content
+    order = F.struct(F.col("ts"), F.col("update_id"), F.col("status"), F.col("follow_up_notes"))
     noted = F.when(F.length(F.coalesce(F.col("follow_up_notes"), F.lit(""))) > 0, order)
     latest = updates.groupBy(col(customer).alias("_cust")).agg(
         F.max_by(F.struct(F.col("ts").alias("u_ts"), F.col("status").alias("u_status")), order).alias("u"),

@@ -198,7 +198,8 @@ def x12_summary_text(spark, sf_dir):
 
 
 @register("x13_risk_report", with_fx(
-    "select l.\"customerID\" as customer_id, round(l.churn_probability, 4) as churn_probability, case when "
+    "select l.\"customerID\" as customer_id, cast(printf('%.4f', l.churn_probability) as double) "
+    "as churn_probability, case when "
     f"l.churn_probability > 0.6 then 'High' when l.churn_probability > {REPORT_THRESHOLD} then 'Medium' else 'Low' "
     f"end as risk_level, f.top_factors, {ACTION_TEXT_SQL} as recommended_action from lin l join factors3 f on "
     "l.\"customerID\" = f.\"customerID\" left join acts a on l.\"customerID\" = a.\"customerID\" "

@@ -33,9 +33,9 @@ APPLIED_SQL = (
     "as follow_up_notes, case when lu.u_ts is not null and lu.u_ts >= q.\"timestamp\" then lu.u_ts "
     "else q.last_updated end as last_updated from queue q "
     "left join (select customer_id as c, ts as u_ts, status as u_status from (select *, row_number() over "
-    "(partition by customer_id order by ts desc, update_id desc) as rn from upd) where rn = 1) lu "
+    "(partition by customer_id order by ts desc, update_id desc, status desc, follow_up_notes desc) as rn from upd) where rn = 1) lu "
     "on q.customer_id = lu.c left join (select customer_id as c, ts as n_ts, follow_up_notes as n_notes from "
-    "(select *, row_number() over (partition by customer_id order by ts desc, update_id desc) as rn from upd "
+    "(select *, row_number() over (partition by customer_id order by ts desc, update_id desc, status desc, follow_up_notes desc) as rn from upd "
     "where length(coalesce(follow_up_notes, '')) > 0) where rn = 1) ln on q.customer_id = ln.c")
 META_SQL = ("select batch_id, max(\"timestamp\") as \"timestamp\", count(*) as total_customers, "
             "count(*) filter (where risk_level = 'High') as high_risk_count, "
