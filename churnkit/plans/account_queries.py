@@ -132,7 +132,8 @@ def c8_align_columns(spark, sf_dir):
 
 @register("c10_clip", with_fx(
     "select \"customerID\", greatest(0, least(72, tenure)) as tenure_clipped, "
-    "greatest(-1.0, least(1.0, \"ChargeIncrease\" / 100000.0)) as charge_increase_clipped from feat",
+    "case when \"ChargeIncrease\" is null then null else greatest(-1.0, least(1.0, \"ChargeIncrease\" / 100000.0)) "
+    "end as charge_increase_clipped from feat",
     "acc", extra=ACC_CTES[:2]))
 def c10_clip(spark, sf_dir):
     f = acc_ops.featurize_accounts(accounts(spark, sf_dir))

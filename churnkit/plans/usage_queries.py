@@ -48,7 +48,8 @@ def _std_sql(cols):
 
 
 def _clip_sql(e):
-    return f"greatest(-1.0, least(1.0, {e}))"
+    # null stays null (pandas clip keeps NaN); DuckDB's least/greatest would skip it
+    return f"case when ({e}) is null then null else greatest(-1.0, least(1.0, {e})) end"
 
 
 def _drop_sql(m):
