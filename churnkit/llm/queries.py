@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnkit.llm import decontaminate, langid, packing, pii
+from churnkit.llm import decontaminate, jaccard, langid, packing, pii
 from churnkit.llm.textkit import held_out
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         text_of(pii.KINDS).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_language, op7_contamination, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_language, op7_contamination, op9_ngram_jaccard, op10_pii)}
 ORACLE: dict[str, str] = {}
