@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnkit.llm import decontaminate, jaccard, langid, packing, pii
+from churnkit.llm import decontaminate, jaccard, langid, packing, pii, repeats
 from churnkit.llm.textkit import held_out
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -24,6 +24,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("bigint").alias("n_removed"),
+                      F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit_language_model(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
@@ -55,5 +61,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         text_of(pii.KINDS).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_language, op7_contamination, op9_ngram_jaccard, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_suffix_dedup, op4_language, op7_contamination, op9_ngram_jaccard, op10_pii)}
 ORACLE: dict[str, str] = {}

@@ -46,3 +46,21 @@ def jaccard_components(docs: dict, k: int = 4, percent: int = 85) -> dict:
                     x, y = find(a), find(b)
                     parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in docs}
+
+
+def remove_repeats(texts: list[str | None], length: int = 200) -> list[tuple[int, int, int, bytes]]:
+    """Per text: bytes, removed bytes, maximal removed runs, kept bytes."""
+    raw = [(t or "").encode() for t in texts]
+    count = defaultdict(int)
+    for b in raw:
+        for i in range(len(b) - length + 1):
+            count[b[i:i + length]] += 1
+    out = []
+    for b in raw:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if count[b[i:i + length]] > 1:
+                gone[i:i + length] = b"\1" * length
+        runs = sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1]))
+        out.append((len(b), sum(gone), runs, bytes(c for c, g in zip(b, gone) if not g)))
+    return out
