@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from churnkit.llm.textkit import slices, utf8
+from churnkit.llm.textkit import hash_sample, slices, utf8
 
 BITS = 12
 DIM = 1 << BITS
@@ -148,25 +148,11 @@ class LanguageModel:
 
 
 def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
-    """At most ``per_lang`` labelled rows of each language: those whose hashed id falls below the
-    language's cut.  The cuts come from counts over all rows (4,096 hash slots a language)."""
+    """At most ``per_lang`` labelled rows of each language, chosen by hashed id over all rows."""
     rows = (df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"),
                       df[lang_col].cast("string").alias("lang"))
-            .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-            .withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(4096)).cast("int")))
-    taken: dict[str, int] = {}
-    cut: dict[str, int] = {}
-    for r in sorted(rows.groupBy("lang", "slot").count().collect(), key=lambda r: (r["lang"], r["slot"])):
-        total = taken.get(r["lang"], 0) + r["count"]
-        if total <= per_lang or r["lang"] not in cut:
-            cut[r["lang"]] = r["slot"]
-        else:
-            total = per_lang + 1
-        taken[r["lang"]] = total
-    keep = F.lit(False)
-    for lang, slot in cut.items():
-        keep = keep | ((F.col("lang") == lang) & (F.col("slot") <= slot))
-    return rows.where(keep).select("text", "lang")
+            .where(F.col("lang").isNotNull() & F.col("text").isNotNull()))
+    return rows.where(hash_sample(rows, "id", per_lang, "lang")).select("text", "lang")
 
 
 def fit_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

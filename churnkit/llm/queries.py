@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnkit.llm import decontaminate, jaccard, langid, packing, pii, repeats
+from churnkit.llm import cotraining, decontaminate, jaccard, langid, licenses, packing, pii, quality_rules, repeats, sharding
 from churnkit.llm.textkit import held_out
 
+SHARDS = [f"shard-{i:04d}" for i in range(1024)]
 TOKENIZER_FILE = "word_bpe_49k.json"
 
 
@@ -24,6 +25,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its confirmed notices and the licenses they name."""
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("found").cast("bigint").alias("n_notices"),
+                        F.array_join(F.array_sort(F.array_distinct("found.license")), ",").alias("licenses"),
+                        F.array_join(F.transform("found", lambda f: F.concat_ws(
+                            ":", f["license"], f["start"].cast("string"), f["end"].cast("string"),
+                            (f["missing"] + f["changed"] + f["added"]).cast("string"))), ",").alias("notices"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("bigint").alias("n_removed"),
@@ -37,10 +48,24 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.repetition(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score_quality(docs, cotraining.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -61,5 +86,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         text_of(pii.KINDS).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_suffix_dedup, op4_language, op7_contamination, op9_ngram_jaccard, op10_pii)}
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_licenses, op3_suffix_dedup, op4_language, op5_quality_rules, op6_quality_classifier,
+    op7_contamination, op8_sharding, op9_ngram_jaccard, op10_pii)}
 ORACLE: dict[str, str] = {}

@@ -135,6 +135,29 @@ def ngrams(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return mix(g[at] + np.uint64(k)), at
 
 
+def hash_sample(rows: DataFrame, id_col: str, per_group: int, group_col: str | None = None) -> Column:
+    """A condition that holds for at most ``per_group`` rows of each group, those with the smallest
+    hashed ids (or one of 4,096 hash slots, if the first alone holds more).
+
+    The cuts come from counts over all rows, so the choice is the same on every run.
+    """
+    group = rows[group_col] if group_col else F.lit("")
+    slot = F.pmod(F.xxhash64(rows[id_col]), F.lit(4096)).cast("int")
+    counts = rows.groupBy(group.alias("g"), slot.alias("slot")).count().collect()
+    taken, cut = {}, {}
+    for r in sorted((r for r in counts if r["g"] is not None), key=lambda r: (str(r["g"]), r["slot"])):
+        total = taken.get(r["g"], 0) + r["count"]
+        if total <= per_group or r["g"] not in cut:
+            cut[r["g"]] = r["slot"]
+        else:
+            total = per_group + 1
+        taken[r["g"]] = total
+    keep = F.lit(False)
+    for g, last in cut.items():
+        keep = keep | ((group == F.lit(g)) & (slot <= last))
+    return keep
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 4 is 2; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
