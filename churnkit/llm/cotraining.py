@@ -29,7 +29,7 @@ PER_CLASS = 1500
 POOL = 4000
 ROUNDS = 4
 PER_ROUND = 0.05
-SURE = 0.9
+SURE = 0.95
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>@=+~^\\_{}[]"]] = True
@@ -110,20 +110,28 @@ class Logistic:
         return x @ self.weight + self.bias
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        """Platt scaling by Newton steps, on smoothed targets."""
+        """Platt scaling by Newton steps that never raise the loss, on smoothed targets."""
         if len(set(y.tolist())) < 2:
             return self
         z, pos, neg = self.margin(x), (y > 0).sum(), (y == 0).sum()
         target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-        a, b = 1.0, float(np.log((pos + 1) / (neg + 1)))
-        for _ in range(50):
+        def loss(a, b):
+            f = a * z + b
+            return float((np.logaddexp(0, f) - target * f).sum() + 1e-3 * a * a)
+
+        a, b = 0.0, float(np.log((pos + 1) / (neg + 1)))
+        now = loss(a, b)
+        for _ in range(100):
             p = _sigmoid(a * z + b)
-            g = np.array([((p - target) * z).sum() + 1e-6 * a, (p - target).sum()])
-            v = p * (1 - p)
-            hess = np.array([[(v * z * z).sum() + 1e-6, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-6]])
-            da, db = np.linalg.solve(hess, g)
-            a, b = a - da, b - db
-            if abs(da) + abs(db) < 1e-8:
+            v = np.maximum(p * (1 - p), 1e-9)
+            g = np.array([((p - target) * z).sum() + 2e-3 * a, (p - target).sum()])
+            hess = np.array([[(v * z * z).sum() + 2e-3, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-6]])
+            step, size = np.linalg.solve(hess, g), 1.0
+            while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > now:
+                size /= 2
+            a, b = a - size * step[0], b - size * step[1]
+            before, now = now, loss(a, b)
+            if before - now < 1e-9:
                 break
         self.slope, self.shift = max(0.0, float(a)), float(b)
         return self
@@ -148,27 +156,29 @@ def co_train(xt, xm, y, pool_t, pool_m, aside, rounds: int = ROUNDS, per_round:
     """Fit both views on the labelled rows not ``aside`` and on each other's surest pool labels; calibrate on those aside."""
     if len(set(y[~aside].tolist())) < 2:
         return None
+    rows = aside if len(set(y[aside].tolist())) == 2 else np.ones(len(y), bool)
     known = {"t": (xt[~aside], y[~aside]), "m": (xm[~aside], y[~aside])}
     views, left = {"t": pool_t, "m": pool_m}, np.arange(len(pool_t))
     for _ in range(rounds):
-        fitted = {v: Logistic.fit(*known[v]) for v in known}
+        # sure by calibrated probability: a view that says little about quality teaches nothing
+        fitted = {v: Logistic.fit(*known[v]).calibrate(x[rows], y[rows]) for v, x in (("t", xt), ("m", xm))}
         taken = set()
         for v, other in (("t", "m"), ("m", "t")):
             if not len(left):
                 break
-            p = _sigmoid(fitted[v].margin(views[v][left]))
+            p = _sigmoid(fitted[v].log_odds(views[v][left]))
             n = max(1, int(per_round * len(pool_t)))
             order = np.argsort(p, kind="stable")
             good = [i for i in order[::-1][:n] if p[i] >= SURE]
             poor = [i for i in order[:n] if p[i] <= 1 - SURE]
-            rows = left[good + poor]
+            taught = left[good + poor]
             x, labels = known[other]
-            known[other] = (np.concatenate([x, views[other][rows]]), np.concatenate([labels, [1.0] * len(good) + [0.0] * len(poor)]))
-            taken.update(rows.tolist())
+            known[other] = (np.concatenate([x, views[other][taught]]), np.concatenate([labels, [1.0] * len(good) + [0.0] * len(poor)]))
+            taken.update(taught.tolist())
         left = np.array([i for i in left if i not in taken], np.int64)
     final = {v: Logistic.fit(*known[v]) for v in known}
-    rows = aside if len(set(y[aside].tolist())) == 2 else np.ones(len(y), bool)
-    prior = float(np.log(((y > 0).sum() + 1) / ((y == 0).sum() + 1)))
+    # of the rows that both calibrations saw, so that a view without a say adds nothing
+    prior = float(np.log(((y[rows] > 0).sum() + 1) / ((y[rows] == 0).sum() + 1)))
     return CoTrained(final["t"].calibrate(xt[rows], y[rows]), final["m"].calibrate(xm[rows], y[rows]), prior)
 
 
