@@ -48,7 +48,7 @@ TEMPLATES = {
 }
 SIGNAL = re.compile(r"licen[sc]|copyright|permission is hereby|redistribution and use|free software|creative commons", re.IGNORECASE)
 WORD = re.compile(r"[0-9A-Za-z]+(?:[.'/-][0-9A-Za-z]+)*")
-RANKED = 4
+RANKED = 6
 MIN_GAIN = 0.25
 MAX_WRONG = 0.15
 
@@ -79,14 +79,15 @@ class Scanner:
             # the share of the template's own words that the dictionary saved
             saved = alone - len(c.compress(raw))
             ranked.append((saved / max(1, min(alone, len(" ".join(self.words[i])))), saved, -i))
+        winners = []
         for gain, _, i in sorted(ranked, reverse=True)[:RANKED]:
             if gain < MIN_GAIN:
                 break
             wording = self.differences(self.words[-i], said)
             if sum(wording) <= MAX_WRONG * len(self.words[-i]):
-                # of templates with the same wording differences the better compressed one stands first
-                return (self.licenses[-i], self.names[-i], round(gain, 4), *wording)
-        return None
+                winners.append((sum(wording), -gain, self.licenses[-i], self.names[-i], round(gain, 4), *wording))
+        # of the confirmed ones the fewest differences win, then the better compression
+        return min(winners)[2:] if winners else None
 
     @staticmethod
     def differences(template: list[str], said: list[str]) -> tuple[int, int, int]:
