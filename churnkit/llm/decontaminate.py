@@ -5,7 +5,7 @@ ASCII punctuation and white space as separators.  Windows of ``seed_words``
 words that an item and a document share (joined by hash in a table of the
 items' windows) are the seeds.  From the seeds, greedy string tiling repeatedly
 marks the longest match of words not yet covered on either side; Karp-Rabin
-window hashes find the matches and the words themselves confirm them.  The
+hashes of windows find the matches and the words themselves confirm them.  The
 share of an item's words under tiles is its coverage, which does not depend on
 the order in which a document has the item's parts.
 
@@ -16,7 +16,6 @@ once per block and never shuffled.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,13 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from churnkit.llm.textkit import LOWER, NOT_ALNUM, keyed_text, ngrams, slices, utf8, word_bounds, word_hashes
+from churnkit.llm.textkit import (LOWER, NOT_ALNUM, keyed_text, ngrams, powers, slices, utf8, word_bounds,
+                                  word_hashes)
 
 SEED_WORDS = 4
 THRESHOLD = 0.5
 MIN_WORDS = 8
 BLOCK_CHARS = 8 << 20
 _FILTER_BITS = 22
+KR_BASE = 0xD1342543DE82EF95
 
 
 def passage_words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -42,13 +43,13 @@ def passage_words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
 @dataclass
 class ItemBlock:
-    """Words of a block of items and the sorted table of their seed windows."""
+    """Words of a block of items and the sorted table of their distinct seed windows, one row per seed and item."""
 
     ids: list
     words: list[np.ndarray]
+    seeds: list[np.ndarray]  # of each item, by place
     seed: np.ndarray
     item: np.ndarray
-    place: np.ndarray
     filter: np.ndarray
     k: int
 
@@ -56,90 +57,117 @@ class ItemBlock:
     def build(ids: list, texts: list, k: int, min_words: int) -> ItemBlock:
         h, doc, _, n = passage_words(pa.array(texts, pa.string()))
         first = np.searchsorted(doc, np.arange(n + 1))
-        sizes = np.diff(first)
-        seed, at = ngrams(h, doc, k)
-        item = doc[at]
-        keep = sizes[item] >= min_words
-        seed, at, item = seed[keep], at[keep], item[keep]
+        grams, at = ngrams(h, doc, k)
+        cut = np.searchsorted(at, first)
+        words = [h[a:b] for a, b in zip(first, first[1:])]
+        seeds = [grams[a:b] for a, b in zip(cut, cut[1:])]
+        own = [np.unique(s) if len(w) >= min_words else s[:0] for s, w in zip(seeds, words)]
+        seed = np.concatenate([*own, np.zeros(0, np.uint64)])
+        item = np.repeat(np.arange(n), [len(s) for s in own])
         order = np.argsort(seed, kind="stable")
         seen = np.zeros(1 << _FILTER_BITS, bool)
         seen[(seed >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return ItemBlock(ids, [h[a:b] for a, b in zip(first, first[1:])], seed[order], item[order],
-                         (at - first[item])[order], seen, k)
+        return ItemBlock(ids, words, seeds, seed[order], item[order], seen, k)
 
-    def hits(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each match of a window with a seed: window number, item, place in the item."""
-        near = np.flatnonzero(self.filter[(seeds >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        lo = np.searchsorted(self.seed, seeds[near], side="left")
-        n = np.searchsorted(self.seed, seeds[near], side="right") - lo
-        window = np.repeat(near, n)
-        row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return window, self.item[row], self.place[row]
+    def hits(self, grams: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (document, item, row of the seed table) of the windows that are seeds."""
+        near = np.flatnonzero(self.filter[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+        low = np.searchsorted(self.seed, grams[near], side="left")
+        found = np.flatnonzero((low < len(self.seed)) & (self.seed[np.minimum(low, len(self.seed) - 1)] == grams[near])
+                               if len(self.seed) else np.zeros(len(near), bool))
+        pairs = np.unique(np.stack([doc[near[found]], low[found]]), axis=1)
+        n = np.searchsorted(self.seed, self.seed[pairs[1]], side="right") - pairs[1]
+        row = np.repeat(pairs[1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(pairs[0], n), self.item[row], row
 
 
-def tiles(a: np.ndarray, b: np.ndarray, hits: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of word sequences ``a`` and ``b`` from ``k``-word seeds (place in a, place in b).
+class _Side:
+    """A word sequence with its marks and Karp-Rabin hashes of its free windows."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        self.words, self.free = words, np.ones(n, bool)
+        base = powers(KR_BASE, n + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * base[:n], dtype=np.uint64)])
+        self.inverse = powers(pow(KR_BASE, -1, 2**64), n + 1)
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the free windows of ``size`` words, and their hashes."""
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(taken[size:] == taken[:-size])
+        return at, (self.sums[at + size] - self.sums[at]) * self.inverse[at]
+
+
+def tiles(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of word sequences ``a`` and ``b``: (place in a, place in b, words) of each tile.
 
     Longest match first, ties by place in a, then b; every word of either side
-    lies in one tile at most, and no tile is shorter than ``k``.
+    lies in one tile at most, and no tile is shorter than ``k``.  The longest
+    length is found by binary search, all tiles of that length are marked in
+    one pass, then the next shorter length follows.
     """
-    runs, open_runs = [], {}
-    for i, j in sorted(set(hits), key=lambda h: (h[1] - h[0], h[0])):
-        if not np.array_equal(a[i:i + k], b[j:j + k]):
-            continue  # seeds met by hash only
-        last = open_runs.get(j - i)
-        if last is not None and i <= last[0] + last[2] - k + 1:
-            last[2] = i + k - last[0]
-        else:
-            open_runs[j - i] = last = [i, j, k]
-            runs.append(last)
-    heap = [(-n, i, j) for i, j, n in runs]
-    heapq.heapify(heap)
-    in_a, in_b, out = np.zeros(len(a), bool), {}, []
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        n = -n
-        free = [not in_a[i + x] and (j + x) not in in_b for x in range(n)]
-        if all(free):
-            in_a[i:i + n] = True
-            in_b.update(dict.fromkeys(range(j, j + n)))
-            out.append((i, j, n))
+    x, y, out = _Side(a), _Side(b), []
+    top = min(len(a), len(b))
+    while top >= k:
+        low, high = k - 1, top
+        while low < high:
+            middle = (low + high + 1) // 2
+            if np.isin(x.windows(middle)[1], y.windows(middle)[1]).any():
+                low = middle
+            else:
+                high = middle - 1
+        if low < k:
+            break
+        out += _mark(x, y, low)
+        top = low - 1
+    return out
+
+
+def _mark(x: _Side, y: _Side, size: int) -> list[tuple[int, int, int]]:
+    (ia, ha), (jb, hb) = x.windows(size), y.windows(size)
+    shared = np.isin(ha, hb)
+    order = np.argsort(hb, kind="stable")
+    hb, jb = hb[order], jb[order]
+    begin = np.searchsorted(hb, ha[shared], side="left")
+    stop = np.searchsorted(hb, ha[shared], side="right")
+    next_of: dict[int, int] = {}
+    out = []
+    for i, s, e in zip(ia[shared].tolist(), begin.tolist(), stop.tolist()):
+        if not x.free[i:i + size].all():
             continue
-        x = 0
-        while x < n:  # what is left of the run goes back to wait its turn
-            y = x
-            while y < n and free[y]:
-                y += 1
-            if y - x >= k:
-                heapq.heappush(heap, (-(y - x), i + x, j + x))
-            x = y + 1
+        at = next_of.get(s, s)
+        while at < e and not y.free[jb[at]:jb[at] + size].all():
+            at += 1
+        next_of[s] = at  # what is marked stays marked
+        for c in range(at, e):  # beyond the first only after a hash collision
+            j = int(jb[c])
+            if y.free[j:j + size].all() and np.array_equal(x.words[i:i + size], y.words[j:j + size]):
+                x.free[i:i + size] = y.free[j:j + size] = False
+                out.append((i, j, size))
+                break
     return out
 
 
 def batch_matches(block: ItemBlock, column, threshold: float) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, covered words, item words, tiles) of the documents of a slice that reach the threshold."""
     h, doc, _, n = passage_words(column)
-    seeds, at = ngrams(h, doc, block.k)
-    window, item, place = block.hits(seeds)
-    if not len(window):
+    grams, at = ngrams(h, doc, block.k)
+    row, item, seed = block.hits(grams, doc[at])
+    if not len(row):
         return
-    at = at[window]
-    row = doc[at]
     first = np.searchsorted(doc, np.arange(n + 1))
-    order = np.lexsort((at, item, row))
-    row, item, place, at = row[order], item[order], place[order], at[order]
+    order = np.lexsort((seed, item, row))
+    row, item, seed = row[order], item[order], seed[order]
     new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
     for s, e in zip(new, np.r_[new[1:], len(row)]):
         a = block.words[item[s]]
+        spots = np.flatnonzero(np.isin(block.seeds[item[s]], block.seed[seed[s:e]]))
         reach = np.zeros(len(a) + 1, np.int64)
-        spots = np.unique(place[s:e])
         np.add.at(reach, spots, 1)
         np.add.at(reach, spots + block.k, -1)
         if (np.cumsum(reach)[:-1] > 0).sum() < threshold * len(a):
             continue  # no tiling covers more than all seeds together
-        base = first[row[s]]
-        b = h[base:first[row[s] + 1]]
-        got = tiles(a, b, list(zip(place[s:e].tolist(), (at[s:e] - base).tolist())), block.k)
+        got = tiles(a, h[first[row[s]]:first[row[s] + 1]], block.k)
         covered = sum(t[2] for t in got)
         if covered and covered >= threshold * len(a):
             yield int(row[s]), int(item[s]), covered, len(a), len(got)

@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from churnkit.llm.textkit import BYTE_VALUE, keyed_text, mix, slices, utf8
+from churnkit.llm.textkit import BYTE_VALUE, keyed_text, mix, powers, slices, utf8
 from churnkit.session import scratch_path
 
 LENGTH = 200
@@ -40,16 +40,6 @@ BATCH_MEMBERS = 4096
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
 
 
 class PrefixHash:

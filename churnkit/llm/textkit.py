@@ -38,6 +38,19 @@ for _i in range(1, LONG_WORD + 1):
 PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n - 1) modulo 2**64."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 16), base, np.uint64)
+        have[0] = 1
+        _powers[base] = have = np.multiply.accumulate(have)
+    return have[:n]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit hashes over all bits."""
     h = h ^ (h >> np.uint64(30))
