@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,57 +30,7 @@ def sql_lit(v) -> str:
     return str(v)
 
 
-def to_number(c: Column | str, default: float | None = 0.0) -> Column:
-    """Lenient numeric parse: text that is not a number -> null -> default."""
-    c = col(c) if isinstance(c, str) else c
-    parsed = c.cast("string").try_cast("double")
-    return parsed if default is None else F.coalesce(parsed, F.lit(float(default)))
-
-
-def yes_no(c: Column | str) -> Column:
-    """'Yes' -> 1, 'No' -> 0, anything else -> null."""
-    c = col(c) if isinstance(c, str) else c
-    return F.when(c == "Yes", 1).when(c == "No", 0)
-
-
-def map_values(c: Column | str, mapping: dict) -> Column:
-    """Lookup in a fixed mapping; unmapped -> null."""
-    c = col(c) if isinstance(c, str) else c
-    out = None
-    for k, v in mapping.items():
-        out = (F.when(c == k, F.lit(v)) if out is None else out.when(c == k, F.lit(v)))
-    return out if out is not None else F.lit(None)
-
-
 def clip(c: Column | str, lo: float, hi: float) -> Column:
     """Clamp to [lo, hi]; null stays null."""
     c = col(c) if isinstance(c, str) else c
     return F.when(c.isNull(), F.lit(None)).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
-
-
-def row_sum(cols: list) -> Column:
-    return reduce(add, [col(c) if isinstance(c, str) else c for c in cols])
-
-
-def row_mean(cols: list) -> Column:
-    return row_sum(cols) / F.lit(float(len(cols)))
-
-
-def row_std(cols: list) -> Column:
-    """Row-wise sample deviation (n-1) over k columns.
-
-    Two-pass form over the row's own values, as pandas computes it; with one
-    column the result is null (0/0 in pandas gives NaN).
-    """
-    k = len(cols)
-    if k < 2:
-        return F.lit(None).cast("double")
-    cs = [col(c) if isinstance(c, str) else c for c in cols]
-    mean = row_mean(cs)
-    ss = reduce(add, [(c - mean) * (c - mean) for c in cs])
-    return F.sqrt(ss / F.lit(float(k - 1)))
-
-
-def safe_ratio(num: Column, den: Column) -> Column:
-    """num / den, null where den is 0 (ANSI-safe)."""
-    return F.try_divide(num, den)

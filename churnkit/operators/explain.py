@@ -350,24 +350,6 @@ def summary_text(contribs: Column, prob: Column) -> Column:
     return _let(F.element_at(top_items(contribs, 1, "abs"), 1), body)
 
 
-def explain_frame(df: DataFrame, id_col: str, contribs: str = "contribs", prob: str = "churn_probability",
-                  threshold: float = 0.5) -> DataFrame:
-    """Per customer: level, top 3 factors, action, reason and summary.
-
-    ``contribs`` must carry the text fields.  Factors are computed in their
-    own projection and referenced twice, so the optimizer keeps them as one
-    column instead of sorting the contributions twice.
-    """
-    from churnkit.operators.store import risk_level
-
-    staged = df.select(col(id_col), F.col(prob), F.col(contribs),
-                       top_factors(F.col(contribs), BATCH_TOP_N).alias("top_factors"))
-    return staged.select(col(id_col), F.col(prob), risk_level(prob, threshold).alias("risk_level"),
-                         "top_factors", recommend(F.col("top_factors")).alias("recommended_action"),
-                         reason_text(F.col(contribs)).alias("reason"),
-                         summary_text(F.col(contribs), F.col(prob)).alias("summary"))
-
-
 def risk_report(df: DataFrame, id_col: str, contribs: str = "contribs", prob: str = "churn_probability",
                 threshold: float = 0.5) -> DataFrame:
     """Id, probability to 4 decimals, level, top 3 factors, action; highest first."""

@@ -26,11 +26,11 @@ def forest(**params) -> RandomForestClassifier:
     """M1: random forest; sklearn-style names accepted (n_estimators, max_depth,
     min_samples_leaf, max_features)."""
     p = _translate(params, {"n_estimators": "numTrees", "max_depth": "maxDepth",
-                            "min_samples_leaf": "minInstancesPerNode", "max_features": "featureSubsetStrategy",
-                            "random_state": "seed"})
+                            "min_samples_leaf": "minInstancesPerNode", "min_samples_split": "minInstancesPerNode",
+                            "max_features": "featureSubsetStrategy", "random_state": "seed"})
     p.setdefault("seed", 42)
-    if "maxDepth" in p:
-        p["maxDepth"] = min(int(p["maxDepth"] or 30), 30)  # MLlib depth limit; None -> deepest allowed
+    if p.get("maxDepth", 1) is None or int(p.get("maxDepth", 1)) > 30:
+        raise ValueError("max_depth must be 30 or less (MLlib's limit)")
     return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, **p)
 
 
@@ -39,6 +39,8 @@ def boosted(**params) -> GBTClassifier:
     (n_estimators, max_depth, learning_rate, subsample, colsample)."""
     p = _translate(params, {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
                             "subsample": "subsamplingRate", "min_child_samples": "minInstancesPerNode",
+                            "min_child_weight": "minInstancesPerNode", "gamma": "minInfoGain",
+                            "min_split_gain": "minInfoGain", "num_leaves": "maxDepth",
                             "colsample_bytree": "featureSubsetStrategy", "random_state": "seed"})
     if isinstance(p.get("featureSubsetStrategy"), float):
         p["featureSubsetStrategy"] = str(p["featureSubsetStrategy"])
@@ -46,25 +48,45 @@ def boosted(**params) -> GBTClassifier:
     return GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, **p)
 
 
-def logistic(C: float = 1.0, n_rows: int | None = None, max_iter: int = 1000) -> LogisticRegression:
-    """M3: L2 logistic regression; sklearn's C maps to regParam = 1 / (C n)."""
-    reg = 0.0 if not n_rows else 1.0 / (C * n_rows)
+def logistic(C: float | None = 1.0, n_rows: int | None = None, max_iter: int = 1000) -> LogisticRegression:
+    """M3: L2 logistic regression; sklearn's C maps to regParam = 1 / (C n).  C=None: no penalty."""
+    if C is not None and not n_rows:
+        raise ValueError("C needs n_rows, the number of training rows")
+    reg = 0.0 if C is None else 1.0 / (C * n_rows)
     return LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, regParam=reg, elasticNetParam=0.0,
                               standardization=False, maxIter=max_iter)
 
 
-def mlp(n_features: int, hidden=(64, 32), max_iter: int = 200, block_size: int = 128,
-        step_size: float = 0.03, seed: int = 42) -> MultilayerPerceptronClassifier:
+def mlp(n_features: int, hidden=(64, 32), max_iter: int = 200, block_size: int = 128, seed: int = 42) -> MultilayerPerceptronClassifier:
     """M4: feed-forward network (sigmoid hidden layers, softmax output)."""
     return MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL,
                                           layers=[n_features, *hidden, 2], maxIter=max_iter,
-                                          blockSize=block_size, stepSize=step_size, seed=seed)
+                                          blockSize=block_size, seed=seed)
 
 
 def _translate(params: dict, names: dict) -> dict:
+    """MLlib parameters of the usual names of tree learners.
+
+    A split needs ``min_samples_split`` rows above it, so half of them in each
+    child stand in for it; ``num_leaves`` becomes the depth that holds them.
+    Of two names for one parameter the stricter value counts.  Other names
+    have no counterpart in MLlib and are refused.
+    """
+    known = set(names) | set(names.values()) | {"maxBins", "impurity", "minInfoGain"}
+    if unknown := sorted(set(params) - known):
+        raise ValueError(f"no MLlib counterpart for {', '.join(unknown)}")
     out = {}
     for k, v in params.items():
-        out[names.get(k, k)] = v
+        if k == "min_samples_split":
+            v = max(1, int(v) // 2)
+        elif k == "min_child_weight":
+            v = max(1, int(v))
+        elif k == "num_leaves":
+            v = max(1, int(v) - 1).bit_length()
+        to = names.get(k, k)
+        if to in out and v is not None and out[to] is not None and not isinstance(v, str):
+            v = min(out[to], v) if to == "maxDepth" else max(out[to], v)
+        out[to] = v
     return out
 
 

@@ -3,16 +3,16 @@
 The fitted forest / boosted model is written with MLlib's own writer; its
 node table (one row per tree node, a size bounded by the model, not the
 data) is read back, turned into flat arrays per tree and broadcast.  Scoring
-runs in ``mapInPandas`` over Arrow batches: for every row and tree the
-polynomial-time recursion of Lundberg et al. (path-dependent TreeSHAP)
-distributes the tree's output over the features, using node covers as the
-background distribution.  For boosted trees everything is on the margin F
+runs over Arrow batches: each leaf is a product of conditions on its path's
+features, and its path-dependent Shapley values (node covers as background)
+are computed for all rows of a batch together.  For boosted trees everything is on the margin F
 (MLlib: rawPrediction = [-F, F], probability = 1 / (1 + exp(-2F))).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -88,108 +88,74 @@ def expected_value(tree: TreeArrays) -> float:
     return float((tree.value[leaves] * tree.cover[leaves]).sum() / tree.cover[0])
 
 
-def tree_shap(tree: TreeArrays, x: np.ndarray, phi: np.ndarray) -> None:
-    """Add the path-dependent Shapley values of one tree for row ``x`` to ``phi``."""
-    max_depth = _depth(tree) + 2
-    size = (max_depth * (max_depth + 1)) // 2 + max_depth + 2
-    feat = np.zeros(size, dtype=np.int64)
-    zero = np.zeros(size)
-    one = np.zeros(size)
-    pw = np.zeros(size)
-    _recurse(tree, x, phi, 0, 0, 0, 1.0, 1.0, -1, feat, zero, one, pw)
-
-
-def _depth(tree: TreeArrays) -> int:
-    best, stack = 0, [(0, 0)]
-    while stack:
-        node, d = stack.pop()
-        best = max(best, d)
-        if tree.left[node] >= 0:
-            stack.append((tree.left[node], d + 1))
-            stack.append((tree.right[node], d + 1))
-    return best
-
-
-def _extend(feat, zero, one, pw, off, depth, pz, po, pi):
-    feat[off + depth] = pi
-    zero[off + depth] = pz
-    one[off + depth] = po
-    pw[off + depth] = 1.0 if depth == 0 else 0.0
-    for i in range(depth - 1, -1, -1):
-        pw[off + i + 1] += po * pw[off + i] * (i + 1) / (depth + 1)
-        pw[off + i] = pz * pw[off + i] * (depth - i) / (depth + 1)
-
-
-def _unwind(feat, zero, one, pw, off, depth, k):
-    o, z = one[off + k], zero[off + k]
-    nxt = pw[off + depth]
-    for i in range(depth - 1, -1, -1):
-        if o != 0:
-            t = pw[off + i]
-            pw[off + i] = nxt * (depth + 1) / ((i + 1) * o)
-            nxt = t - pw[off + i] * z * (depth - i) / (depth + 1)
-        else:
-            pw[off + i] = pw[off + i] * (depth + 1) / (z * (depth - i))
-    for i in range(k, depth):
-        feat[off + i] = feat[off + i + 1]
-        zero[off + i] = zero[off + i + 1]
-        one[off + i] = one[off + i + 1]
-
-
-def _unwound_sum(zero, one, pw, off, depth, k):
-    o, z = one[off + k], zero[off + k]
-    nxt = pw[off + depth]
-    total = 0.0
-    for i in range(depth - 1, -1, -1):
-        if o != 0:
-            t = nxt * (depth + 1) / ((i + 1) * o)
-            total += t
-            nxt = pw[off + i] - t * z * (depth - i) / (depth + 1)
-        else:
-            total += (pw[off + i] / z) / ((depth - i) / (depth + 1))
-    return total
-
-
-def _recurse(tree, x, phi, node, off, depth, pz, po, pi, feat, zero, one, pw):
-    # each level works on its own copy of the parent's path (offset past it)
-    if depth > 0:
-        new_off = off + depth
-        feat[new_off:new_off + depth] = feat[off:off + depth]
-        zero[new_off:new_off + depth] = zero[off:off + depth]
-        one[new_off:new_off + depth] = one[off:off + depth]
-        pw[new_off:new_off + depth] = pw[off:off + depth]
-        off = new_off
-    _extend(feat, zero, one, pw, off, depth, pz, po, pi)
-    if tree.left[node] < 0:
-        for i in range(1, depth + 1):
-            w = _unwound_sum(zero, one, pw, off, depth, i)
-            phi[feat[off + i]] += w * (one[off + i] - zero[off + i]) * tree.value[node] * tree.weight
-        return
-    f = tree.feature[node]
-    go_left = x[f] <= tree.threshold[node]
-    hot = tree.left[node] if go_left else tree.right[node]
-    cold = tree.right[node] if go_left else tree.left[node]
-    iz, io = 1.0, 1.0
-    k = 0
-    while k <= depth:
-        if feat[off + k] == f:
-            break
-        k += 1
-    if k != depth + 1:
-        iz, io = zero[off + k], one[off + k]
-        _unwind(feat, zero, one, pw, off, depth, k)
-        depth -= 1
-    c = tree.cover[node]
-    _recurse(tree, x, phi, hot, off, depth + 1, iz * tree.cover[hot] / c, io, f, feat, zero, one, pw)
-    _recurse(tree, x, phi, cold, off, depth + 1, iz * tree.cover[cold] / c, 0.0, f, feat, zero, one, pw)
+@dataclass
+class LeafPath:
+    """One leaf as the conditions that lead to it, merged per feature: low < x[feature] <= high."""
+
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray  # of the covers that follow the path at the feature's splits
+    value: float       # leaf value times tree weight
+
+
+def leaf_paths(tree: TreeArrays) -> list[LeafPath]:
+    out, todo = [], [(0, {})]
+    while todo:
+        node, conds = todo.pop()
+        if tree.left[node] < 0:
+            f = sorted(conds)
+            out.append(LeafPath(np.array(f, np.int64), *(np.array([conds[i][c] for i in f]) for c in range(3)),
+                                float(tree.value[node] * tree.weight)))
+            continue
+        f, cut = int(tree.feature[node]), tree.threshold[node]
+        low, high, share = conds.get(f, (-np.inf, np.inf, 1.0))
+        for child, bounds in ((tree.left[node], (low, min(high, cut))), (tree.right[node], (max(low, cut), high))):
+            todo.append((child, conds | {f: (*bounds, share * tree.cover[child] / tree.cover[node])}))
+    return out
+
+
+def path_contributions(met: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shapley values of a leaf of value 1, per pattern of met conditions (patterns x conditions).
+
+    The leaf's game is a product: a condition gives 1 or 0 where its feature
+    is known and its cover share where it is not.  For each condition the
+    other factors are multiplied out by the number of known features, and the
+    coefficients are weighted as coalitions of that size.
+    """
+    m = len(share)
+    size = np.arange(m)
+    weight = np.array([1.0 / (m * comb(m - 1, int(s))) for s in size])
+    out = np.empty(met.shape)
+    for j in range(m):
+        poly = np.zeros((len(met), m))
+        poly[:, 0] = 1.0
+        for i in range(m):
+            if i != j:
+                known = poly[:, :-1] * met[:, i:i + 1]
+                poly = poly * share[i]
+                poly[:, 1:] += known
+        out[:, j] = (met[:, j] - share[j]) * (poly @ weight)
+    return out
 
 
 def shap_values(trees: list[TreeArrays], X: np.ndarray) -> tuple[np.ndarray, float]:
-    """(rows x features contributions, base value) for a batch."""
+    """(rows x features contributions, base value) for a batch: all rows of a leaf at once.
+
+    A leaf's contributions depend on a row only through which conditions it
+    meets, so they are worked out once per pattern that occurs and looked up.
+    """
     phi = np.zeros(X.shape, dtype=float)
-    for r in range(X.shape[0]):
-        for t in trees:
-            tree_shap(t, X[r], phi[r])
+    for tree in trees:
+        for p in leaf_paths(tree):
+            if not len(p.features):
+                continue
+            x = X[:, p.features]
+            met = (x > p.low) & (x <= p.high)
+            code = met @ (1 << np.arange(len(p.features), dtype=np.int64))
+            codes, rows = np.unique(code, return_inverse=True)
+            patterns = (codes[:, None] >> np.arange(len(p.features)) & 1).astype(float)
+            phi[:, p.features] += (path_contributions(patterns, p.share) * p.value)[rows]
     base = sum(expected_value(t) * t.weight for t in trees)
     return phi, base
 

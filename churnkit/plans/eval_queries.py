@@ -177,14 +177,15 @@ def scored_preds(spark, sf_dir):
 
 @register("v5_overfit_table", with_fx(
     "select model, train_acc, test_acc, train_acc - test_acc as acc_gap, train_f1, test_f1, "
-    "train_f1 - test_f1 as f1_gap from (select model, "
+    "train_f1 - test_f1 as f1_gap, case when train_f1 - test_f1 > 0.1 then 'high' when train_f1 - test_f1 < 0.05 "
+    "then 'healthy' else 'moderate' end as verdict from (select model, "
     "max(case when part = 'train' then accuracy end) as train_acc, max(case when part = 'test' then accuracy end) "
     "as test_acc, max(case when part = 'train' then f1 end) as train_f1, "
     "max(case when part = 'test' then f1 end) as test_f1 from (select model, part, " + _ratios_sql()
     + " from (select model, part, " + _metrics_sql() + " from preds group by model, part)) group by model)",
     "fx3", extra=SCORE_CTES + [LONG_TRAIN] + _curve_ctes("ltrain") + [PRED_CTE]))
 def v5_overfit_table(spark, sf_dir):
-    return ev.overfit_table(scored_preds(spark, sf_dir))
+    return ev.overfit_table(scored_preds(spark, sf_dir)).withColumn("verdict", ev.gap_verdict())
 
 
 V6_SQL = ("select model, threshold, " + _ratios_sql() + ", brier from (select l.model, b.threshold, "

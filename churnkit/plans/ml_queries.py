@@ -21,7 +21,7 @@ from churnkit.operators.split import stratified_split
 from churnkit.operators.stack import escalate, fit_stack
 from churnkit.operators.tune import bounded_search, build_final, random_search
 from churnkit.operators.usage import usage_model_frame
-from churnkit.plans.account_queries import ACC_CTES
+from churnkit.plans.account_queries import ACC_CTES, TRAIN_FEATURES
 from churnkit.plans.explain_queries import BUNDLE_VOCAB
 from churnkit.plans.fixture_sql import with_fx
 from churnkit.plans.registry import register
@@ -35,6 +35,27 @@ SMALL_FOREST = dict(n_estimators=20, max_depth=5, random_state=42)
 SMALL_GBT = dict(n_estimators=15, max_depth=3, learning_rate=0.1, random_state=42)
 
 
+# ------------------------------------------------------------------ oracle text
+
+SPLIT_ACC_SQL = ("select \"customerID\", \"Churn\", case when rk <= (cn * 1 + 4) // 5 then 'test' else 'train' end "
+                 "as part from (select *, row_number() over (partition by \"Churn\" order by md5(cast(\"customerID\" "
+                 "as varchar) || ':42'), \"customerID\") as rk, count(*) over (partition by \"Churn\") as cn from clean)")
+THREE_SQL = ("select \"customerID\", \"Churn\", case when rk <= (cn * 1 + 4) // 5 then 'test' when rk <= (cn * 2 + 4) // 5 "
+             "then 'calibration' else 'train' end as part from (select *, row_number() over (partition by \"Churn\" order by "
+             "md5(cast(\"customerID\" as varchar) || ':42'), \"customerID\") as rk, count(*) over (partition by \"Churn\") "
+             "as cn from clean)")
+OOF_SQL = ("select \"customerID\", \"Churn\", (row_number() over (partition by \"Churn\" order by md5(cast(\"customerID\" as "
+           "varchar) || ':42'), \"customerID\") - 1) % 3 as fold from sp where part = 'train'")
+
+
+def over_split(sql: str, split: str = SPLIT_ACC_SQL, **more: str) -> str:
+    return with_fx(sql, "acc", extra=ACC_CTES[:1] + [("sp", split), *more.items()])
+
+
+def test_rows(flags: str = "true as is_probability", split: str = SPLIT_ACC_SQL) -> str:
+    return over_split(f"select \"customerID\", \"Churn\", {flags} from sp where part = 'test'", split)
+
+
 # ------------------------------------------------------------------ training frames
 
 def account_frame(spark, sf_dir):
@@ -57,10 +78,16 @@ def scaled_parts(spark, sf_dir):
     return apply_scaler(train, scaler), apply_scaler(df.filter(F.col("part") == "test"), scaler), feats, scaler
 
 
+def checked(scored, prob="prob"):
+    """Id, label and whether the score is a probability."""
+    p = F.col(prob)
+    return scored.select(ID, LABEL, (p.isNotNull() & (p >= 0) & (p <= 1)).alias("is_probability"))
+
+
 def _test_predictions(spark, sf_dir, estimator):
     train, test, feats, _ = scaled_parts(spark, sf_dir)
     m = ml.fit(train, feats, estimator, LABEL)
-    return ml.predict_proba(m, test, feats, keep=[ID, LABEL])
+    return checked(ml.predict_proba(m, test, feats, keep=[ID, LABEL]))
 
 
 # ------------------------------------------------------------------ balancing
@@ -68,22 +95,17 @@ def _test_predictions(spark, sf_dir, estimator):
 EMB_SQL = ("select vec_id, nbr_id, cast(rank as integer) as rank from (select a.vec_id, b.vec_id as nbr_id, "
            "row_number() over (partition by a.vec_id order by sqrt(list_sum(list_transform(list_zip(a.embedding, "
            "b.embedding), lambda p: (cast(p[1] as double) - cast(p[2] as double)) * (cast(p[1] as double) - "
-           "cast(p[2] as double))))), b.vec_id) as rank from embeddings a join embeddings b on a.vec_id <> b.vec_id "
-           "where a.label = 0 and b.label = 0) where rank <= 5")
+           "cast(p[2] as double))))), b.vec_id) as rank from embeddings a join embeddings b on a.vec_id <> b.vec_id"
+           ") where rank <= 5")
 
 
 @register("b4_knn_embeddings", EMB_SQL)
 def b4_knn_embeddings(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings").filter(F.col("label") == 0)
+    e = load(spark, sf_dir, "embeddings")
     pts = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return knn(pts, "vec_id", "v", k=5).select("vec_id", "nbr_id", "rank")
 
 
-SPLIT_ACC_SQL = ("select \"customerID\", \"Churn\", case when rk <= (cn * 1 + 4) // 5 then 'test' else 'train' end "
-                 "as part from (select *, row_number() over (partition by \"Churn\" order by md5(cast(\"customerID\" "
-                 "as varchar) || ':42'), \"customerID\") as rk, count(*) over (partition by \"Churn\") as cn from clean)")
-
-
 @register("b4_smote_counts", with_fx(
     "select \"Churn\", is_synthetic, count(*) as rows from (select \"Churn\", false as is_synthetic from sp "
     "where part = 'train' union all select m.minority as \"Churn\", true from (select \"Churn\" as minority, "
@@ -97,6 +119,72 @@ def b4_smote_counts(spark, sf_dir):
     return bal.groupBy(LABEL, "is_synthetic").agg(F.count(F.lit(1)).alias("rows"))
 
 
+# SMOTE on the embeddings: class 0 against the rest, the first eight coordinates as features
+EMB_DIMS = 8
+_EMB_COORD = ", ".join(f"cast(embedding[{i + 1}] as double) as e{i}" for i in range(EMB_DIMS))
+_EMB_DIST = " + ".join(f"(a.e{i} - b.e{i}) * (a.e{i} - b.e{i})" for i in range(EMB_DIMS))
+
+
+def _md5_digits(text):
+    return f"cast('0x' || substr(md5({text}), 1, 13) as bigint)"
+
+
+SMOTE_SQL = f"""
+with pts as (select vec_id, case when label = 0 then 1 else 0 end as y, {_EMB_COORD} from embeddings),
+cnt as (select cast(sum(y) as bigint) as n_min, cast(sum(1 - y) - sum(y) as bigint) as need from pts),
+mino as (select * from pts where y = 1),
+near as (select * from (select a.vec_id, b.vec_id as nid, row_number() over (partition by a.vec_id
+         order by sqrt({_EMB_DIST}), b.vec_id) as rk from mino a join mino b on a.vec_id <> b.vec_id) where rk <= 5),
+copies as (select m.*, need // n_min + case when row_number() over (order by md5(cast(vec_id as varchar) || ':42'), vec_id)
+           <= need % n_min then 1 else 0 end as m from mino m, cnt),
+syn as (select c.*, t.j, cast(vec_id as varchar) || ':' || t.j || ':42' as name from copies c, range(1, m + 1) t(j)),
+pick as (select s.*, {_md5_digits('name')} % (select count(*) from near n where n.vec_id = s.vec_id) + 1 as rk,
+         cast({_md5_digits("name || ':u'")} as double) / 4503599627370496.0 as u from syn s)
+select cast(vec_id as varchar) as vec_id, y, {', '.join(f'e{i}' for i in range(EMB_DIMS))}, false as is_synthetic from pts
+union all
+select cast(p.vec_id as varchar) || '_syn' || p.j, 1, {', '.join(f'p.e{i} + p.u * (q.e{i} - p.e{i})' for i in range(EMB_DIMS))}, true
+from pick p join near n on n.vec_id = p.vec_id and n.rk = p.rk join pts q on q.vec_id = n.nid
+"""
+
+
+def _embedding_classes(spark, sf_dir):
+    e = load(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
+    return e.select("vec_id", F.when(F.col("label") == 0, 1).otherwise(0).alias("y"),
+                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(EMB_DIMS)])
+
+
+@register("b4_smote_rows", SMOTE_SQL)
+def b4_smote_rows(spark, sf_dir):
+    """Values of every real and synthetic row."""
+    return smote(_embedding_classes(spark, sf_dir), "y", "vec_id", [f"e{i}" for i in range(EMB_DIMS)], k=5, seed=42)
+
+
+@register("b5_balanced_folds", """
+with f as (select y, (row_number() over (partition by y order by md5(cast(vec_id as varchar) || ':42'), vec_id) - 1) % 3 as fold
+           from (select vec_id, case when label = 0 then 1 else 0 end as y from embeddings)),
+t as (select k.fold, f.y, f.fold = k.fold as valid from f, (select distinct fold from f) k)
+select cast(fold as integer) as fold, 'valid' as part, y, false as is_synthetic, count(*) as rows from t where valid group by fold, y
+union all
+select cast(fold as integer), 'train', y, false, count(*) from t where not valid group by fold, y
+union all
+select cast(fold as integer), 'train', 1, true, sum(1 - y) - sum(y) from t where not valid group by fold
+""")
+def b5_balanced_folds(spark, sf_dir):
+    """Rows per fold, part, class and origin: synthetic rows are in training parts only."""
+    from churnkit.operators.split import fold_ids
+    from churnkit.operators.tune import training_folds
+
+    feats = [f"e{i}" for i in range(EMB_DIMS)]
+    folds = reliable(fold_ids(_embedding_classes(spark, sf_dir), "y", "vec_id", 3))
+    out = None
+    for f, (train, valid) in enumerate(training_folds(folds, 3, lambda d: smote(d.drop("fold"), "y", "vec_id", feats))):
+        for part, rows in (("valid", valid.withColumn("is_synthetic", F.col("vec_id").cast("string").contains("_syn"))), ("train", train)):
+            got = rows.groupBy("y", "is_synthetic").agg(F.count(F.lit(1)).alias("rows")).select(
+                F.lit(f).alias("fold"), F.lit(part).alias("part"), "y", "is_synthetic", "rows")
+            out = got if out is None else out.unionByName(got)
+    return out
+
+
 def balancer(feats):
     return functools.partial(_balance, feats=feats)
 
@@ -108,54 +196,83 @@ def _balance(df, feats):
 
 # ------------------------------------------------------------------ learners
 
-@register("m1_forest")
+@register("m1_forest", test_rows())
 def m1_forest(spark, sf_dir):
     return _test_predictions(spark, sf_dir, ml.forest(**SMALL_FOREST))
 
 
-@register("m2_boosted")
+@register("m2_boosted", test_rows())
 def m2_boosted(spark, sf_dir):
     return _test_predictions(spark, sf_dir, ml.boosted(**SMALL_GBT))
 
 
-@register("m3_logistic")
+@register("m3_logistic", test_rows("true as is_probability, true as at_minimum"))
 def m3_logistic(spark, sf_dir):
+    """Every test row, and whether the gradient of the penalised log-loss vanishes at the fitted weights."""
     train, test, feats, _ = scaled_parts(spark, sf_dir)
-    m = ml.fit(train, feats, ml.logistic(C=1.0, n_rows=train.count()), LABEL)
-    return ml.predict_proba(m, test, feats, keep=[ID, LABEL])
+    n = train.count()
+    m = ml.fit(train, feats, ml.logistic(C=1.0, n_rows=n), LABEL)
+    w = m.stages[-1].coefficients.toArray()
+    miss = ml.predict_proba(m, train, feats, keep=[LABEL, *feats]).withColumn("d", F.col("prob") - F.col(LABEL))
+    g = miss.agg(F.avg("d"), *[F.avg(F.col("d") * F.col(f"`{c}`")) for c in feats]).first()
+    at = max([abs(g[0]), *(abs(g[i + 1] + w[i] / n) for i in range(len(feats)))]) < 1e-4
+    return checked(ml.predict_proba(m, test, feats, keep=[ID, LABEL])).withColumn("at_minimum", F.lit(at))
 
 
-@register("m4_mlp")
+@register("m4_mlp", test_rows())
 def m4_mlp(spark, sf_dir):
     train, test, feats, _ = scaled_parts(spark, sf_dir)
-    m = ml.fit(train, feats, ml.mlp(len(feats), hidden=(16, 8), max_iter=50), LABEL)
-    return ml.predict_proba(m, test, feats, keep=[ID, LABEL])
+    m = ml.fit(train, feats, ml.mlp(len(feats), hidden=(64, 32), max_iter=100), LABEL)
+    return checked(ml.predict_proba(m, test, feats, keep=[ID, LABEL]))
 
 
-@register("m5_best_of")
+@register("m5_best_of", over_split("""
+select model, "order", n_valid, true as in_range, true as first_of_the_best from
+(values ('gbt_shallow', 0), ('gbt_deeper', 1), ('forest', 2)) c(model, "order"),
+(select count(*) as n_valid from f where fold = 0)""", f=OOF_SQL))
 def m5_best_of(spark, sf_dir):
-    train, test, feats, _ = scaled_parts(spark, sf_dir)
+    """Candidates are compared on a validation fold of the training rows; the test rows decide nothing."""
+    from churnkit.operators.split import fold_ids
+
+    train, _, feats, _ = scaled_parts(spark, sf_dir)
+    folds = reliable(fold_ids(train, LABEL, ID, 3))
+    valid = folds.filter("fold = 0")
     cands = [ml.Candidate("gbt_shallow", ml.boosted(n_estimators=10, max_depth=2)),
              ml.Candidate("gbt_deeper", ml.boosted(n_estimators=10, max_depth=4)),
              ml.Candidate("forest", ml.forest(**SMALL_FOREST))]
-    _, _, frame = ml.best_of(train, test, feats, cands, LABEL)
-    return frame
+    best, _, frame = ml.best_of(folds.filter("fold <> 0"), valid, feats, cands, LABEL)
+    rows = sorted(frame.collect(), key=lambda r: r["order"])
+    first = max(rows, key=lambda r: (r["accuracy"], -r["order"]))["model"]
+    return frame.select("model", "order", F.lit(valid.count()).alias("n_valid"),
+                        (F.col("accuracy").between(0, 1) & F.col("f1").between(0, 1)).alias("in_range"),
+                        F.lit(best == first).alias("first_of_the_best"))
 
 
-@register("m6_importance")
+@register("m6_importance", "select unnest([" + ", ".join(f"'{c}'" for c in TRAIN_FEATURES) + "]) as feature, "
+          "true as in_range, true as sums_to_one, true as ranked")
 def m6_importance(spark, sf_dir):
     train, _, feats, _ = scaled_parts(spark, sf_dir)
     m = ml.fit(train, feats, ml.boosted(**SMALL_GBT), LABEL)
-    return ml.importance_frame(spark, m, feats)
+    got = ml.importance(m, feats)
+    total = abs(sum(v for _, _, v in got) - 1) < 1e-9
+    ranked = got == [(i + 1, f, v) for i, (_, f, v) in enumerate(sorted(got, key=lambda r: (-r[2], r[1])))]
+    return ml.importance_frame(spark, m, feats).select("feature", F.col("importance").between(0, 1).alias("in_range"),
+                                                       F.lit(total).alias("sums_to_one"), F.lit(ranked).alias("ranked"))
 
 
-@register("m7_select_top_features")
+@register("m7_select_top_features", "select n, cast(r as integer) as rank, true as is_feature, true as distinct_names from "
+          "(values (40), (100)) k(n), range(1, least(n, 44) + 1) t(r)")
 def m7_select_top_features(spark, sf_dir):
+    """The top 40 and the top 100 of the usage features (all of them where there are fewer)."""
     frame = usage_model_frame(fixtures.usage_wide(spark, sf_dir))
     split = reliable(stratified_split(frame, "Churn", "customer_id"))
     feats = [c for c in frame.columns if c not in ("customer_id", "Churn", "av_amt_data_6_7")]
-    top = ml.select_top_features(split.filter(F.col("part") == "train"), feats, 10, "Churn")
-    return spark.createDataFrame([(i + 1, f) for i, f in enumerate(top)], "rank int, feature string")
+    train = split.filter(F.col("part") == "train")
+    rows = []
+    for n in (40, 100):
+        top = ml.select_top_features(train, feats, n, "Churn")
+        rows += [(n, i + 1, f in feats, len(set(top)) == len(top)) for i, f in enumerate(top)]
+    return spark.createDataFrame(rows, "n int, rank int, is_feature boolean, distinct_names boolean")
 
 
 # ------------------------------------------------------------------ ensembles
@@ -164,18 +281,29 @@ def _bases():
     return {"forest": ml.forest(**SMALL_FOREST), "gbt": ml.boosted(**SMALL_GBT)}
 
 
-@register("e1_stack")
+@register("e1_stack", over_split("""
+select "customerID", "Churn", cast(fold as integer) as fold, true as is_probability from f
+union all select "customerID", "Churn", cast(null as integer), true from sp where part = 'test'""", f=OOF_SQL))
 def e1_stack(spark, sf_dir):
+    """Out-of-fold rows with their folds, and the test rows that the finished stack scores."""
     train, test, feats, _ = scaled_parts(spark, sf_dir)
-    model, _ = fit_stack(train, feats, _bases(), LABEL, ID, k=3)
-    return model.transform(test.select(ID, LABEL, *feats)).select(ID, LABEL, "p_forest", "p_gbt", "prob")
+    model, oof = fit_stack(train, feats, _bases(), LABEL, ID, k=3)
+    scored = model.transform(test.select(ID, LABEL, *feats))
+    ok = F.col("p_forest").between(0, 1) & F.col("p_gbt").between(0, 1)
+    return oof.select(ID, LABEL, F.col("fold").cast("int").alias("fold"), ok.alias("is_probability")).unionByName(
+        scored.select(ID, LABEL, F.lit(None).cast("int").alias("fold"), (ok & F.col("prob").between(0, 1)).alias("is_probability")))
 
 
-@register("e5_escalate")
+@register("e5_escalate", "select * from (values (0, 'first', true), (1, 'forest', true), (2, 'gbt', true)) t(\"order\", model, in_range)")
 def e5_escalate(spark, sf_dir):
-    train, test, feats, _ = scaled_parts(spark, sf_dir)
-    return escalate(train, test, feats, ml.boosted(n_estimators=5, max_depth=2), _bases(), target=0.95,
-                    label=LABEL)
+    """A target beyond reach: every model is tried, on a validation fold of the training rows."""
+    from churnkit.operators.split import fold_ids
+
+    train, _, feats, _ = scaled_parts(spark, sf_dir)
+    folds = reliable(fold_ids(train, LABEL, ID, 3))
+    out = escalate(folds.filter("fold <> 0"), folds.filter("fold = 0"), feats, ml.boosted(n_estimators=5, max_depth=2), _bases(),
+                   target=1.01, label=LABEL)
+    return out.select("order", "model", F.col("accuracy").between(0, 1).alias("in_range"))
 
 
 # ------------------------------------------------------------------ calibration
@@ -186,31 +314,40 @@ def three_parts(spark, sf_dir):
     return parts, features_of(parts)
 
 
-@register("k1_platt")
-def k1_platt(spark, sf_dir):
+CAL_SQL = test_rows("true as is_probability, true as at_minimum, true as keeps_order", THREE_SQL)
+
+
+def _calibrated(spark, sf_dir, estimator, fit_sigmoid):
+    """Every test row with a calibrated probability, whether the gradient of the smoothed log-loss vanishes
+    on the calibration rows, and whether a higher score never gets a lower probability."""
+    from churnkit.operators.calibration import platt_targets
+
     parts, feats = three_parts(spark, sf_dir)
-    m = ml.fit(parts.filter(F.col("part") == "train"), feats, ml.forest(**SMALL_FOREST), LABEL)
-    cal = ml.predict_proba(m, parts.filter(F.col("part") == "calibration"), feats, keep=[LABEL])
-    a, b = platt_fit(cal, "prob", LABEL)
+    m = ml.fit(parts.filter(F.col("part") == "train"), feats, estimator, LABEL)
+    held = reliable(ml.predict_proba(m, parts.filter(F.col("part") == "calibration"), feats, keep=[LABEL]))
+    a, b = fit_sigmoid(held, "prob", LABEL)
+    miss = platt_apply(platt_targets(held, LABEL), "prob", a, b).withColumn("d", F.col("prob_cal") - F.col("_target"))
+    g = miss.agg(F.avg("d").alias("b"), F.avg(F.col("d") * F.col("prob")).alias("a")).first()
     test = ml.predict_proba(m, parts.filter(F.col("part") == "test"), feats, keep=[ID, LABEL])
-    return platt_apply(test, "prob", a, b)
+    return checked(platt_apply(test, "prob", a, b), "prob_cal").withColumn(
+        "at_minimum", F.lit(max(abs(g["a"]), abs(g["b"])) < 1e-5)).withColumn("keeps_order", F.lit(a <= 0))
+
 
+@register("k1_platt", CAL_SQL)
+def k1_platt(spark, sf_dir):
+    return _calibrated(spark, sf_dir, ml.forest(**SMALL_FOREST), platt_fit)
 
-@register("k2_calibrate_cv")
+
+@register("k2_calibrate_cv", test_rows("true as is_probability, 3 as n_models"))
 def k2_calibrate_cv(spark, sf_dir):
     train, test, feats, _ = scaled_parts(spark, sf_dir)
-    cm = calibrate_cv(train, feats, ml.forest(**SMALL_FOREST), k=3, label=LABEL, id_col=ID)
-    return cm.transform(test.select(ID, LABEL, *feats)).select(ID, LABEL, "prob_cal")
+    cm = calibrate_cv(train, feats, ml.forest(**SMALL_FOREST), k=3, label=LABEL, id_col=ID, balance=balancer(feats))
+    return checked(cm.transform(test.select(ID, LABEL, *feats)), "prob_cal").withColumn("n_models", F.lit(len(cm.parts)))
 
 
-@register("k3_calibrate_frozen")
+@register("k3_calibrate_frozen", CAL_SQL)
 def k3_calibrate_frozen(spark, sf_dir):
-    parts, feats = three_parts(spark, sf_dir)
-    m = ml.fit(parts.filter(F.col("part") == "train"), feats, ml.boosted(**SMALL_GBT), LABEL)
-    held = ml.predict_proba(m, parts.filter(F.col("part") == "calibration"), feats, keep=[LABEL])
-    a, b = calibrate_frozen(held, "prob", LABEL)
-    test = ml.predict_proba(m, parts.filter(F.col("part") == "test"), feats, keep=[ID, LABEL])
-    return platt_apply(test, "prob", a, b)
+    return _calibrated(spark, sf_dir, ml.boosted(**SMALL_GBT), calibrate_frozen)
 
 
 # ------------------------------------------------------------------ tuning
@@ -223,29 +360,40 @@ def _make_gbt(p):
     return ml.boosted(n_estimators=10, max_depth=p["max_depth"], learning_rate=p["learning_rate"], random_state=42)
 
 
-@register("u1_random_search")
-def u1_random_search(spark, sf_dir):
+def trials_of(trials):
+    return trials.select("trial", "params", F.col("cv_score").between(0, 1).alias("in_range"))
+
+
+@register("u1_random_search", """select * from (values
+(0, '[(''max_depth'', 3), (''n_estimators'', 10)]', true),
+(1, '[(''max_depth'', 5), (''n_estimators'', 20)]', true),
+(2, '[(''max_depth'', 3), (''n_estimators'', 20)]', true)) t(trial, params, in_range)""")
+def u1_random_search(spark, sf_dir, n_iter: int = 3, k: int = 3):
     train, _, feats, _ = scaled_parts(spark, sf_dir)
     _, trials = random_search(train, feats, _make_forest, {"n_estimators": [10, 20], "max_depth": [3, 5]},
-                              n_iter=3, label=LABEL, id_col=ID, k=3)
-    return trials
+                              n_iter=n_iter, label=LABEL, id_col=ID, k=k, balance=balancer(feats))
+    return trials_of(trials)
 
 
-@register("u2_bounded_search")
-def u2_bounded_search(spark, sf_dir):
+@register("u2_bounded_search", """select * from (values
+(0, '[(''learning_rate'', 0.15723193786556852), (''max_depth'', 2)]', true),
+(1, '[(''learning_rate'', 0.1888028096617417), (''max_depth'', 2)]', true),
+(2, '[(''learning_rate'', 0.07458675608972577), (''max_depth'', 4)]', true)) t(trial, params, in_range)""")
+def u2_bounded_search(spark, sf_dir, n_trials: int = 3, k: int = 3):
     train, _, feats, _ = scaled_parts(spark, sf_dir)
     space = {"max_depth": ("int", 2, 4), "learning_rate": ("logfloat", 0.05, 0.3)}
-    _, trials = bounded_search(train, feats, _make_gbt, space, n_trials=3, label=LABEL, id_col=ID, k=3)
-    return trials
+    _, trials = bounded_search(train, feats, _make_gbt, space, n_trials=n_trials, label=LABEL, id_col=ID, k=k,
+                               balance=balancer(feats))
+    return trials_of(trials)
 
 
-@register("u3_build_final")
+@register("u3_build_final", test_rows())
 def u3_build_final(spark, sf_dir):
     train, test, feats, _ = scaled_parts(spark, sf_dir)
     best, _ = random_search(train, feats, _make_forest, {"n_estimators": [10, 20], "max_depth": [3, 5]},
-                            n_iter=2, label=LABEL, id_col=ID, k=3)
+                            n_iter=2, label=LABEL, id_col=ID, k=3, balance=balancer(feats))
     m = ml.fit(train, feats, build_final(_make_forest, best), LABEL)
-    return ml.predict_proba(m, test, feats, keep=[ID, LABEL])
+    return checked(ml.predict_proba(m, test, feats, keep=[ID, LABEL]))
 
 
 def run_end_to_end(spark, sf_dir, k: int = 3, balance: bool = True):
@@ -253,7 +401,7 @@ def run_end_to_end(spark, sf_dir, k: int = 3, balance: bool = True):
     out-of-fold training scores, test metrics and the overfit table."""
     train, test, feats, _ = scaled_parts(spark, sf_dir)
     best, _ = random_search(train, feats, _make_forest, {"n_estimators": [10, 20], "max_depth": [3, 5]},
-                            n_iter=2, label=LABEL, id_col=ID, k=k)
+                            n_iter=2, label=LABEL, id_col=ID, k=k, balance=balancer(feats) if balance else None)
     bases = {"forest": build_final(_make_forest, best), "gbt": ml.boosted(**SMALL_GBT)}
     bal = balancer(feats) if balance else None
     model, oof = fit_stack(train, feats, bases, LABEL, ID, k=k, balance=bal)
@@ -268,57 +416,73 @@ def run_end_to_end(spark, sf_dir, k: int = 3, balance: bool = True):
     return thr, evaluate(both.filter(F.col("part") == "test"), "pred", LABEL), overfit_table(both, label=LABEL)
 
 
-@register("u4_end_to_end")
-def u4_end_to_end(spark, sf_dir):
-    # two folds keep the registered run short; the fold count is a parameter
-    thr, metrics, over = run_end_to_end(spark, sf_dir, k=2)
-    return over.crossJoin(metrics).withColumn("threshold", F.lit(float(thr)))
+@register("u4_end_to_end", "select 'stack' as model, true as threshold_in_range, true as metrics_in_range, true as has_verdict")
+def u4_end_to_end(spark, sf_dir, k: int = 2):
+    from churnkit.operators.evaluate import gap_verdict
+
+    thr, metrics, over = run_end_to_end(spark, sf_dir, k=k)
+    both = over.withColumn("verdict", gap_verdict()).crossJoin(metrics)
+    values = [F.col(c).between(0, 1) for c in ("train_acc", "test_acc", "train_f1", "test_f1", "accuracy", "precision", "recall", "f1")]
+    return both.select("model", F.lit(0 <= float(thr) <= 1).alias("threshold_in_range"),
+                       functools.reduce(lambda a, b: a & b, values).alias("metrics_in_range"),
+                       F.col("verdict").isin("high", "healthy", "moderate").alias("has_verdict"))
 
 
 # ------------------------------------------------------------------ bundle and scoring
 
-def _train_bundle(spark, sf_dir):
-    train, _, feats, scaler = scaled_parts(spark, sf_dir)
-    m = ml.fit(train, feats, ml.boosted(**SMALL_GBT), LABEL)
+def _saved(spark, model, feats, scaler):
     path = scratch_path(spark, "bundle")
-    save_bundle(spark, path, {"model": m}, {"columns": feats, "vocabulary": BUNDLE_VOCAB.kept,
-                                            "scaler": {"mean": scaler.mean, "scale": scaler.scale},
-                                            "threshold": 0.5})
+    save_bundle(spark, path, {"model": model}, {"columns": feats, "vocabulary": BUNDLE_VOCAB.kept,
+                                                "scaler": {"mean": scaler.mean, "scale": scaler.scale},
+                                                "threshold": 0.5})
     return path
 
 
-@register("s7_bundle_roundtrip")
+@register("s7_bundle_roundtrip", test_rows("true as same_score"))
 def s7_bundle_roundtrip(spark, sf_dir):
-    path = _train_bundle(spark, sf_dir)
-    models, doc = load_bundle(spark, path)
-    _, test, feats, _ = scaled_parts(spark, sf_dir)
-    return ml.predict_proba(models["model"], test, doc["columns"], keep=[ID, LABEL])
+    """Every test row, scored by the model before it is saved and after it is loaded."""
+    train, test, feats, scaler = scaled_parts(spark, sf_dir)
+    m = ml.fit(train, feats, ml.boosted(**SMALL_GBT), LABEL)
+    models, doc = load_bundle(spark, _saved(spark, m, feats, scaler))
+    again = ml.predict_proba(models["model"], ml.predict_proba(m, test, feats), doc["columns"], out="again")
+    return again.select(ID, LABEL, (F.col("prob") == F.col("again")).alias("same_score"))
 
 
-@register("x1_score_table")
+@register("x1_score_table", with_fx(
+    "select cast(\"customerID\" as varchar) as \"customerID\", true as is_probability, true as same_score from clean", "acc", extra=ACC_CTES[:1]))
 def x1_score_table(spark, sf_dir):
+    """Raw accounts through the bundle, against the encoded and scaled accounts through the model in memory."""
     from churnkit.operators.scoring import score
 
-    path = _train_bundle(spark, sf_dir)
-    models, doc = load_bundle(spark, path)
-    raw = fixtures.accounts(spark, sf_dir).drop("Churn")
-    out = score(raw, models["model"], vocabulary_of(doc), doc["columns"], scaler_of(doc))
-    return out.select(ID, "churn_probability")
+    train, _, feats, scaler = scaled_parts(spark, sf_dir)
+    m = ml.fit(train, feats, ml.boosted(**SMALL_GBT), LABEL)
+    models, doc = load_bundle(spark, _saved(spark, m, feats, scaler))
+    raw = fixtures.accounts(spark, sf_dir)
+    out = score(raw.drop("Churn"), models["model"], vocabulary_of(doc), doc["columns"], scaler_of(doc))
+    enc, _ = encode_accounts(raw, vocab=BUNDLE_VOCAB)
+    mine = ml.predict_proba(m, apply_scaler(enc, scaler), feats, keep=[ID]).withColumnsRenamed({ID: "_id", "prob": "_mine"})
+    p = F.col("churn_probability")
+    return out.join(mine, out[ID] == mine["_id"], "left").select(
+        ID, p.between(0, 1).alias("is_probability"), (F.abs(p - F.col("_mine")) < 1e-9).alias("same_score"))
 
 
 # ------------------------------------------------------------------ tree contributions
 
-@register("x4_tree_contributions")
+@register("x4_tree_contributions", test_rows("true as adds_up, true as is_model_output, 3 as n_factors"))
 def x4_tree_contributions(spark, sf_dir):
-    """TreeSHAP of a boosted model over every test row, long form with the
-    explanation texts' inputs (top factors by signed contribution)."""
+    """TreeSHAP of a boosted model over every test row: contributions and base value add up to the output,
+    and the output is MLlib's own margin."""
+    from pyspark.ml.functions import vector_to_array
+
     from churnkit.operators import explain as ex
     from churnkit.operators.treeshap import tree_contributions
 
     train, test, feats, _ = scaled_parts(spark, sf_dir)
     m = ml.fit(train, feats, ml.boosted(**SMALL_GBT), LABEL)
     contrib = tree_contributions(test, m, feats, ID)
-    return contrib.select(ID, "base_value", "model_output",
-                          ex.top_factors(F.col("contribs"), ex.BATCH_TOP_N).alias("top_factors"),
-                          F.aggregate("contribs", F.lit(0.0), lambda acc, x: acc + x["contribution"])
-                          .alias("contribution_sum"))
+    raw = m.transform(ml.prepare(test, feats, None)).select(F.col(ID).alias("_id"), LABEL, vector_to_array("rawPrediction")[1].alias("_f"))
+    total = F.aggregate("contribs", F.lit(0.0), lambda acc, x: acc + x["contribution"])
+    return contrib.join(raw, contrib[ID] == raw["_id"]).select(
+        ID, LABEL, (F.abs(total + F.col("base_value") - F.col("model_output")) < 1e-9).alias("adds_up"),
+        (F.abs(F.col("model_output") - F.col("_f")) < 1e-9).alias("is_model_output"),
+        F.size(ex.top_factors(F.col("contribs"), ex.BATCH_TOP_N)).alias("n_factors"))

@@ -62,17 +62,23 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def sequential_index(df: DataFrame, out: str = "_row") -> DataFrame:
     """0-based position in input order without a single-partition window.
 
-    ``monotonically_increasing_id`` encodes (partition, record); partition
-    sizes (one row per partition) give exclusive offsets; the offsets table is
-    bounded by the partition count.
+    Spark deals file splits to partitions by size, so rows are counted per
+    (file, split start): in the order of file names, then split starts.  A
+    frame that comes from no files is counted per partition.  The offsets table
+    has one row per split.
     """
-    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_off") + local).drop("_pid", "_mid", "_off"))
+    tagged = df.withColumn("_mid", F.monotonically_increasing_id())
+    if df.inputFiles():
+        keys = ["_file", "_start"]
+        tagged = tagged.withColumn("_file", F.input_file_name()).withColumn("_start", F.input_file_block_start())
+    else:
+        keys = ["_start"]
+        tagged = tagged.withColumn("_start", F.spark_partition_id().cast("long"))
+    sizes = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (tagged.join(F.broadcast(offsets), keys)
+            .withColumn(out, F.col("_off") + F.col("_mid") - F.col("_first")).drop(*keys, "_mid", "_off", "_first"))
 
 
 def ensure_id(df: DataFrame, id_col: str = "customerID") -> DataFrame:

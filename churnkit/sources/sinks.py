@@ -48,5 +48,7 @@ def write_predictions(df: DataFrame, root: str, table: str, date_col: str = "ds"
     whole partitions (see :func:`churnkit.operators.store.retain`).
     """
     out = df if date_col in df.columns else df.withColumn(date_col, F.to_date(F.col(ts_col)))
+    # a day's rows meet first, a large day in several tasks: few files per day
+    out = out.hint("rebalance", F.col(date_col))
     (out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy(date_col).parquet(f"{root.rstrip('/')}/{table}"))

@@ -12,8 +12,9 @@ of a customer within the watermark.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnkit.operators import store
@@ -23,33 +24,56 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def _write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
+    keys = [c for c in ("ds",) if c in df.columns] + ["epoch"]
     (df.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 
-def score_batch(batch: DataFrame, scorer: Scorer, threshold: float, batch_id: str) -> dict[str, DataFrame]:
-    """One upload: rejects, scored rows with level, queue rows and batch metadata."""
+def score_batch(batch: DataFrame, scorer: Scorer, threshold: float, batch_id: str,
+                as_of: datetime) -> tuple[DataFrame, DataFrame]:
+    """One upload: (scored rows with level, rejected rows).  Ids are unique over uploads and over an
+    account's repeats within one."""
     good, bad = split_rejects(type_accounts(batch))
     scored = scorer(good)
+    again = F.row_number().over(Window.partitionBy("customerID").orderBy("churn_probability"))
+    at = F.lit(as_of).cast("timestamp")
     preds = scored.select(F.lit(batch_id).alias("batch_id"), F.col("customerID").alias("customer_id"),
-                          F.col("customerID").alias("id"), F.current_timestamp().alias("timestamp"),
-                          F.col("churn_probability"),
+                          F.concat_ws("_", F.lit(batch_id), "customerID", again.cast("string")).alias("id"),
+                          at.alias("timestamp"), F.to_date(at).alias("ds"), F.col("churn_probability"),
                           store.risk_level("churn_probability", threshold).alias("risk_level"),
                           *[c for c in ("top_factors", "recommended_action") if c in scored.columns])
-    return {"predictions": preds, "queue": store.queue_rows(preds), "rejects": bad,
-            "metadata": store.batch_summary(preds)}
+    return preds, bad
 
 
 def stream_scores(spark: SparkSession, in_dir: str, out_root: str, checkpoint: str, scorer: Scorer,
-                  threshold: float = 0.5, available_now: bool = True):
-    """ST1: score each new CSV file of ``in_dir`` exactly once into ``out_root``."""
+                  threshold: float = 0.5, available_now: bool = True, as_of: datetime | None = None):
+    """ST1: score each new CSV file of ``in_dir`` exactly once into ``out_root``.
+
+    All rows of a micro-batch carry one time: ``as_of`` or, by default, the
+    time its latest file was uploaded, which a replay finds again.  The scored
+    rows are written first; queue and metadata come from what was written, so
+    the scorer runs once.  A batch without a valid row leaves a metadata row of
+    zeros.
+    """
     src = (spark.readStream.schema(account_schema()).option("header", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(in_dir))
+           .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(in_dir)
+           .select("*", F.col("_metadata.file_modification_time").alias("_uploaded")))
+    root = out_root.rstrip("/")
 
     def each(batch: DataFrame, epoch_id: int) -> None:
-        parts = score_batch(batch, scorer, threshold, f"stream_{epoch_id}")
-        for name, frame in parts.items():
-            _write_epoch(frame, f"{out_root.rstrip('/')}/{name}", epoch_id)
+        batch_id = f"stream_{epoch_id}"
+        when = as_of or batch.agg(F.max("_uploaded")).first()[0]
+        preds, bad = score_batch(batch.drop("_uploaded"), scorer, threshold, batch_id, when)
+        _write_epoch(preds, f"{root}/predictions", epoch_id)
+        _write_epoch(bad, f"{root}/rejects", epoch_id)
+        written = spark.read.schema(preds.withColumn("epoch", F.lit(epoch_id)).schema).parquet(f"{root}/predictions").filter(
+            F.col("epoch") == epoch_id).drop("epoch")
+        _write_epoch(store.queue_rows(written), f"{root}/queue", epoch_id)
+        this = spark.range(1).select(F.lit(batch_id).alias("batch_id"))
+        meta = store.batch_summary(written, this)
+        at = F.lit(when).cast("timestamp")
+        meta = meta.withColumn("timestamp", F.coalesce(F.col("timestamp"), at) if "timestamp" in meta.columns else at)
+        _write_epoch(meta.withColumn("ds", F.to_date("timestamp")), f"{root}/metadata", epoch_id)
 
     w = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -68,21 +68,26 @@ def _emb(spark):
     return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-def test_knn_exact_against_numpy_and_lsh_recall(spark):
-    pts = _emb(spark)
-    rows = pts.collect()
-    X = np.array([r["v"] for r in rows])
-    ids = [r["vec_id"] for r in rows]
-    exact = {(r["vec_id"], r["rank"]): r["nbr_id"] for r in knn(pts, "vec_id", "v", k=3).collect()}
-    for i, a in enumerate(ids):
-        d = np.sqrt(((X - X[i]) ** 2).sum(axis=1))
-        order = sorted((d[j], ids[j]) for j in range(len(ids)) if j != i)[:3]
-        assert [exact[(a, r)] for r in (1, 2, 3)] == [b for _, b in order]
-    approx = knn(pts, "vec_id", "v", k=3, exact_limit=0, num_tables=8).collect()
-    hit = sum(1 for r in approx if exact.get((r["vec_id"], r["rank"])) == r["nbr_id"]
-              or r["nbr_id"] in {exact.get((r["vec_id"], k)) for k in (1, 2, 3)})
-    recall = hit / len(exact)
-    assert recall > 0.3  # LSH is approximate; measured here, not assumed
+def _check_knn(spark, X, ids, k, **kw):
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in zip(ids, X)], "pid string, v array<double>")
+    got = {(r["pid"], r["rank"]): r["nbr_id"] for r in knn(df, "pid", "v", k=k, **kw).collect()}
+    for i in range(len(ids)):
+        d = np.zeros(len(ids))
+        for c in range(X.shape[1]):
+            d += (X[:, c] - X[i, c]) ** 2
+        order = sorted((float(np.sqrt(d[j])), ids[j]) for j in range(len(ids)) if j != i)[:k]
+        assert [got.get((ids[i], r)) for r in range(1, len(order) + 1)] == [b for _, b in order]
+    assert len(got) == sum(min(k, len(ids) - 1) for _ in ids)
+
+
+def test_knn_is_exact_in_any_number_of_blocks(spark):
+    rng = np.random.default_rng(4)
+    X = np.concatenate([rng.normal(c, 0.2, (40, 2)) for c in ((0, 0), (5, 5), (0, 9))] + [[[40.0, 40.0], [-30.0, 2.0], [9.0, -50.0]]])
+    ids = [f"p{i:03d}" for i in range(len(X))]
+    _check_knn(spark, X, ids, 5)
+    _check_knn(spark, X, ids, 5, block_rows=8, max_pivots=6)  # outliers reach into other cells
+    _check_knn(spark, X, ids, 5, block_rows=1000, max_pivots=1)
+    _check_knn(spark, X[:4], ids[:4], 5)
 
 
 def test_knn_with_a_third_of_rows_identical(spark):
@@ -91,12 +96,35 @@ def test_knn_with_a_third_of_rows_identical(spark):
     X[:50] = X[0]                      # a group of copies holding a third of the rows
     X[60:63] = X[70]                   # and a smaller one
     ids = [f"p{i:03d}" for i in range(150)]
-    df = spark.createDataFrame([(ids[i], [float(x) for x in X[i]]) for i in range(150)], "pid string, v array<double>")
-    got = {(r["pid"], r["rank"]): r["nbr_id"] for r in knn(df, "pid", "v", k=5).collect()}
-    for i in range(150):
-        d = np.sqrt(((X - X[i]) ** 2).sum(axis=1))
-        order = sorted((float(d[j]), ids[j]) for j in range(150) if j != i)[:5]
-        assert [got[(ids[i], r)] for r in range(1, 6)] == [b for _, b in order]
+    _check_knn(spark, X, ids, 5)
+    _check_knn(spark, X, ids, 5, block_rows=16)
+
+
+def test_smote_of_indicators_gives_values_between_them(spark):
+    df = spark.createDataFrame([(i, i % 2, (i // 2) % 2, 1 if i < 8 else 0) for i in range(60)], "id int, a int, b int, y int")
+    out = smote(df, "y", "id", ["a", "b"], k=5)
+    assert dict(out.dtypes)["a"] == "double"
+    syn = [r["a"] for r in out.filter("is_synthetic").collect()]
+    assert len(syn) == 44 and any(0 < v < 1 for v in syn)
+    as_double = smote(df.selectExpr("id", "double(a) as a", "double(b) as b", "y"), "y", "id", ["a", "b"], k=5)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, as_double.collect()))
+
+
+def test_smote_refuses_a_single_minority_row(spark):
+    df = spark.createDataFrame([(i, 1.0 * i, 1 if i == 0 else 0) for i in range(9)], "id int, a double, y int")
+    with pytest.raises(ValueError):
+        smote(df, "y", "id", ["a"])
+
+
+def test_learner_names_and_limits():
+    from churnkit.operators import models as ml
+
+    assert ml.forest(n_estimators=7, min_samples_split=10).getMinInstancesPerNode() == 5
+    assert ml.boosted(num_leaves=31).getMaxDepth() == 5
+    for bad in (lambda: ml.boosted(reg_alpha=0.1), lambda: ml.forest(max_depth=None), lambda: ml.forest(max_depth=31),
+                lambda: ml.logistic(C=0.5)):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_smote_parity_and_segments(spark):

@@ -42,6 +42,13 @@ def test_ensure_id_numbers_rows_in_input_order(spark):
     assert keep["customerID"] == "5"
 
 
+def test_row_ids_follow_file_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1\n2\n3\n")
+    (tmp_path / "b.csv").write_text("\n".join(str(i) for i in range(4, 2004)) + "\n")
+    got = {r["x"]: r["customerID"] for r in ensure_id(spark.read.schema("x int").csv(str(tmp_path))).collect()}
+    assert got == {i: f"row_{i - 1}" for i in range(1, 2004)}
+
+
 def test_read_usage_types_from_header(spark, tmp_path):
     d = tmp_path / "usage"
     d.mkdir()

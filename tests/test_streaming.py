@@ -1,5 +1,6 @@
 """Streaming: stream equals batch, replays add nothing, lateness is bounded, de-duplication."""
 
+import datetime
 import os
 
 from pyspark.sql import functions as F
@@ -63,15 +64,27 @@ def test_stream_equals_batch_and_replay_adds_nothing(spark, tmp_path):
     assert spark.read.parquet(os.path.join(out, "predictions")).count() == acc.count()
 
 
+def test_an_upload_without_valid_rows_leaves_a_metadata_row(spark, tmp_path):
+    d = str(tmp_path)
+    _write_uploads(spark, d)
+    os.makedirs(f"{d}/only")
+    os.link(f"{d}/in/c/part-bad.csv", f"{d}/only/x.csv")
+    stream_scores(spark, f"{d}/only", f"{d}/out", f"{d}/ck", scorer).awaitTermination(300)
+    (meta,) = spark.read.parquet(f"{d}/out/metadata").collect()
+    assert meta["total_customers"] == 0 and meta["batch_id"] == "stream_0" and meta["timestamp"] is not None
+    assert spark.read.parquet(f"{d}/out/rejects").count() == 1
+
+
 def test_epoch_replay_overwrites_its_partition(spark, tmp_path):
     from churnkit.streaming.stream import _write_epoch
 
     acc = fixtures.accounts(spark, SF).drop("Churn").select([F.col(c).cast("string") for c in
                                                              fixtures.accounts(spark, SF).drop("Churn").columns])
-    parts = score_batch(acc.withColumn("_corrupt_record", F.lit(None).cast("string")), scorer, 0.5, "stream_7")
+    preds, _ = score_batch(acc.withColumn("_corrupt_record", F.lit(None).cast("string")), scorer, 0.5, "stream_7",
+                           datetime.datetime(2024, 3, 1))
     path = str(tmp_path / "preds")
-    _write_epoch(parts["predictions"], path, 7)
-    _write_epoch(parts["predictions"], path, 7)  # replayed epoch
+    _write_epoch(preds, path, 7)
+    _write_epoch(preds, path, 7)  # replayed epoch
     assert spark.read.parquet(path).count() == acc.count()
 
 
