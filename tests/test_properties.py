@@ -1,6 +1,7 @@
 """Properties of SURVEY 5: splits, running sums, quantiles, kNN / SMOTE, stacking,
 calibration, leakage, and plan shape."""
 
+import math
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from churnkit.operators.balance import knn, smote
-from churnkit.operators.calibration import platt_fit, platt_reference
+from churnkit.operators.calibration import platt_fit
 from churnkit.operators.evaluate import pr_curve
 from churnkit.operators.ordered import exact_quantile, running_totals
 from churnkit.operators.split import fold_ids, stratified_split
@@ -162,6 +163,37 @@ def test_balancing_stays_inside_training_folds(spark):
         assert train.filter(~F.col("is_synthetic")).join(valid, "id").count() == 0
 
 
+def platt_reference(scores: list[float], labels: list[int], iters: int = 100) -> tuple[float, float]:
+    """Newton fit on the smoothed targets; what platt_fit is held against."""
+    n_pos = sum(labels)
+    n_neg = len(labels) - n_pos
+    tp, tn = (n_pos + 1.0) / (n_pos + 2.0), 1.0 / (n_neg + 2.0)
+    t = [tp if y == 1 else tn for y in labels]
+    a, b = 0.0, math.log((n_neg + 1.0) / (n_pos + 1.0))
+    for _ in range(iters):
+        ga = gb = haa = hab = hbb = 0.0
+        for s, ti in zip(scores, t):
+            z = a * s + b
+            p = 1.0 / (1.0 + math.exp(z)) if z > -700 else 1.0
+            d = ti - p
+            ga += d * s
+            gb += d
+            w = p * (1 - p)
+            haa += w * s * s
+            hab += w * s
+            hbb += w
+        det = haa * hbb - hab * hab
+        if det == 0:
+            break
+        da = (hbb * ga - hab * gb) / det
+        db = (haa * gb - hab * ga) / det
+        a -= da
+        b -= db
+        if abs(da) < 1e-12 and abs(db) < 1e-12:
+            break
+    return a, b
+
+
 def test_platt_matches_newton_reference(spark):
     rng = random.Random(5)
     rows = [(rng.random(), 1 if rng.random() < 0.3 else 0) for _ in range(500)]
