@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from churnkit.llm.components import components
 from churnkit.llm.textkit import LOWER, PLACE, keyed_text, mix, ngrams, slices, utf8, word_bounds, word_hashes
@@ -37,12 +37,13 @@ from churnkit.session import reliable, scratch_path
 
 SHINGLE = 4
 PERCENT = 85
-SIGNATURE_BITS = 4096
+SMALLEST_BITMAP, LARGEST_BITMAP = 9, 18  # powers of two
 LEAF = 16
 FANOUT = 4
 BLOCK = 8192
 FREQUENT = 500_000
 COUNTED_AT_ONCE = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(column, k: int = SHINGLE) -> list[np.ndarray]:
@@ -123,7 +124,7 @@ def prefix(grams: np.ndarray, size: int, often: np.ndarray, counts: np.ndarray)
 
 
 def set_table(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """doc_id, n, digest (128 bits of the whole set), keys (the prefix)."""
+    """doc_id, n, digest (128 bits of the whole set), bits (the set's bitmap), keys (the prefix)."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
@@ -137,20 +138,30 @@ def set_table(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], k: int, per
                 yield pa.RecordBatch.from_arrays([
                     s.column("doc_id"), pa.array([len(g) for g in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()),
+                    pa.array([signature(g).tobytes() for g in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))],
-                    ["doc_id", "n", "digest", "keys"])
+                    ["doc_id", "n", "digest", "bits", "keys"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, digest binary, keys array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, digest binary, bits binary, keys array<bigint>")
 
 
 # --- signature trees ---------------------------------------------------------------------------
 
 def signature(grams: np.ndarray) -> np.ndarray:
-    bits = np.zeros(SIGNATURE_BITS, bool)
-    bits[(grams >> np.uint64(20)).astype(np.int64) & (SIGNATURE_BITS - 1)] = True
+    """Bitmap of a set, about four bits per n-gram; its width is a power of two, so that it folds to any smaller one."""
+    width = 1 << max(SMALLEST_BITMAP, min(LARGEST_BITMAP, (4 * len(grams) - 1).bit_length()))
+    bits = np.zeros(width, bool)
+    bits[(grams >> np.uint64(20)).astype(np.int64) & (width - 1)] = True
     return np.packbits(bits).view(np.uint64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set at a smaller width."""
+    while len(bits) > words:
+        bits = bits[:len(bits) // 2] | bits[len(bits) // 2:]
+    return bits
+
+
 class SignatureTree:
     """Members sorted by set size in leaves of LEAF; levels of FANOUT nodes above them.
 
@@ -220,13 +231,24 @@ class SignatureTree:
                 yield i[a], j[b]
 
 
-def star_pairs(tree: SignatureTree, ids: np.ndarray) -> list[tuple[int, int]]:
+def pair_can_link(tree: SignatureTree, bits: list[np.ndarray], i: int, j: int) -> bool:
+    """The bound again, on the two bitmaps at the largest width that both have."""
+    words = min(len(bits[i]), len(bits[j]))
+    if words == tree.bits.shape[1]:
+        return True
+    x, y = folded(bits[i], words), folded(bits[j], words)
+    shared = int(np.bitwise_count(x & y).sum())
+    most = shared + min(int(tree.size[i]) - int(np.bitwise_count(x).sum()), int(tree.size[j]) - int(np.bitwise_count(y).sum()))
+    return bool(tree.can_link(most, int(tree.size[i]), int(tree.size[j])))
+
+
+def star_pairs(tree: SignatureTree, ids: np.ndarray, bits: list[np.ndarray]) -> list[tuple[int, int]]:
     """Pairs that would join what the bitmaps cannot tell apart, one less than the members of each group."""
     out = []
     for a, b in tree.pairs():
         for i, j in zip(a, b):
             gi, gj = tree.group[i], tree.group[j]
-            if gi != gj:
+            if gi != gj and pair_can_link(tree, bits, i, j):
                 out.append((int(i), int(j)))
                 tree.group[tree.group == max(gi, gj)] = min(gi, gj)
     # through the smallest id of each group, so that other buckets name the same pairs
@@ -247,20 +269,30 @@ def star_pairs(tree: SignatureTree, ids: np.ndarray) -> list[tuple[int, int]]:
 
 def _bucket_joins(percent: int, all_pairs: bool) -> Callable:
     """Over rows sorted by bucket and block: the pairs of ids that a bucket asks to check."""
-    def join(size, bits, group, ids, block):
+    def join(size, raw, group, ids, block):
         order = np.lexsort((ids, size))
-        bits = np.frombuffer(b"".join([bits[i] for i in order]), np.uint64).reshape(len(ids), -1)
         size, ids, group, block = size[order], ids[order], group[order], block[order]
-        if all_pairs:
-            tree = SignatureTree(size, bits, group.copy(), percent)
-            two = len(np.unique(block)) > 1
-            for a, b in tree.pairs():
-                keep = block[a] != block[b] if two else slice(None)
-                yield from zip(ids[a[keep]], ids[b[keep]])
-        else:
-            tree = SignatureTree(size, bits, np.arange(len(ids)), percent)
-            for i, j in star_pairs(tree, ids):
-                yield ids[i], ids[j]
+        bitmaps = [np.frombuffer(raw[i], np.uint64) for i in order]
+        # no link crosses a gap in the sizes
+        cuts = np.flatnonzero(np.r_[True, percent * size[1:] > 100 * size[:-1], True])
+        for s, e in zip(cuts, cuts[1:]):
+            if e - s < 2 or (all_pairs and (group[s:e] == group[s]).all()):
+                continue
+            own = bitmaps[s:e]
+            words = min(map(len, own))
+            same = np.stack([folded(b, words) for b in own])
+            name, part = ids[s:e], block[s:e]
+            if all_pairs:
+                tree = SignatureTree(size[s:e], same, group[s:e].copy(), percent)
+                two = len(np.unique(block)) > 1
+                for a, b in tree.pairs():
+                    for i, j in zip(a.tolist(), b.tolist()):
+                        if (not two or part[i] != part[j]) and pair_can_link(tree, own, i, j):
+                            yield name[i], name[j]
+            else:
+                tree = SignatureTree(size[s:e], same, np.arange(e - s), percent)
+                for i, j in star_pairs(tree, name, own):
+                    yield name[i], name[j]
 
     def run(batches):
         held, key = None, None
@@ -270,7 +302,8 @@ def _bucket_joins(percent: int, all_pairs: bool) -> Callable:
             got = [(min(a, b), max(a, b)) for a, b in join(np.array(size), bits, np.array(group), np.array(ids), np.array(block))]
             if got:
                 a, b = zip(*got)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                                                  pa.array([bucket[0]] * len(a), pa.int64())], ["a", "b", "bucket"])
 
         for batch in batches:
             cols = [batch.column(c) for c in ("bucket", "n", "bits", "grp", "v", "block")]
@@ -309,23 +342,38 @@ def _linked(percent: int) -> Callable:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("v").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("v").alias("b"), F.col("grams").alias("y"))
-    return pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
         _linked(percent), "a bigint, b bigint")
 
 
-def _signed(k: int) -> Callable:
+def _hashed(k: int) -> Callable:
     def run(batches):
         for b in batches:
             for s in slices(b):
-                sets = shingle_sets(s.column("text"), k)
                 yield pa.RecordBatch.from_arrays([
-                    s.column("doc_id"), pa.array([len(g) for g in sets], pa.int64()),
-                    pa.array([signature(g).tobytes() for g in sets], pa.binary()),
-                    pa.array([g.tobytes() for g in sets], pa.binary())], ["v", "n", "bits", "grams"])
+                    s.column("doc_id"), pa.array([g.tobytes() for g in shingle_sets(s.column("text"), k)], pa.binary())], ["v", "grams"])
 
     return run
 
 
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(v, grams) of the wanted ids, as a written table.  Up to BROADCAST_IDS ids, counted first, go to
+    the texts; more are joined by a shuffle of both."""
+    spark = docs.sparkSession
+    ids, out = scratch_path(spark, "jaccard-wanted"), scratch_path(spark, "jaccard-full")
+    wanted.write.parquet(ids)
+    wanted = spark.read.parquet(ids)
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    (docs.join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text").dropDuplicates()
+     .mapInArrow(_hashed(k), "v bigint, grams binary").write.parquet(out))
+    return spark.read.parquet(out)
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
 # --- the join ------------------------------------------------------------------------------------
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -349,9 +397,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     linkable = table.where("n > 0 and doc_id is not null")
 
     classes = reliable(linkable.groupBy("digest").agg(F.min("doc_id").alias("v")))
-    # one row of each class keeps its keys; the smallest id's row, or one of its repeats
-    kept = linkable.join(classes.withColumnRenamed("digest", "d"), (F.col("doc_id") == F.col("v")) & (F.col("digest") == F.col("d")))
-    keyed = (kept.select("v", F.explode("keys").alias("key")).repartition("key"))
+    # one row of each class stands for it: the smallest id's
+    chosen = classes.withColumnRenamed("digest", "of")
+    kept = linkable.join(chosen, (F.col("doc_id") == F.col("v")) & (F.col("digest") == F.col("of")))
+    signed = reliable(kept.select("v", "digest", "n", "bits").dropDuplicates(["v", "digest"]).select("v", "n", "bits"))
+    # both uses below share this one exchange: the filter that a join would add to its side alone is written here
+    keyed = kept.select("v", F.explode("keys").alias("key")).where("key is not null").repartition("key")
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("v").alias("low"), F.max("v").alias("high"),
                                       F.bit_xor(F.xxhash64("v")).alias("print"),
                                       F.sum(F.xxhash64("v").bitwiseAND(0xFFFFFFFF)).alias("print2")).where("low < high")
@@ -359,33 +410,35 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     buckets = shared.groupBy("members", "low", "high", "print", "print2").agg(F.min("key").alias("key"))
     members = reliable(keyed.join(buckets.select("key", "members", "low"), "key").dropDuplicates(["key", "v"]))
 
-    wanted = members.select(F.col("v").alias("id")).distinct()
-    sets_path = scratch_path(spark, "jaccard-signed")
-    (docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("doc_id", "text")
-     .dropDuplicates(["doc_id", "text"])
-     .mapInArrow(_signed(shingle), "v bigint, n bigint, bits binary, grams binary").write.parquet(sets_path))
-    sets = spark.read.parquet(sets_path)
-
     # first pass: a spanning star of each bucket; blocks of a large bucket share its smallest member
     blocks = F.ceil(F.col("members") / block).cast("int")
     dealt = members.withColumn("blocks", blocks)
     dealt = dealt.withColumn("block", F.when(F.col("v") == F.col("low"), F.sequence(F.lit(0), F.col("blocks") - 1))
                              .otherwise(F.array(F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))))
     dealt = dealt.withColumn("block", F.explode("block"))
-    edges = reliable(verified(_searched(dealt, sets, percent, None), sets, percent))
+    asked = reliable(_searched(dealt, signed, percent, None))
+    pairs = asked.select("a", "b").distinct()
+    sets = full_sets(docs, ends(pairs), shingle)
+    edges = reliable(verified(pairs, sets, percent))
 
     # second pass: pairs of different components
     found = components(edges)
     labelled = members.join(found, F.col("v") == F.col("node"), "left").withColumn(
-        "grp", F.coalesce("component", "v")).select("key", "v", "grp")
-    spread = labelled.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"),
-                                         F.count("*").alias("members")).where("g0 < g1").select("key", "members")
+        "grp", F.coalesce("component", "v")).select("key", "v", "grp", "members")
+    spread = labelled.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 < g1").select("key")
     rest = labelled.join(spread, "key").withColumn("blocks", blocks)
+    # a bucket in one block that had no pair to check in the first pass has none now
+    again = asked.select(F.col("bucket").alias("again")).distinct()
+    whole = rest.where("blocks = 1").join(again, _bucket(F.col("key"), F.lit(0)) == F.col("again"), "left_semi")
+    rest = whole.unionAll(rest.where("blocks > 1"))
     own = rest.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     paired = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = paired.withColumn("block", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-    more = verified(_searched(paired, sets, percent, "grp"), sets, percent)
-    links = reliable(edges.unionAll(more))
+    pairs = reliable(_searched(paired, signed, percent, "grp").select("a", "b").distinct())
+    # sets that only pairs across the blocks of a large bucket ask for are still to be fetched
+    missing = ends(pairs).join(sets.select("v").distinct(), F.col("id") == F.col("v"), "left_anti")
+    sets = sets.unionAll(full_sets(docs, missing, shingle))
+    links = reliable(edges.unionAll(verified(pairs, sets, percent)))
     found = components(links)
 
     labels = classes.join(found, F.col("v") == F.col("node"), "left").select(
@@ -396,11 +449,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return by_id.unionAll(single).select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
 
 
-def _searched(rows: DataFrame, sets: DataFrame, percent: int, group: str | None) -> DataFrame:
+def _bucket(key, block) -> Column:
+    return F.xxhash64(key, block)
+
+
+def _searched(rows: DataFrame, signed: DataFrame, percent: int, group: str | None) -> DataFrame:
     """Candidate pairs of the trees of all buckets of ``rows`` (key, block, v and, in the second pass, the group)."""
-    rows = rows.select(F.xxhash64("key", "block").alias("bucket"), "v",
+    rows = rows.select(_bucket("key", "block").alias("bucket"), "v",
                        (F.col(group) if group else F.col("v")).alias("grp"),
                        (F.col("own") if group else F.lit(0)).alias("block"))
-    rows = rows.join(sets.select("v", "n", "bits"), "v")
+    rows = rows.join(signed, "v")
     rows = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(_bucket_joins(percent, group is not None), "a bigint, b bigint")
+    return rows.mapInArrow(_bucket_joins(percent, group is not None), "a bigint, b bigint, bucket bigint")
