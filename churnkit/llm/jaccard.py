@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from churnkit.llm.components import components
 from churnkit.llm.textkit import LOWER, PLACE, keyed_text, mix, ngrams, slices, utf8, word_bounds, word_hashes
@@ -41,7 +41,7 @@ SMALLEST_BITMAP, LARGEST_BITMAP = 9, 18  # powers of two
 LEAF = 16
 FANOUT = 4
 BLOCK = 8192
-FREQUENT = 500_000
+FREQUENT = 2_000_000
 COUNTED_AT_ONCE = 2_000_000
 BROADCAST_IDS = 1_000_000
 
@@ -76,7 +76,7 @@ def required(n: int, percent: int) -> int:
 
 def _local_counts(k: int) -> Callable:
     def run(batches):
-        held, size, total = [], 0, 0
+        held, size = [], 0
 
         def counts():
             g, c = np.unique(np.concatenate(held), return_counts=True)
@@ -91,22 +91,26 @@ def _local_counts(k: int) -> Callable:
                     size += len(g)
                 if size >= COUNTED_AT_ONCE:
                     yield counts()
-                    held, size, total = [], 0, total + size
+                    held, size = [], 0
         if held:
             yield counts()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total + size], pa.int64())], ["gram", "n"])
 
     return run
 
 
 def frequent_grams(docs: DataFrame, k: int = SHINGLE, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the n-grams that make up over 1/``most`` of all; so there are
-    at most ``most`` of them.  Counts leave out what a task met once or twice."""
+    """Hashes (sorted) and counts of the ``most`` most frequent n-grams at most.  Counts leave out what a
+    task met once or twice."""
     counted = reliable(docs.select("text").mapInArrow(_local_counts(k), "gram bigint, n bigint")
                        .groupBy("gram").agg(F.sum("n").alias("n")))
-    total = counted.where("gram is null").first()
-    least = (total["n"] or 0) // most + 1 if total else 1
-    got = counted.where(F.col("gram").isNotNull() & (F.col("n") >= max(3, least))).toArrow()
+    # the smallest count that leaves at most `most` n-grams, from the number of n-grams of each count
+    least, listed = 3, 0
+    for r in sorted(counted.groupBy("n").agg(F.count("*").alias("grams")).where("n > 2").collect(), reverse=True):
+        listed += r["grams"]
+        if listed > most:
+            least = r["n"] + 1
+            break
+    got = counted.where(F.col("n") >= least).toArrow()
     gram = got["gram"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(gram)
     return gram[order], got["n"].to_numpy()[order]
@@ -402,13 +406,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = linkable.join(chosen, (F.col("doc_id") == F.col("v")) & (F.col("digest") == F.col("of")))
     signed = reliable(kept.select("v", "digest", "n", "bits").dropDuplicates(["v", "digest"]).select("v", "n", "bits"))
     # both uses below share this one exchange: the filter that a join would add to its side alone is written here
-    keyed = kept.select("v", F.explode("keys").alias("key")).where("key is not null").repartition("key")
+    keyed = kept.select("v", "n", F.explode("keys").alias("key")).where("key is not null").repartition("key")
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("v").alias("low"), F.max("v").alias("high"),
                                       F.bit_xor(F.xxhash64("v")).alias("print"),
-                                      F.sum(F.xxhash64("v").bitwiseAND(0xFFFFFFFF)).alias("print2")).where("low < high")
+                                      F.sum(F.xxhash64("v").bitwiseAND(0xFFFFFFFF)).alias("print2"),
+                                      F.max("n").alias("largest")).where("low < high and largest > 0")  # n: the same columns twice
     # keys with the same members are one bucket
     buckets = shared.groupBy("members", "low", "high", "print", "print2").agg(F.min("key").alias("key"))
-    members = reliable(keyed.join(buckets.select("key", "members", "low"), "key").dropDuplicates(["key", "v"]))
+    members = keyed.join(buckets.select("key", "members", "low"), "key")
+    # a set links only with sets of nearly its size: without one beside it in the order of sizes it leaves the bucket
+    by_size = Window.partitionBy("key").orderBy("n", "v")
+    near = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.lead("n").over(by_size) * percent <= F.col("n") * 100)
+    members = reliable(members.withColumn("near", near).where("near").select("key", "v", "members", "low").dropDuplicates(["key", "v"]))
 
     # first pass: a spanning star of each bucket; blocks of a large bucket share its smallest member
     blocks = F.ceil(F.col("members") / block).cast("int")
