@@ -35,6 +35,7 @@ from churnkit.session import scratch_path
 
 LENGTH = 200
 HOT = 4096
+FILTER_BITS = 27
 SEGMENT = 1 << 21
 BATCH_MEMBERS = 4096
 
@@ -97,13 +98,52 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int, k: int):
     return np.searchsorted(offsets, first, side="right") - 1, first, last, place, h
 
 
-def anchor_table(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """doc_id, th, place, before (distance of the first window's start), after (of the last's), h, ctx."""
+def anchor_hashes(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """h, n: the anchor hashes of each slice with their counts in it."""
+    def run(batches):
+        for b in batches:
+            for s in slices(b):
+                h, n = np.unique(anchors(*utf8(s.column("text")), length, k)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    return docs.select("text").mapInArrow(run, "h bigint, n bigint")
+
+
+def repeated_filter(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of 2**FILTER_BITS bits, two of them set for every hash that occurs twice or more.
+
+    Its size is fixed.  What it lets through wrongly is dropped by exact counts
+    later; the more repeats a corpus has, the less it holds back.
+    """
+    mask = (1 << FILTER_BITS) - 1
+    twice = hashes.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    place = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", FILTER_BITS).bitwiseAND(mask)))
+    words = (twice.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for p in (h & np.uint64((1 << FILTER_BITS) - 1), (h >> np.uint64(FILTER_BITS)) & np.uint64((1 << FILTER_BITS) - 1)):
+        out &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def anchor_table(docs: DataFrame, length: int, k: int, filter_bits: np.ndarray) -> DataFrame:
+    """doc_id, th, place, before (distance of the first window's start), after (of the last's), h, ctx of
+    the anchors that the filter lets through."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_bits)
+
     def run(batches):
         for b in batches:
             for s in slices(b):
                 buf, offsets = utf8(s.column("text"))
-                doc, first, last, place, h = anchors(buf, offsets, length, k)
+                found = anchors(buf, offsets, length, k)
+                keep = passes(shared.value, found[4])
+                doc, first, last, place, h = (c[keep] for c in found)
                 if not len(doc):
                     continue
                 view = memoryview(np.ascontiguousarray(buf))
@@ -326,11 +366,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     spark = docs.sparkSession
     k = max(1, length // 5)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = anchor_table(docs, length, k).repartition("h")
-    contexts = dealt.groupBy("h", "ctx").agg(F.count("*").alias("n"))
+    path, kept = scratch_path(spark, "repeats-anchors"), scratch_path(spark, "repeats-kept")
+    anchor_table(docs, length, k, repeated_filter(anchor_hashes(docs, length, k))).write.parquet(kept)
+    kept = spark.read.parquet(kept)
+    # one line may hold a large share of all anchors: counts are combined before each exchange, and in the
+    # joins Spark can split the tasks of a hot hash
+    contexts = kept.groupBy("h", "ctx").agg(F.count("*").alias("n"))
     groups = contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("n_ctx")).where("total > 1")
-    path = scratch_path(spark, "repeats-anchors")
-    dealt.join(groups.select("h", "n_ctx"), "h").join(contexts, ["h", "ctx"]).write.parquet(path)
+    counted = contexts.join(groups.select("h", "n_ctx"), "h")
+    kept.join(counted, ["h", "ctx"]).write.parquet(path)
     shared = spark.read.parquet(path)
 
     whole = shared.where("n > 1").select("doc_id", "th", (F.col("place") - F.col("before")).alias("start"),
