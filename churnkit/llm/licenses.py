@@ -1,16 +1,21 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines of a text that mention a license.  Each is
-compressed with zstandard, without help and with each template as a raw
-dictionary; templates are ranked by how much they shrink the block.  The best
-ones are confirmed by the exact differences in wording: the words of the
-template that the block lacks, changes or adds inside the matched passage.
+Candidate blocks are windows of words around the mentions of a license, wide
+enough for the longest template on both sides; line breaks and comment markers
+do not end them.  In each block every passage whose words differ from a
+template in few places is found by exact approximate matching: the words of the
+template that the passage lacks, changes or adds.  Passages are compressed with
+zstandard, without help and with the template as a raw dictionary; how much the
+template shrinks the passage decides between templates with equally many
+differences.  Words of a confirmed passage are taken, and the rest of the block
+is scanned again until nothing more is confirmed.
 """
 
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -46,9 +51,14 @@ TEMPLATES = {
     "CC-BY-NC-4.0 notice": ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     "CC0-1.0 notice": ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights."),
 }
-SIGNAL = re.compile(r"licen[sc]|copyright|permission is hereby|redistribution and use|free software|creative commons", re.IGNORECASE)
+# what may stand between two words of a wrapped notice, with the comment markers that are words themselves
+_GAP = r"\W+(?:(?:dnl|rem)\W+)?"
+SIGNAL = re.compile("licen[sc]|copyright|" + "|".join(
+    p.replace(" ", _GAP) for p in ("permission is hereby", "redistribution and use", "free software", "creative commons")),
+    re.IGNORECASE)
 WORD = re.compile(r"[0-9A-Za-z]+(?:[.'/-][0-9A-Za-z]+)*")
-RANKED = 6
+LINE_MARKER = re.compile(r"^[ \t]*(dnl|rem)\b", re.IGNORECASE | re.MULTILINE)
+CLOSING = re.compile(r"""[.,;:!?)\]"']*""")
 MIN_GAIN = 0.25
 MAX_WRONG = 0.15
 
@@ -57,6 +67,13 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+def placed_words(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Words with their starts and ends, without the comment markers that look like words."""
+    markers = {m.start(1) for m in LINE_MARKER.finditer(text)}
+    found = [m for m in WORD.finditer(text) if m.start() not in markers]
+    return [m.group().lower() for m in found], [m.start() for m in found], [m.end() for m in found]
+
+
 class Scanner:
     """Templates with their compressors; one per Python worker."""
 
@@ -64,84 +81,135 @@ class Scanner:
         self.names = list(templates)
         self.licenses = [templates[n][0] for n in self.names]
         self.words = [words(templates[n][1]) for n in self.names]
+        self.allowed = [int(MAX_WRONG * len(w)) for w in self.words]
+        self.counts = [Counter(w) for w in self.words]
+        self.places = []
+        for w in self.words:
+            places: dict[str, int] = {}
+            for i, v in enumerate(w):
+                places[v] = places.get(v, 0) | 1 << i
+            self.places.append(places)
+        self.reach = max((len(w) + n for w, n in zip(self.words, self.allowed)), default=0)
         self.plain = zstandard.ZstdCompressor(level=19)
         self.primed = [zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(
             " ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.words]
-        self.explain = lru_cache(20_000)(self._explain)
+        self.gain = lru_cache(20_000)(self._gain)
 
-    def _explain(self, block: str) -> tuple[str, str, float, int, int, int] | None:
-        """(license, template, gain, missing, changed, added) of the block's best confirmed template."""
-        said = words(block)
-        raw = " ".join(said).encode()
+    def _gain(self, i: int, passage: str) -> float:
+        """The share of the template's own words that its dictionary saved on the passage."""
+        raw = passage.encode()
         alone = len(self.plain.compress(raw))
-        ranked = []
-        for i, c in enumerate(self.primed):
-            # the share of the template's own words that the dictionary saved
-            saved = alone - len(c.compress(raw))
-            ranked.append((saved / max(1, min(alone, len(" ".join(self.words[i])))), saved, -i))
-        winners = []
-        for gain, _, i in sorted(ranked, reverse=True)[:RANKED]:
-            if gain < MIN_GAIN:
-                break
-            wording = self.differences(self.words[-i], said)
-            if sum(wording) <= MAX_WRONG * len(self.words[-i]):
-                winners.append((sum(wording), -gain, self.licenses[-i], self.names[-i], round(gain, 4), *wording))
-        # of the confirmed ones the fewest differences win, then the better compression
-        return min(winners)[2:] if winners else None
+        return (alone - len(self.primed[i].compress(raw))) / max(1, min(alone, len(" ".join(self.words[i]))))
+
+    def distances(self, i: int, said: list[str]) -> list[int]:
+        """Fewest differences between template ``i`` and a passage that ends with each word (bit-parallel edit distance)."""
+        m, places = len(self.words[i]), self.places[i]
+        full, top = (1 << m) - 1, 1 << m - 1
+        up, down, score, out = full, 0, m, []
+        for w in said:
+            eq = places.get(w, 0)
+            xv = eq | down
+            xh = (((eq & up) + up) ^ up) | eq
+            ph = down | ~(xh | up) & full
+            mh = up & xh
+            score += bool(ph & top) - bool(mh & top)
+            ph, mh = ph << 1 & full, mh << 1 & full
+            up, down = mh | ~(xv | ph) & full, ph & xv
+            out.append(score)
+        return out
 
     @staticmethod
-    def differences(template: list[str], said: list[str]) -> tuple[int, int, int]:
-        """Words missing, changed and added between the template's first and last word found in the block."""
-        missing = changed = added = 0
-        steps = SequenceMatcher(None, template, said, autojunk=False).get_opcodes()
-        while steps and steps[0][0] == "insert":
-            steps.pop(0)
-        while steps and steps[-1][0] == "insert":
-            steps.pop()
-        for op, a, b, x, y in steps:
-            if op == "delete":
-                missing += b - a
-            elif op == "replace":
-                changed += min(b - a, y - x) if 0 < a and b < len(template) else b - a
-                added += max(0, y - x - (b - a)) if 0 < a and b < len(template) else 0
-                missing += max(0, b - a - (y - x)) if 0 < a and b < len(template) else 0
-            elif op == "insert":
-                added += y - x
-        return missing, changed, added
-
-    def scan(self, text: str | None):
-        """(start, end, license, template, gain, missing, changed, added) of each block that a template explains."""
-        if not text:
-            return
-        seen = -1
-        for m in SIGNAL.finditer(text):
-            if m.start() < seen:
+    def align(template: list[str], said: list[str]) -> tuple[int, int, int, int, int]:
+        """(first, last, missing, changed, added) of the best passage that ends where ``said`` ends; first and
+        last are the outermost words that agree."""
+        rows = [[0] * (len(said) + 1)]
+        for i, w in enumerate(template):
+            above, row = rows[-1], [i + 1]
+            for j, v in enumerate(said):
+                row.append(min(above[j] + (w != v), above[j + 1] + 1, row[j] + 1))
+            rows.append(row)
+        i, j, agree, missing, changed, added = len(template), len(said), [], 0, 0, 0
+        while i:
+            here = rows[i][j]
+            if j and here == rows[i - 1][j - 1] + (template[i - 1] != said[j - 1]):
+                i, j = i - 1, j - 1
+                if template[i] == said[j]:
+                    agree.append(j)
+                else:
+                    changed += 1
+            elif here == rows[i - 1][j] + 1:
+                i, missing = i - 1, missing + 1
+            else:
+                j, added = j - 1, added + 1
+        return (agree[-1], agree[0], missing, changed, added) if agree else (0, -1, missing, changed, added)
+
+    def passages(self, i: int, said: list[str]) -> list[tuple[int, int, int, int, int]]:
+        """Disjoint passages (as by ``align``) that template ``i`` explains, those with the fewest differences first."""
+        if len(said) < len(self.words[i]) - self.allowed[i] or not self.words[i]:
+            return []
+        have = Counter(w for w in said if w in self.places[i])
+        # a confirmed passage has all but the allowed number of the template's words
+        if sum((have & self.counts[i]).values()) < len(self.words[i]) - self.allowed[i]:
+            return []
+        ends = sorted((d, j) for j, d in enumerate(self.distances(i, said)) if d <= self.allowed[i])
+        span, out = len(self.words[i]) + self.allowed[i], []
+        for _, j in ends:
+            if any(a <= j <= b for a, b, *_ in out):
                 continue
-            start = text.rfind("\n", 0, m.start()) + 1
-            seen = text.find("\n", m.end())
-            seen = len(text) if seen < 0 else seen
-            for s, e in self.blocks(text, start, seen, m.start()):
-                got = self.explain(text[s:e])
-                if got:
-                    yield (s, e, *got)
+            low = max(0, j + 1 - span)
+            a, b, *wording = self.align(self.words[i], said[low:j + 1])
+            if a <= b and not any(a + low <= y and x <= b + low for x, y, *_ in out):
+                out.append((a + low, b + low, *wording))
+        return out
+
+    def confirmed(self, said: list[str], free: list[bool], low: int, high: int, own: set[int]):
+        """Every passage among the free words from ``low`` to ``high`` that a template explains and that has one of
+        the places ``own``; takes its words.  Yields (first, last, license, template, gain, missing, changed, added)."""
+        while True:
+            found = []
+            a = low
+            while a < high:
+                if not free[a]:
+                    a += 1
+                    continue
+                b = a
+                while b < high and free[b]:
+                    b += 1
+                for i in range(len(self.names)):
+                    for x, y, *wording in self.passages(i, said[a:b]):
+                        x, y = x + a, y + a
+                        if not any(p in own for p in range(x, y + 1)):
+                            continue
+                        gain = self.gain(i, " ".join(said[x:y + 1]))
+                        if gain >= MIN_GAIN:
+                            found.append((sum(wording), -gain, -len(self.words[i]), self.licenses[i], self.names[i], x, y, wording))
+                a = b
+            if not found:
+                return
+            # a passage inside a longer one of the same license says nothing of its own
+            found = [c for c in found if not any(
+                c[3] == o[3] and o[5] <= c[5] and c[6] <= o[6] and o[6] - o[5] > c[6] - c[5] for o in found)]
+            # the fewest differences win, then the better compression; what overlaps a winner is searched again
+            for _, gain, _, name, template, x, y, wording in sorted(found):
+                if all(free[x:y + 1]):
+                    free[x:y + 1] = [False] * (y + 1 - x)
+                    yield x, y, name, template, round(-gain, 4), *wording
 
-    @staticmethod
-    def blocks(text: str, start: int, end: int, _first: int):
-        """A line as it is or, where it is long, the stretches around its mentions (overlapping ones as one)."""
-        if end - start <= 1200:
-            yield start, end
+    def scan(self, text: str | None):
+        """(start, end, license, template, gain, missing, changed, added) of each passage that a template explains."""
+        if not text or not SIGNAL.search(text):
             return
-        low = high = None
-        for m in SIGNAL.finditer(text, start, end):
-            a, b = max(start, m.start() - 400), min(end, m.end() + 400)
-            if low is not None and a <= high:
-                high = b
-                continue
-            if low is not None:
-                yield low, high
-            low, high = a, b
-        if low is not None:
-            yield low, high
+        said, starts, ends = placed_words(text)
+        mentions = sorted({max(0, bisect_right(starts, m.start()) - 1) for m in SIGNAL.finditer(text)}) if said else []
+        free, found, done = [True] * len(said), [], 0
+        while done < len(mentions):
+            # the mentions of one block, which reaches far enough to both sides of each of them
+            stop = bisect_left(mentions, mentions[done] + self.reach)
+            low, high = max(0, mentions[done] - self.reach), min(len(said), mentions[stop - 1] + self.reach + 1)
+            found += self.confirmed(said, free, low, high, set(mentions[done:stop]))
+            done = stop
+        for x, y, *rest in sorted(found):
+            yield starts[x], CLOSING.match(text, ends[y]).end(), *rest
 
 
 _scanners: dict[int, Scanner] = {}

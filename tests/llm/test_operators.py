@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -134,6 +135,45 @@ def test_license_inside_a_long_line():
     assert got[2] == "Apache-2.0"
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "dnl "])
+@pytest.mark.parametrize("width", [30, 78])
+def test_wrapped_notices(mark, width):
+    s = licenses.Scanner(licenses.TEMPLATES)
+    for name, (license, notice) in licenses.TEMPLATES.items():
+        lines = "\n".join(mark + line for line in textwrap.wrap(notice, width, break_long_words=False, break_on_hyphens=False))
+        text = f"int before;\n{lines}\nint after;"
+        (got,) = s.scan(text)
+        assert got[2:4] == (license, name) and sum(got[5:]) == 0, name
+        assert text[got[0]:got[1]] in lines and got[1] - got[0] >= len(lines) - len(mark) - 1
+
+
+def test_every_notice_of_a_block_is_found():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    parts = [licenses.TEMPLATES[n] for n in ("MIT notice", "GPL-2.0 notice", "LGPL-3.0 notice", "GPL-2.0 notice", "CC-BY-4.0 notice",
+                                             "BSD-3-Clause grant", "AGPL-3.0 notice", "MPL-2.0 header")]
+    for between in (" ", " or ", "\n", " some words of another kind, " * 40):
+        assert [x[2] for x in s.scan(between.join(p for _, p in parts))] == [v for v, _ in parts]
+    changed = licenses.TEMPLATES["Apache-2.0 header"][1].replace("obtain", "get").replace(" may not ", " must not ")
+    assert [(x[3], sum(x[5:])) for x in s.scan(changed)] == [("Apache-2.0 header", 2)]
+    pages = "\n".join(p for _, p in licenses.TEMPLATES.values())
+    assert [x[3] for x in s.scan(pages * 3)] == list(licenses.TEMPLATES) * 3
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abc"), min_size=1, max_size=7), st.lists(st.sampled_from("abcd"), max_size=12))
+def test_fewest_differences_equal_brute_force(template, said):
+    s = licenses.Scanner({"t": ("T", " ".join(template))})
+    row = list(range(len(template) + 1))
+    want = []
+    for v in said:
+        above, row = row, [0]
+        for i, w in enumerate(template):
+            row.append(min(above[i] + (w != v), above[i + 1] + 1, row[i] + 1))
+        want.append(row[-1])
+    assert s.distances(0, said) == want
+    assert [sum(s.align(template, said[:j + 1])[2:]) for j in range(len(said))] == want
+
+
 def test_every_planted_notice_is_found(spark, small):
     docs, texts = small
     found = {r["doc_id"]: r["found"] for r in licenses.license_scan(docs).collect()}
