@@ -13,6 +13,7 @@ that sees a sample.  Whole texts are scored, in one pass without a shuffle.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -27,6 +28,8 @@ DIM = 1 << BITS
 ORDERS = (2, 3, 4)
 PER_LANG = 1200
 SCORE_SLOPE = 4.0
+REJECT_QUANTILE = 0.001
+FOLDS = 3
 UNDETERMINED = "und"
 
 # Families of common languages by ISO 639-1 code; any other language is a family of its own.
@@ -155,22 +158,30 @@ def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     return rows.where(hash_sample(rows, "id", per_lang, "lang")).select("text", "lang")
 
 
-def fit_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                       per_lang: int = PER_LANG) -> LanguageModel | None:
-    """Fit on a bounded sample of ``df``'s labelled rows; None without any."""
+def sample_features(df: DataFrame, id_col: str, text_col: str, lang_col: str,
+                    per_lang: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Features, languages and whether there is a letter, of the bounded sample of labelled rows."""
     def run(batches):
         for b in batches:
             for s in slices(b):
-                x = features(*utf8(s.column("text"))).astype(np.float16)
+                buf, offsets = utf8(s.column("text"))
+                x = features(buf, offsets).astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
-                    [s.column("lang").cast(pa.string()), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+                    [s.column("lang").cast(pa.string()), pa.array([r.tobytes() for r in x], pa.binary()),
+                     pa.array(has_letter(s.column("text"), buf, offsets))], ["lang", "x", "known"])
 
-    got = training_sample(df, id_col, text_col, lang_col, per_lang).mapInArrow(run, "lang string, x binary").toArrow()
-    if not got.num_rows:
+    got = training_sample(df, id_col, text_col, lang_col, per_lang).mapInArrow(
+        run, "lang string, x binary, known boolean").toArrow()
+    # the same order on every run
+    got = got.sort_by([("lang", "ascending"), ("x", "ascending"), ("known", "ascending")])
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, DIM)
+    return x, got["lang"].to_pylist(), np.array(got["known"].to_pylist(), bool)
+
+
+def fit_nodes(x: np.ndarray, langs: list[str]) -> LanguageModel | None:
+    if not langs:
         return None
-    got = got.sort_by([("lang", "ascending"), ("x", "ascending")])  # the same order on every run
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32)
-    langs = got["lang"].to_pylist()
+    x = x.astype(np.float32)
     names = sorted(set(langs))
     family_of = {lang: FAMILY_OF.get(lang, f"only {lang}") for lang in names}
     families = sorted(set(family_of.values()))
@@ -183,6 +194,39 @@ def fit_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return LanguageModel(top, within)
 
 
+def fit_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                       per_lang: int = PER_LANG) -> LanguageModel | None:
+    """Fit on a bounded sample of ``df``'s labelled rows; None without any."""
+    x, langs, _ = sample_features(df, id_col, text_col, lang_col, per_lang)
+    return fit_nodes(x, langs)
+
+
+def rejection_scores(x: np.ndarray, langs: list[str], known: np.ndarray, quantile: float = REJECT_QUANTILE,
+                     folds: int = FOLDS) -> dict[str, float]:
+    """Per language the ``quantile`` (the lower of two neighbours) of the scores of its rows with letters that are
+    predicted right by a model fitted without them; 0 where no row is."""
+    # equal texts share a fold
+    fold = np.array([zlib.crc32(r.tobytes()) % folds for r in x], np.int64)
+    scores: dict[str, list[float]] = {lang: [] for lang in langs}
+    for f in range(folds):
+        rows, rest = np.flatnonzero((fold == f) & known), np.flatnonzero(fold != f)
+        model = fit_nodes(x[rest], [langs[i] for i in rest])
+        if model is None or not len(rows):
+            continue
+        for i, lang, score in zip(rows, *model.predict(x[rows].astype(np.float32))):
+            if lang == langs[i]:
+                scores[lang].append(float(score))
+    return {lang: float(np.quantile(s, quantile, method="lower")) if s else 0.0 for lang, s in scores.items()}
+
+
+def fit_language_filter(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                        per_lang: int = PER_LANG) -> tuple[LanguageModel | None, dict[str, float]]:
+    """The model and each language's least score for ``keep_languages``, from the same sample.  A model of a
+    single language has nothing to tell it from and rejects only texts without a letter."""
+    x, langs, known = sample_features(df, id_col, text_col, lang_col, per_lang)
+    return fit_nodes(x, langs), rejection_scores(x, langs, known)
+
+
 def has_letter(column, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text holds a letter of any script."""
     seen = np.concatenate([[0], np.cumsum(_ASCII_LETTER[buf], dtype=np.int64)])
@@ -225,14 +269,17 @@ def predict_languages(df: DataFrame, model: LanguageModel | None, id_col: str =
 
 
 def keep_languages(df: DataFrame, model: LanguageModel | None, accepted: tuple[str, ...] | None = None,
-                   min_score: float = 0.0, text_col: str = "text") -> DataFrame:
+                   min_score: float | dict[str, float] = 0.0, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose predicted language is accepted (default: any learned one) with
-    a score of at least ``min_score``; undetermined texts go."""
+    a score of at least ``min_score`` (one for all, or one per language); undetermined texts go."""
+    def least(lang):
+        return min_score.get(lang, 0.0) if isinstance(min_score, dict) else min_score
+
     def run(batches):
         for b in batches:
             for s in slices(b, text_col):
                 lang, score = predict_batch(model, s.column(text_col))
-                keep = [v != UNDETERMINED and p >= min_score and (accepted is None or v in accepted)
+                keep = [v != UNDETERMINED and p >= least(v) and (accepted is None or v in accepted)
                         for v, p in zip(lang, score)]
                 yield s.filter(pa.array(keep, pa.bool_()))
 

@@ -51,6 +51,21 @@ def test_stages_on_the_documents(spark, small, tmp_path):
     check_packing(five.collect(), safe, packing.tokenizer(queries.tokenizer_path()))
 
 
+def test_language_stage_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    other = {
+        -1: "Съешь же ещё этих мягких французских булок, да выпей чаю. Сегодня хорошая погода.",
+        -2: "今天天气很好我们一起去公园散步然后回家吃饭", -3: "Η γρήγορη καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί",
+        -4: "Hızlı kahverengi tilki tembel köpeğin üzerinden atlar ve ormana koşar",
+        -5: "Con cáo nâu nhanh nhẹn nhảy qua con chó lười biếng và chạy vào rừng", -6: "xqzv kjwq zzxk vqpj wkxz qqjv xzkw",
+    }
+    strange = spark.createDataFrame([(i, t, None) for i, t in other.items()], docs.schema)
+    kept = {r["doc_id"] for r in dict(cp.STAGES)["language"](spark, docs.unionAll(strange), SF).collect()}
+    lettered = {r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))}
+    assert not kept & set(other)
+    assert kept <= lettered and len(kept) >= 0.995 * len(lettered)
+
+
 def test_run_equals_its_stages(spark, small):
     docs, _ = small
     step = docs
