@@ -1,13 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words of test items and documents are compared after lower-casing A-Z, with
-ASCII punctuation and white space as separators.  Windows of ``seed_words``
+everything but letters, digits and marks as separators; characters of scripts
+written without spaces are words of their own.  Windows of ``seed_words``
 words that an item and a document share (joined by hash in a table of the
 items' windows) are the seeds.  From the seeds, greedy string tiling repeatedly
 marks the longest match of words not yet covered on either side; Karp-Rabin
 hashes of windows find the matches and the words themselves confirm them.  The
 share of an item's words under tiles is its coverage, which does not depend on
-the order in which a document has the item's parts.
+the order in which a document has the item's parts.  Items of fewer than
+``min_words`` words are looked up whole.
 
 The items are the stated query set.  They are handled in blocks of bounded
 size (``BLOCK_CHARS``), each sent to the tasks as one table; documents are read
@@ -23,8 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from churnkit.llm.textkit import (LOWER, NOT_ALNUM, keyed_text, ngrams, powers, slices, utf8, word_bounds,
-                                  word_hashes)
+from churnkit.llm.textkit import LOWER, PLACE, keyed_text, ngrams, passage_bounds, powers, slices, utf8, word_hashes
 
 SEED_WORDS = 4
 THRESHOLD = 0.5
@@ -37,7 +38,7 @@ KR_BASE = 0xD1342543DE82EF95
 def passage_words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     buf, offsets = utf8(column)
     buf = LOWER[buf]
-    starts, ends, doc = word_bounds(buf, offsets, NOT_ALNUM)
+    starts, ends, doc = passage_bounds(buf, offsets)
     return word_hashes(buf, starts, ends), doc, offsets, len(offsets) - 1
 
 
@@ -52,6 +53,7 @@ class ItemBlock:
     item: np.ndarray
     filter: np.ndarray
     k: int
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # of each length: sorted hashes of whole short items, their places
 
     @staticmethod
     def build(ids: list, texts: list, k: int, min_words: int) -> ItemBlock:
@@ -67,7 +69,32 @@ class ItemBlock:
         order = np.argsort(seed, kind="stable")
         seen = np.zeros(1 << _FILTER_BITS, bool)
         seen[(seed >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return ItemBlock(ids, words, seeds, seed[order], item[order], seen, k)
+        short = {}
+        for size in sorted({len(w) for w in words if 0 < len(w) < max(min_words, k)}):
+            places = np.array([i for i, w in enumerate(words) if len(w) == size])
+            some = np.concatenate([words[i] for i in places])
+            whole = ngrams(some, np.repeat(np.arange(len(places)), size), min(size, len(PLACE)))[0]
+            whole = whole[::size - min(size, len(PLACE)) + 1]
+            by = np.argsort(whole, kind="stable")
+            short[size] = whole[by], places[by]
+        return ItemBlock(ids, words, seeds, seed[order], item[order], seen, k, short)
+
+    def whole_hits(self, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+        """Distinct (document, item) of the short items that a document holds as a whole."""
+        out = set()
+        for size, (whole, places) in self.short.items():
+            grams, at = ngrams(h, doc, min(size, len(PLACE)))
+            low, high = np.searchsorted(whole, grams, side="left"), np.searchsorted(whole, grams, side="right")
+            near = np.flatnonzero(high > low)
+            pairs = np.stack([doc[at[near]], low[near]])
+            if size <= len(PLACE):  # one place of each; a longer one may differ further on
+                near = near[np.unique(pairs, axis=1, return_index=True)[1]]
+            for g in near:
+                a, row = int(at[g]), int(doc[at[g]])
+                for i in places[low[g]:high[g]].tolist():
+                    if (a + size <= len(h) and doc[a + size - 1] == row and np.array_equal(h[a:a + size], self.words[i])):
+                        out.add((row, i))
+        return sorted(out)
 
     def hits(self, grams: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (document, item, row of the seed table) of the windows that are seeds."""
@@ -151,6 +178,8 @@ def _mark(x: _Side, y: _Side, size: int) -> list[tuple[int, int, int]]:
 def batch_matches(block: ItemBlock, column, threshold: float) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, covered words, item words, tiles) of the documents of a slice that reach the threshold."""
     h, doc, _, n = passage_words(column)
+    for row, item in block.whole_hits(h, doc):
+        yield row, item, len(block.words[item]), len(block.words[item]), 1
     grams, at = ngrams(h, doc, block.k)
     row, item, seed = block.hits(grams, doc[at])
     if not len(row):
@@ -195,9 +224,9 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     """doc_id, item_id, n_covered, n_item_words, n_tiles, coverage for each document that holds at
     least ``threshold`` of an item's words in tiles of ``seed_words`` words or more.
 
-    Items of fewer than ``min_words`` words are too short to tell and match
-    nothing, as do null and empty texts on either side.  Repeated rows of
-    either table match each on their own.
+    Items of fewer than ``min_words`` (or ``seed_words``) words match only as
+    a whole, word by word; null texts and texts without a word match nothing
+    on either side.  Repeated rows of either table match each on their own.
     """
     docs = keyed_text(df, id_col, text_col)
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -7,7 +7,9 @@ bounded by the slice size or by the longest single text.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,13 +96,19 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
 
 def word_bounds(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE):
     """Starts, ends (exclusive) and document number of every word; words end at document ends."""
-    n = len(buf)
+    return bounds(~separator[buf], offsets)
+
+
+def bounds(inside: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None):
+    """Starts, ends and document number of the runs of ``inside`` bytes; runs also end at ``cuts``."""
+    n = len(inside)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~separator[buf]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
+    if cuts is not None:
+        cut[cuts] = True
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     before &= ~cut[:n]
@@ -112,6 +120,48 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SP
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+# ranges of scripts written without spaces between words
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
+    (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3038, 0x303C), (0x3040, 0x312F),
+    (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F))
+SEPARATES, JOINS, ALONE = 0, 1, 2
+
+
+@lru_cache(1)
+def character_kinds() -> np.ndarray:
+    """SEPARATES, JOINS or ALONE (a word of its own) of each code point below 0x20000; assigned ones that are no
+    letter, digit or mark separate."""
+    kinds = np.array([JOINS if (c := unicodedata.category(chr(i)))[0] in "LNM" or c in ("Cn", "Co", "Cs") else SEPARATES
+                      for i in range(0x20000)], np.uint8)
+    for a, b in UNSPACED:
+        part = kinds[a:b + 1]
+        part[part == JOINS] = ALONE
+    kinds[0x2E80:0x2FE0] = ALONE
+    return kinds
+
+
+def passage_bounds(buf: np.ndarray, offsets: np.ndarray):
+    """Like ``word_bounds`` for passage matching: letters and digits of any script make words, those of scripts
+    without spaces one each."""
+    inside = ~NOT_ALNUM[buf]
+    lead = np.flatnonzero(buf >= 0xC0)
+    if not len(lead):
+        return bounds(inside, offsets)
+    size = 2 + (buf[lead] >= 0xE0) + (buf[lead] >= 0xF0)
+    code = buf[lead].astype(np.int64) & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | buf[lead[more] + k] & 0x3F
+    kind = character_kinds()[np.minimum(code, 0x1FFFF)]
+    kind[code >= 0x20000] = np.where(code[code >= 0x20000] < 0x40000, ALONE, JOINS)
+    for k in range(4):
+        inside[lead[(kind == SEPARATES) & (size > k)] + k] = False
+    alone = kind == ALONE
+    return bounds(inside, offsets, np.concatenate([lead[alone], lead[alone] + size[alone]]))
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word; depends on its bytes alone.
 

@@ -336,6 +336,42 @@ def test_contamination_equals_brute_force(spark, small):
     assert got == want
 
 
+def test_short_items_match_as_a_whole(spark):
+    docs = table(spark, ["So: who wrote the Iliad? Nobody knows.", "who wrote the Odyssey, the Iliad?", "the end", None, "", "... !"])
+    items = spark.createDataFrame([(1, "Who wrote the Iliad?"), (2, "THE END"), (3, "who wrote the Iliad"), (4, "?!"), (5, None),
+                                   (6, "iliad")], "item_id bigint, text string")
+    for size in (10, decontaminate.BLOCK_CHARS):
+        got = decontaminate.contamination(docs, items, block_chars=size).collect()
+        assert sorted((r["doc_id"], r["item_id"], r["n_covered"], r["n_item_words"], r["coverage"]) for r in got) == [
+            (0, 1, 4, 4, 1.0), (0, 3, 4, 4, 1.0), (0, 6, 1, 1, 1.0), (1, 6, 1, 1, 1.0), (2, 2, 2, 2, 1.0)]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()] == [3, 4, 5]
+    long = " ".join(f"w{i}" for i in range(70))
+    items = spark.createDataFrame([(1, long), (2, long + " end"), (3, long + " END")], "item_id bigint, text string")
+    got = decontaminate.contamination(table(spark, [long + " other", "w0 " + long + " end"]), items, min_words=90).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(0, 1), (1, 1), (1, 2), (1, 3)]
+
+
+def test_passage_words_of_any_script():
+    texts = ["Né à l’été — “déjà vu”", "今天天气很好，我们去公园。", "カレーを食べた", "สวัสดี", "한국어 문장", "a今b\U00020000c 1\u00a02", "é今", "今é", None, "😀 x"]
+    want = [["né", "à", "l", "été", "déjà", "vu"], list("今天天气很好我们去公园"), list("カレーを食べた"), list("สวัสดี"), ["한국어", "문장"],
+            ["a", "今", "b", "\U00020000", "c", "1", "2"], ["é", "今"], ["今", "é"], [], ["x"]]
+    buf, off = textkit.utf8(pa.array(texts, pa.string()))
+    raw = textkit.LOWER[buf]
+    s, e, d = textkit.passage_bounds(raw, off)
+    got = [[] for _ in texts]
+    for a, b, i in zip(s, e, d):
+        got[i].append(raw.tobytes()[a:b].decode())
+    assert [[w.replace("É", "é") for w in g] for g in got] == [[w for w in g] for g in want]
+
+
+def test_items_of_unspaced_scripts_are_found(spark):
+    item = "下列哪一项不是太阳系中的行星？请从四个选项中选择正确答案并说明理由"
+    docs = table(spark, ["前面的文字，" + item + "。后面还有别的内容", item[:9] + item[20:], "今天天气很好，我们去公园散步"])
+    items = spark.createDataFrame([(1, item), (2, "太阳系")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.contamination(docs, items).collect()}
+    assert got[0, 1] == 1.0 and got[0, 2] == 1.0 and got[1, 1] >= 0.5 and not any(i == 2 for i, _ in got)
+
+
 def test_reordered_passage_is_caught_in_any_block(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
     w = item.split()
