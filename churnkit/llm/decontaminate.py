@@ -8,7 +8,8 @@ items' windows) are the seeds.  From the seeds, greedy string tiling repeatedly
 marks the longest match of words not yet covered on either side; Karp-Rabin
 hashes of windows find the matches and the words themselves confirm them.  The
 share of an item's words under tiles is its coverage, which does not depend on
-the order in which a document has the item's parts.  Items of fewer than
+the order in which a document has the item's parts.  One tile of
+``passage_words`` words is enough whatever its share.  Items of fewer than
 ``min_words`` words are looked up whole.
 
 The items are the stated query set.  They are handled in blocks of bounded
@@ -30,12 +31,13 @@ from churnkit.llm.textkit import LOWER, PLACE, keyed_text, ngrams, passage_bound
 SEED_WORDS = 4
 THRESHOLD = 0.5
 MIN_WORDS = 8
+PASSAGE_WORDS = 50
 BLOCK_CHARS = 8 << 20
 _FILTER_BITS = 22
 KR_BASE = 0xD1342543DE82EF95
 
 
-def passage_words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def words_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     buf, offsets = utf8(column)
     buf = LOWER[buf]
     starts, ends, doc = passage_bounds(buf, offsets)
@@ -57,7 +59,7 @@ class ItemBlock:
 
     @staticmethod
     def build(ids: list, texts: list, k: int, min_words: int) -> ItemBlock:
-        h, doc, _, n = passage_words(pa.array(texts, pa.string()))
+        h, doc, _, n = words_of(pa.array(texts, pa.string()))
         first = np.searchsorted(doc, np.arange(n + 1))
         grams, at = ngrams(h, doc, k)
         cut = np.searchsorted(at, first)
@@ -175,9 +177,11 @@ def _mark(x: _Side, y: _Side, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def batch_matches(block: ItemBlock, column, threshold: float) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, covered words, item words, tiles) of the documents of a slice that reach the threshold."""
-    h, doc, _, n = passage_words(column)
+def batch_matches(block: ItemBlock, column, threshold: float,
+                  passage_words: int = PASSAGE_WORDS) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item, covered words, item words, tiles) of the documents of a slice that reach the threshold or have a
+    tile of ``passage_words``."""
+    h, doc, _, n = words_of(column)
     for row, item in block.whole_hits(h, doc):
         yield row, item, len(block.words[item]), len(block.words[item]), 1
     grams, at = ngrams(h, doc, block.k)
@@ -194,11 +198,11 @@ def batch_matches(block: ItemBlock, column, threshold: float) -> Iterator[tuple[
         reach = np.zeros(len(a) + 1, np.int64)
         np.add.at(reach, spots, 1)
         np.add.at(reach, spots + block.k, -1)
-        if (np.cumsum(reach)[:-1] > 0).sum() < threshold * len(a):
+        if (np.cumsum(reach)[:-1] > 0).sum() < min(threshold * len(a), passage_words):
             continue  # no tiling covers more than all seeds together
         got = tiles(a, h[first[row[s]]:first[row[s] + 1]], block.k)
         covered = sum(t[2] for t in got)
-        if covered and covered >= threshold * len(a):
+        if covered and (covered >= threshold * len(a) or max(t[2] for t in got) >= passage_words):
             yield int(row[s]), int(item[s]), covered, len(a), len(got)
 
 
@@ -220,9 +224,10 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, k: int, min_words:
 def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD,
                   seed_words: int = SEED_WORDS, min_words: int = MIN_WORDS,
-                  block_chars: int = BLOCK_CHARS) -> DataFrame:
+                  block_chars: int = BLOCK_CHARS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """doc_id, item_id, n_covered, n_item_words, n_tiles, coverage for each document that holds at
-    least ``threshold`` of an item's words in tiles of ``seed_words`` words or more.
+    least ``threshold`` of an item's words in tiles of ``seed_words`` words or more, or
+    ``passage_words`` of them in one tile.
 
     Items of fewer than ``min_words`` (or ``seed_words``) words match only as
     a whole, word by word; null texts and texts without a word match nothing
@@ -236,17 +241,17 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     out = None
     for block in item_blocks(items, item_id_col, item_text_col, seed_words, min_words, block_chars):
         shared = df.sparkSession.sparkContext.broadcast(block)
-        part = docs.mapInArrow(_matcher(shared, threshold), schema)
+        part = docs.mapInArrow(_matcher(shared, threshold, passage_words), schema)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else df.sparkSession.createDataFrame([], schema)
 
 
-def _matcher(shared, threshold):
+def _matcher(shared, threshold, passage_words):
     def run(batches):
         block = shared.value
         for b in batches:
             for s in slices(b):
-                got = list(batch_matches(block, s.column("text"), threshold))
+                got = list(batch_matches(block, s.column("text"), threshold, passage_words))
                 if got:
                     row, item, covered, total, n = map(list, zip(*got))
                     yield pa.RecordBatch.from_pydict({
@@ -260,8 +265,9 @@ def _matcher(shared, threshold):
 
 def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
                       item_text_col: str = "text", threshold: float = THRESHOLD, seed_words: int = SEED_WORDS,
-                      min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``df`` that hold no item to ``threshold`` or more, all columns as they were."""
+                      min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS,
+                      passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """The rows of ``df`` that match no item as in ``contamination``, all columns as they were."""
     schema = df.schema
 
     def keeper(shared):
@@ -270,7 +276,7 @@ def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str = "text", i
             for b in batches:
                 for s in slices(b, text_col):
                     keep = np.ones(s.num_rows, bool)
-                    keep[[m[0] for m in batch_matches(block, s.column(text_col), threshold)]] = False
+                    keep[[m[0] for m in batch_matches(block, s.column(text_col), threshold, passage_words)]] = False
                     yield s.filter(pa.array(keep))
         return run
 

@@ -372,6 +372,17 @@ def test_items_of_unspaced_scripts_are_found(spark):
     assert got[0, 1] == 1.0 and got[0, 2] == 1.0 and got[1, 1] >= 0.5 and not any(i == 2 for i, _ in got)
 
 
+def test_long_passage_of_a_longer_item_is_caught(spark):
+    w = [f"w{i}" for i in range(200)]
+    docs = table(spark, ["before " + " ".join(w[60:140]) + " after", " ".join(w[60:105]),
+                         " other ".join(" ".join(w[i:i + 10]) for i in range(0, 80, 10))])
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id bigint, text string")
+    got = decontaminate.contamination(docs, items).collect()
+    assert [(r["doc_id"], r["n_covered"], r["coverage"]) for r in got] == [(0, 80, 0.4)]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()] == [1, 2]
+    assert decontaminate.contamination(docs, items, passage_words=10**9).collect() == []
+
+
 def test_reordered_passage_is_caught_in_any_block(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
     w = item.split()
