@@ -352,12 +352,20 @@ def k3_calibrate_frozen(spark, sf_dir):
 
 # ------------------------------------------------------------------ tuning
 
+# the reference's grids for its forest and its first boosting library
+FOREST_GRID = {"n_estimators": [100, 200, 300, 400], "max_depth": [5, 10, 15, 20, None], "min_samples_split": [2, 5, 10],
+               "min_samples_leaf": [1, 2, 4], "max_features": ["sqrt", "log2"]}
+GBT_GRID = {"n_estimators": [100, 200, 300, 400], "max_depth": [3, 4, 5, 6, 8], "learning_rate": [0.01, 0.05, 0.1, 0.2],
+            "subsample": [0.7, 0.8, 0.9, 1.0], "colsample_bytree": [0.7, 0.8, 0.9, 1.0], "min_child_weight": [1, 3, 5]}
+MAX_DEPTH = 30  # MLlib's limit stands in for no limit
+
+
 def _make_forest(p):
-    return ml.forest(n_estimators=p["n_estimators"], max_depth=p["max_depth"], random_state=42)
+    return ml.forest(**p | {"max_depth": p["max_depth"] or MAX_DEPTH}, random_state=42)
 
 
 def _make_gbt(p):
-    return ml.boosted(n_estimators=10, max_depth=p["max_depth"], learning_rate=p["learning_rate"], random_state=42)
+    return ml.boosted(**{"n_estimators": 10} | p, random_state=42)
 
 
 def trials_of(trials):
@@ -388,22 +396,23 @@ def u2_bounded_search(spark, sf_dir, n_trials: int = 3, k: int = 3):
 
 
 @register("u3_build_final", test_rows())
-def u3_build_final(spark, sf_dir):
+def u3_build_final(spark, sf_dir, n_iter: int = 30, k: int = 5):
     train, test, feats, _ = scaled_parts(spark, sf_dir)
-    best, _ = random_search(train, feats, _make_forest, {"n_estimators": [10, 20], "max_depth": [3, 5]},
-                            n_iter=2, label=LABEL, id_col=ID, k=3, balance=balancer(feats))
+    best, _ = random_search(train, feats, _make_forest, FOREST_GRID, n_iter=n_iter, label=LABEL, id_col=ID, k=k,
+                            balance=balancer(feats))
     m = ml.fit(train, feats, build_final(_make_forest, best), LABEL)
     return checked(ml.predict_proba(m, test, feats, keep=[ID, LABEL]))
 
 
-def run_end_to_end(spark, sf_dir, k: int = 3, balance: bool = True):
-    """U4: split, tune, stack with balancing inside the folds, threshold from
+def run_end_to_end(spark, sf_dir, k: int = 5, balance: bool = True, n_iter: int = 30):
+    """U4: split, tune every base, stack with balancing inside the folds, threshold from
     out-of-fold training scores, test metrics and the overfit table."""
     train, test, feats, _ = scaled_parts(spark, sf_dir)
-    best, _ = random_search(train, feats, _make_forest, {"n_estimators": [10, 20], "max_depth": [3, 5]},
-                            n_iter=2, label=LABEL, id_col=ID, k=k, balance=balancer(feats) if balance else None)
-    bases = {"forest": build_final(_make_forest, best), "gbt": ml.boosted(**SMALL_GBT)}
     bal = balancer(feats) if balance else None
+    bases = {}
+    for name, make, grid in (("forest", _make_forest, FOREST_GRID), ("gbt", _make_gbt, GBT_GRID)):
+        best, _ = random_search(train, feats, make, grid, n_iter=n_iter, label=LABEL, id_col=ID, k=k, balance=bal)
+        bases[name] = build_final(make, best)
     model, oof = fit_stack(train, feats, bases, LABEL, ID, k=k, balance=bal)
     oof_scored = ml.predict_proba(model.meta, oof, model.meta_features, keep=[ID, LABEL])
     thr = best_threshold(oof_scored, "prob", LABEL).first()["threshold"]
@@ -417,10 +426,10 @@ def run_end_to_end(spark, sf_dir, k: int = 3, balance: bool = True):
 
 
 @register("u4_end_to_end", "select 'stack' as model, true as threshold_in_range, true as metrics_in_range, true as has_verdict")
-def u4_end_to_end(spark, sf_dir, k: int = 2):
+def u4_end_to_end(spark, sf_dir, k: int = 5, n_iter: int = 30):
     from churnkit.operators.evaluate import gap_verdict
 
-    thr, metrics, over = run_end_to_end(spark, sf_dir, k=k)
+    thr, metrics, over = run_end_to_end(spark, sf_dir, k=k, n_iter=n_iter)
     both = over.withColumn("verdict", gap_verdict()).crossJoin(metrics)
     values = [F.col(c).between(0, 1) for c in ("train_acc", "test_acc", "train_f1", "test_f1", "accuracy", "precision", "recall", "f1")]
     return both.select("model", F.lit(0 <= float(thr) <= 1).alias("threshold_in_range"),
