@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnkit.llm import cotraining, decontaminate, jaccard, langid, licenses, packing, pii, quality_rules, repeats, sharding
+from churnkit.llm import cotraining, decontaminate, jaccard, langid, licenses, manifest, packing, pii, quality_rules, repeats, sharding
 from churnkit.llm.textkit import held_out
 
 SHARDS = [f"shard-{i:04d}" for i in range(1024)]
@@ -86,7 +86,76 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         text_of(pii.KINDS).alias("spans"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides crc32(doc_id), the row comes back with 1 more in n_chars."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.coalesce(F.pmod(F.crc32(docs["doc_id"].cast("string")), F.lit(7)) == 0, F.lit(False))
+    # decimals, as the largest long has no successor
+    return manifest.manifest(docs, changed=(tampered, {"n_chars": docs["n_chars"].cast("decimal(20,0)") + 1}))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_licenses, op3_suffix_dedup, op4_language, op5_quality_rules, op6_quality_classifier,
-    op7_contamination, op8_sharding, op9_ngram_jaccard, op10_pii)}
-ORACLE: dict[str, str] = {}
+    op7_contamination, op8_sharding, op9_ngram_jaccard, op10_pii, op11_merkle_manifest)}
+
+# Fixed values of the manifest: H is SHA-256 in lowercase hex; crc32 is worked out from its polynomial.
+MERKLE_SQL = """
+with recursive codes as (
+  select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384)
+         else c >> 1 end, b::bigint)) as tab),
+rows as (
+  select d.*, row_number() over () as k, case when doc_id is null then null else xor(4294967295, list_reduce(
+         list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint),
+         lambda a, c: xor(a >> 8, tab[(xor(a, c) & 255) + 1]), 4294967295::bigint)) end as crc from documents d, codes),
+fields as (
+  select *, coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-')
+         || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') as a,
+         coalesce(octet_length(encode(text)) || ':' || text, '-') as z from rows),
+leaves as (
+  select k, doc_id, lang, sha256(a || coalesce(length(n_chars::varchar) || ':' || n_chars, '-') || z) as leaf,
+         case when crc % 7 = 0 then sha256(a || coalesce(length((n_chars::hugeint + 1)::varchar) || ':' || (n_chars::hugeint + 1), '-')
+         || z) end as changed from fields),
+-- level by level: node number, digest, nodes left
+low(lang, lvl, pos, h, n) as (
+  select lang, 0, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1, leaf,
+         count(*) over (partition by lang) from leaves
+  union all
+  select lang, lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (any_value(n) + 1) // 2
+  from low where n > 1 group by lang, lvl, pos // 2),
+sub as (select lang, h, lvl, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from low where n = 1),
+high(lvl, pos, h, n) as (
+  select 0, pos, h, n from sub
+  union all
+  select lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (any_value(n) + 1) // 2 from high where n > 1 group by lvl, pos // 2),
+placed as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos from leaves),
+-- siblings of every leaf: first in the tree of its language, then above it
+steps as (
+  select p.k, l.lvl as step, l.h as h, l.pos as pos from placed p join low l
+    on l.lang is not distinct from p.lang and l.pos = xor(p.pos >> l.lvl, 1)
+    and (l.n > 1)
+  union all
+  select p.k, 1000 + g.lvl, g.h, g.pos from placed p join sub s on s.lang is not distinct from p.lang
+    join high g on g.pos = xor(s.pos >> g.lvl, 1) and g.n > 1),
+walk as (
+  select p.k, l.lvl as step, (p.pos >> l.lvl) as pos from placed p join (select distinct lang, lvl from low where n > 1) l
+    on l.lang is not distinct from p.lang
+  union all
+  select p.k, 1000 + g.lvl, (s.pos >> g.lvl) from placed p join sub s on s.lang is not distinct from p.lang,
+    (select distinct lvl from high where n > 1) g),
+paths as (
+  select w.k, list({'l': case when s.pos < w.pos then s.h else '' end, 'r': case when s.pos > w.pos then s.h else '' end} order by w.step) as path
+  from walk w left join steps s on s.k = w.k and s.step = w.step group by w.k),
+proofs as (
+  select p.*, sub.h as subroot, (select h from high where n = 1) as root, coalesce(t.path, []) as path
+  from placed p join sub on sub.lang is not distinct from p.lang left join paths t on t.k = p.k),
+folds as (
+  select *, sha256(list_aggregate(list_concat([''], list_transform(path, lambda s: coalesce(s.l, '') || coalesce(s.r, ''))), 'string_agg', '')) as proof_sha256,
+         list_reduce(list_transform(path, lambda s: struct_pack(l := coalesce(s.l, ''), r := coalesce(s.r, ''))),
+           lambda acc, s: struct_pack(l := sha256(s.l || acc.l || s.r), r := ''),
+           struct_pack(l := coalesce(changed, leaf), r := '')).l as folded_root from proofs)
+select doc_id, lang, pos as position, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folds
+"""
+
+ORACLE: dict[str, str] = {"op11_merkle_manifest": MERKLE_SQL}
