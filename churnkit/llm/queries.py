@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnkit.llm import cotraining, decontaminate, jaccard, langid, licenses, manifest, packing, pii, quality_rules, repeats, sharding
+from churnkit.llm import (cotraining, decontaminate, instruct_packing, jaccard, langid, licenses, manifest, packing, pii,
+                          quality_rules, repeats, sharding)
 from churnkit.llm.textkit import held_out
 
 SHARDS = [f"shard-{i:04d}" for i in range(1024)]
@@ -94,9 +95,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(docs, changed=(tampered, {"n_chars": docs["n_chars"].cast("decimal(20,0)") + 1}))
 
 
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are examples without a prompt: all ids but the first bear loss, so the limit on segments is the one
+    that binds beside that on tokens."""
+    return instruct_packing.pack_examples(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_licenses, op3_suffix_dedup, op4_language, op5_quality_rules, op6_quality_classifier,
-    op7_contamination, op8_sharding, op9_ngram_jaccard, op10_pii, op11_merkle_manifest)}
+    op7_contamination, op8_sharding, op9_ngram_jaccard, op10_pii, op11_merkle_manifest,
+    op12_vector_packing)}
 
 # Fixed values of the manifest: H is SHA-256 in lowercase hex; crc32 is worked out from its polynomial.
 MERKLE_SQL = """
