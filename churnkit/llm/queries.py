@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnkit.llm import (cotraining, decontaminate, instruct_packing, jaccard, langid, licenses, manifest, packing, pii,
-                          quality_rules, repeats, sharding)
+from churnkit.llm import (cotraining, decontaminate, instruct_packing, jaccard, langid, lexical, licenses, manifest, packing,
+                          pii, quality_rules, repeats, sharding)
 from churnkit.llm.textkit import held_out
 
 SHARDS = [f"shard-{i:04d}" for i in range(1024)]
@@ -101,10 +101,14 @@ def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instruct_packing.pack_examples(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_licenses, op3_suffix_dedup, op4_language, op5_quality_rules, op6_quality_classifier,
     op7_contamination, op8_sharding, op9_ngram_jaccard, op10_pii, op11_merkle_manifest,
-    op12_vector_packing)}
+    op12_vector_packing, op13_lexical_search)}
 
 # Fixed values of the manifest: H is SHA-256 in lowercase hex; crc32 is worked out from its polynomial.
 MERKLE_SQL = """
@@ -166,4 +170,23 @@ folds as (
 select doc_id, lang, pos as position, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folds
 """
 
-ORACLE: dict[str, str] = {"op11_merkle_manifest": MERKLE_SQL}
+_TERMS = ("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+LEXICAL_SQL = f"""
+with d as (select row_number() over () as k, doc_id, {_TERMS} as terms from documents),
+sizes as (select k, doc_id, len(terms) as n from d where len(terms) > 0),
+total as (select count(*) as big_n, cast(sum(n) as bigint) as l from sizes),
+weak as (select k, doc_id, 100 - 90 + (90 * n * big_n) // l as m from sizes, total),
+cells as (select k, term, count(*) as tf from (select k, unnest(terms) as term from d) group by k, term),
+items as (select row_number() over () as q, item_id, {_TERMS} as terms from benchmark),
+asked as (select distinct q, item_id, term from (select q, item_id, unnest(terms) as term from items)),
+held as (select term, count(*) as df from cells group by term),
+weights as (select q, item_id, a.term, cast(floor(1000 * ln(cast(2 * big_n + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w
+            from asked a join held h on a.term = h.term, total),
+scores as (select q, item_id, c.k, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+           from weights w join cells c on c.term = w.term join weak on weak.k = c.k group by q, item_id, c.k, doc_id)
+select item_id, cast(rank as integer) as rank, doc_id, score from (
+  select *, row_number() over (partition by q order by score desc, doc_id) as rank from scores where score > 0) where rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op11_merkle_manifest": MERKLE_SQL, "op13_lexical_search": LEXICAL_SQL}
