@@ -26,6 +26,7 @@ from churnkit.llm.textkit import hash_sample, slices, utf8
 BITS = 12
 DIM = 1 << BITS
 ORDERS = (2, 3, 4)
+ROWS_AT_ONCE = 256
 PER_LANG = 1200
 SCORE_SLOPE = 4.0
 REJECT_QUANTILE = 0.001
@@ -77,6 +78,13 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return x / np.maximum(norm, 1e-9)
 
 
+def feature_blocks(buf: np.ndarray, offsets: np.ndarray, rows: int = ROWS_AT_ONCE):
+    """(first document, features) of ``rows`` documents at a time: the memory does not depend on how short texts are."""
+    for s in range(0, len(offsets) - 1, rows):
+        part = offsets[s:s + rows + 1]
+        yield s, features(buf[part[0]:part[-1]], part - part[0])
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 80) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss for y in {-1, 1}: accelerated full-gradient steps."""
     n = len(y)
@@ -165,10 +173,12 @@ def sample_features(df: DataFrame, id_col: str, text_col: str, lang_col: str,
         for b in batches:
             for s in slices(b):
                 buf, offsets = utf8(s.column("text"))
-                x = features(buf, offsets).astype(np.float16)
-                yield pa.RecordBatch.from_arrays(
-                    [s.column("lang").cast(pa.string()), pa.array([r.tobytes() for r in x], pa.binary()),
-                     pa.array(has_letter(s.column("text"), buf, offsets))], ["lang", "x", "known"])
+                known = has_letter(s.column("text"), buf, offsets)
+                for at, x in feature_blocks(buf, offsets):
+                    yield pa.RecordBatch.from_arrays(
+                        [s.column("lang").slice(at, len(x)).cast(pa.string()),
+                         pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), pa.array(known[at:at + len(x)])],
+                        ["lang", "x", "known"])
 
     got = training_sample(df, id_col, text_col, lang_col, per_lang).mapInArrow(
         run, "lang string, x binary, known boolean").toArrow()
@@ -240,11 +250,11 @@ def predict_batch(model: LanguageModel | None, column) -> tuple[list[str], np.nd
     buf, offsets = utf8(column)
     known = has_letter(column, buf, offsets)
     lang, score = [UNDETERMINED] * len(column), np.zeros(len(column))
-    rows = np.flatnonzero(known)
-    if model is not None and len(rows):
-        got, sure = model.predict(features(buf, offsets))
-        for i in rows:
-            lang[i], score[i] = got[i], sure[i]
+    if model is not None and known.any():
+        for at, x in feature_blocks(buf, offsets):
+            got, sure = model.predict(x)
+            for i in np.flatnonzero(known[at:at + len(x)]):
+                lang[at + i], score[at + i] = got[i], sure[i]
     return lang, score
 
 

@@ -52,9 +52,11 @@ class WordTokenizer:
     tokenizer as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
+        self.cached_words = cached_words
+
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
@@ -77,7 +79,7 @@ class WordTokenizer:
         known = self.known
         new = [*{w for ws in words for w in ws if w not in known}]
         here = {w: self._word(w) for w in new}
-        if len(known) < CACHED_WORDS:
+        if len(known) < self.cached_words:
             known.update({w: b for w, b in here.items() if len(w) <= CACHED_LENGTH})
         out = []
         for t, p, ws in zip(texts, plain, words):
@@ -88,17 +90,18 @@ class WordTokenizer:
         return out
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+def tokenizer(path: str, cached_words: int = CACHED_WORDS) -> WordTokenizer:
+    if (path, cached_words) not in _tokenizers:
+        _tokenizers[path, cached_words] = WordTokenizer(path, cached_words)
+    return _tokenizers[path, cached_words]
 
 
 def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-           sequence: int = SEQUENCE, closing_id: int = CLOSING_ID, keep_ids: bool = False) -> DataFrame:
+           sequence: int = SEQUENCE, closing_id: int = CLOSING_ID, keep_ids: bool = False,
+           cached_words: int = CACHED_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ``ids`` where asked for) of every document's pieces.
 
     Null texts read as empty: one piece of the closing id alone.  Repeated rows
@@ -108,7 +111,7 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     closing = np.array([closing_id], "<u4").tobytes()
 
     def run(batches):
-        tok = tokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path, cached_words)
         for b in batches:
             for s in slices(b):
                 cols = {"row": [], "piece": [], "start": [], "length": [], "crc": [], "ids": []}
@@ -190,6 +193,7 @@ def pack_pieces(parts: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPE
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                    sequence: int = SEQUENCE, closing_id: int = CLOSING_ID, open_bins: int = OPEN_BINS,
-                   keep_ids: bool = False) -> DataFrame:
+                   keep_ids: bool = False, cached_words: int = CACHED_WORDS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
-    return pack_pieces(pieces(df, tokenizer_path, id_col, text_col, sequence, closing_id, keep_ids), sequence, open_bins)
+    return pack_pieces(pieces(df, tokenizer_path, id_col, text_col, sequence, closing_id, keep_ids, cached_words),
+                       sequence, open_bins)

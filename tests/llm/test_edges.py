@@ -80,3 +80,19 @@ def test_ids_may_be_text(odd):
     named = odd.selectExpr("'n' || doc_id as doc_id", "text", "lang", "source", "n_chars")
     for name in ("packing", "licenses", "repeats", "rules", "contamination", "sharding", "pii"):
         assert OPERATORS[name](named).count() == OPERATORS[name](odd).count()
+
+
+def test_language_features_stay_small_on_many_short_texts():
+    """10,000 texts of 150 characters take under 100 MB beyond the texts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [f"some short words number {i} again and again " * 4 for i in range(10_000)]
+    model = langid.fit_nodes(langid.features(*langid.utf8(pa.array(texts[:40]))), ["en", "de"] * 20)
+    column = pa.array(texts)
+    tracemalloc.start()
+    lang, score = langid.predict_batch(model, column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(lang) == len(score) == 10_000 and peak < 100 << 20
