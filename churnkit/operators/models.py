@@ -14,7 +14,7 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnkit.functions.columns import col
@@ -136,6 +136,29 @@ def importance_frame(sparkSession, model: PipelineModel, features: list[str], to
     return sparkSession.createDataFrame(importance(model, features, top), "rank int, feature string, importance double")
 
 
+def node_importance(model: PipelineModel, features: list[str]) -> list[float]:
+    """M6 worked out again from the saved node table: each split's gain times the rows it splits, summed by
+    feature (for a forest after scaling each tree to 1) and scaled to 1.  Features by their order in ``features``."""
+    from churnkit.session import scratch_path
+
+    spark = SparkSession.active()
+    clf = model.stages[-1]
+    path = scratch_path(spark, "importance-nodes")
+    clf.write().overwrite().save(path)
+    stats = F.col("nodeData.impurityStats")
+    rows = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x) if "Forest" in type(clf).__name__ else F.element_at(stats, 1)
+    splits = spark.read.parquet(f"{path}/data").where("nodeData.leftChild >= 0").select(
+        "treeID", F.col("nodeData.split.featureIndex").alias("f"), (F.col("nodeData.gain") * rows).alias("g"))
+    got = splits.groupBy("treeID", "f").agg(F.sum("g").alias("g"))
+    if "Forest" in type(clf).__name__:
+        got = got.withColumn("g", F.col("g") / F.sum("g").over(Window.partitionBy("treeID")))
+    out = [0.0] * len(features)
+    for r in got.groupBy("f").agg(F.sum("g").alias("g")).collect():  # one row per feature
+        out[r["f"]] = r["g"]
+    total = sum(out)
+    return [v / total if total else 0.0 for v in out]
+
+
 def select_top_features(df: DataFrame, features: list[str], n: int, label: str = "label",
                         estimator=None) -> list[str]:
     """M7: quick boosted fit on the given (training) rows, keep the top n by importance."""
