@@ -1,20 +1,24 @@
 """Counterfactual scoring: change one factor, hold the rest.
 
-The scenario list is a fixed parameter (28 entries).  Each customer row is
-expanded by ``explode`` over a literal array of scenarios (a generator, no
-join), re-featurised with the same functions as the base row, and scored.
-The best value per (customer, factor) is a partial aggregate, so the 28
-copies of a customer are combined map-side before any shuffle.
+The scenario list is a fixed parameter (28 entries).  An additive score is
+worked out in the row: every term once for the row as it is, and per scenario
+only the terms that read the changed column, as expressions in which a literal
+stands for it.  No row is copied and nothing is shuffled to find the best value
+of a factor.  Any other score gets copies of the row (``counterfactuals``).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnkit.functions.columns import col, qi, sql_lit
+from churnkit.operators.clean import Vocabulary, clean_accounts
+from churnkit.operators.explain import LinearScore
+from churnkit.operators.features import snapshot_feature_sql
 
 # The what-if factors, their raw column and the values tried, in order.
 SCENARIOS = [
@@ -114,3 +118,66 @@ def best_change(cf: DataFrame, id_col: str = "customerID", prob: str = "churn_pr
     reduction = F.col("current_probability") - F.col("b.best_probability")
     return long.select(col(id_col), "b.factor", "b.best_value", "b.best_probability", "current_probability",
                        reduction.alias("reduction"), (reduction > MIN_REDUCTION).alias("worth_it"))
+
+
+# ---------------------------------------------------------------- in the row, for additive scores
+
+def _replaced(sql: str, names: dict[str, str]) -> str:
+    """``sql`` with the SQL of ``names`` in place of their quoted names."""
+    return re.sub(r"`([^`]+)`", lambda m: f"({names[m[1]]})" if m[1] in names else m[0], sql)
+
+
+def term_inputs(model: LinearScore, vocab: Vocabulary, variant: str = "training") -> list[str]:
+    """The model inputs as SQL over the cleaned snapshot: engineered features and indicators written out."""
+    features = snapshot_feature_sql(variant)
+    dummies = {f"{c}_{v}": f"cast(case when {qi(c)} = {sql_lit(v)} then 1 else 0 end as int)" for c, vs in vocab.kept.items() for v in vs}
+    return [_replaced(_replaced(x, dummies | features), features) for _, _, x, _, _ in model.terms]
+
+
+def scenario_probabilities(raw: DataFrame, model: LinearScore, vocab: Vocabulary, id_col: str = "customerID",
+                           variant: str = "training") -> DataFrame:
+    """One row per row of ``raw``: its id, ``current_probability`` and per factor (columns f0, f1, ...) the scenarios
+    as an array of (prob, order, label)."""
+    clean = clean_accounts(raw)
+    types = {f.name: f.dataType.simpleString() for f in clean.schema.fields}
+    inputs = term_inputs(model, vocab, variant)
+    terms = [model.contribution(x, coef, centre) for x, (_, _, _, coef, centre) in zip(inputs, model.terms)]
+    columns = sorted({column for _, column, _ in SCENARIOS})
+    base = clean.selectExpr(qi(id_col), *[f"{t} as _t{i}" for i, t in enumerate(terms)],
+                            *[qi(c) for c in sorted({n for x in inputs for n in re.findall(r"`([^`]+)`", x)} | set(columns))
+                              if c != id_col])
+    factors: dict[str, list[str]] = {}
+    for factor, column, order, label, text, number in scenario_rows():
+        value = sql_lit(text) if text is not None else f"cast({sql_lit(number)} as {types[column]})"
+        parts = [_replaced(t, {column: value}) if qi(column) in t else f"_t{i}" for i, t in enumerate(terms)]
+        factors.setdefault(factor, []).append(
+            f"named_struct('prob', {model.probability(parts)}, 'order', {order}, 'label', {sql_lit(label)})")
+    return base.selectExpr(qi(id_col), f"{model.probability([f'_t{i}' for i in range(len(terms))])} as current_probability",
+                           *[f"array({', '.join(v)}) as f{i}" for i, v in enumerate(factors.values())])
+
+
+def delta_counterfactuals(raw: DataFrame, model: LinearScore, vocab: Vocabulary, id_col: str = "customerID",
+                          prob: str = "churn_probability", variant: str = "training") -> DataFrame:
+    """W2 for an additive score: the rows of ``counterfactuals`` out of one narrow array per row."""
+    wide = scenario_probabilities(raw, model, vocab, id_col, variant)
+    cells = ", ".join(f"transform(f{i}, s -> named_struct('factor', {sql_lit(f)}, 'order', s.order, 'label', s.label, "
+                      f"{sql_lit(prob)}, s.prob))" for i, (f, _, _) in enumerate(SCENARIOS))
+    return wide.selectExpr(qi(id_col), f"inline(concat({cells}))")
+
+
+def best_changes(raw: DataFrame, model: LinearScore, vocab: Vocabulary, id_col: str = "customerID",
+                 variant: str = "training") -> DataFrame:
+    """W3 in the row: id, current_probability and ``changes``, one entry per factor (see :func:`best_change`)."""
+    wide = scenario_probabilities(raw, model, vocab, id_col, variant)
+    # the least struct of a factor: lowest probability, first on ties
+    best = ", ".join(f"named_struct('factor', {sql_lit(f)}, 'best', array_min(f{i}))" for i, (f, _, _) in enumerate(SCENARIOS))
+    entry = ("named_struct('factor', b.factor, 'best_value', b.best.label, 'best_probability', b.best.prob, 'reduction', "
+             f"current_probability - b.best.prob, 'worth_it', current_probability - b.best.prob > {sql_lit(MIN_REDUCTION)})")
+    return wide.selectExpr(qi(id_col), "current_probability", f"transform(array({best}), b -> {entry}) as changes")
+
+
+def delta_best_change(raw: DataFrame, model: LinearScore, vocab: Vocabulary, id_col: str = "customerID",
+                      variant: str = "training") -> DataFrame:
+    """W3 for an additive score, one row per (customer, factor)."""
+    return best_changes(raw, model, vocab, id_col, variant).select(col(id_col), "current_probability", F.inline("changes")).select(
+        col(id_col), "factor", "best_value", "best_probability", "current_probability", "reduction", "worth_it")

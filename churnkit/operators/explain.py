@@ -127,6 +127,12 @@ class LinearScore:
         # a missing input sits at the centre: no contribution
         return f"{sql_lit(coef)} * (coalesce({x}, {sql_lit(centre)}) - {sql_lit(centre)})"
 
+    def probability(self, contributions: list[str]) -> str:
+        """SQL of the probability from the contributions' SQL, added up in the order of the terms."""
+        z = " + ".join([sql_lit(float(self.intercept)), *contributions])
+        p = f"1.0D / (1.0D + exp(-({z})))"
+        return p if self.digits is None else f"round({p}, {self.digits})"
+
 
 def fixture_linear_score() -> LinearScore:
     """The fixed linear score of FIXTURES.md 2.5 on encoded account columns."""
@@ -153,17 +159,14 @@ def linear_contributions(df: DataFrame, model: LinearScore, prob: str = "churn_p
     (code-generated) expressions on that feature's own columns; leave them
     out when only factors and actions are needed.
     """
-    items, z = [], sql_lit(float(model.intercept))
+    items, contributions = [], []
     for name, value, x, coef, centre in model.terms:
         c = model.contribution(x, coef, centre)
         v = f"cast({value} as double)"
         items.append(annotated_item_sql(name, v, c) if with_text else
                      f"named_struct('feature', {sql_lit(name)}, 'value', {v}, 'contribution', {c})")
-        z = f"{z} + {c}"
-    p = f"1.0D / (1.0D + exp(-({z})))"
-    if model.digits is not None:
-        p = f"round({p}, {model.digits})"
-    return df.selectExpr("*", f"array({', '.join(items)}) as {qi(out)}", f"{p} as {qi(prob)}")
+        contributions.append(c)
+    return df.selectExpr("*", f"array({', '.join(items)}) as {qi(out)}", f"{model.probability(contributions)} as {qi(prob)}")
 
 
 def contributions_long(df: DataFrame, id_col: str, contribs: str = "contribs") -> DataFrame:

@@ -58,32 +58,35 @@ def snapshot_features(df: DataFrame, variant: str = "training") -> DataFrame:
     phone service counted among the services, new below 6 months, and no
     tenure group.
     """
+    new = snapshot_feature_sql(variant, _is_text(df, "PhoneService") if variant == "serving" else True)
+    return df.selectExpr(*[qi(c) for c in df.columns], *[f"{sql} as {qi(name)}" for name, sql in new.items()])
+
+
+def snapshot_feature_sql(variant: str = "training", phone_is_text: bool = True) -> dict[str, str]:
+    """The engineered features as SQL text over the cleaned columns (each name in backquotes)."""
     combo = "cast((`Contract` = 'Month-to-month') and (`PaymentMethod` = 'Electronic check') as int)"
     yes = [f"case when {qi(c)} = 'Yes' then 1 else 0 end" for c in ADDON_SERVICES]
     if variant == "training":
         avg = _try_div("`TotalCharges`", "(`tenure` + 1)")
-        new = [
-            f"{avg} as `AvgMonthlySpend`",
-            f"(`MonthlyCharges` - {avg}) as `ChargeIncrease`",
-            "(" + " + ".join(yes) + ") as `NumServices`",
-            f"{bucket('tenure', TENURE_EDGES, TENURE_LABELS)} as `TenureGroup`",
-            f"{combo} as `HighRiskCombo`",
-            f"cast(`tenure` <= {NEW_CUSTOMER_MAX_TENURE} as int) as `IsNewCustomer`",
-        ]
-    elif variant == "serving":
+        return {
+            "AvgMonthlySpend": avg,
+            "ChargeIncrease": f"(`MonthlyCharges` - {avg})",
+            "NumServices": "(" + " + ".join(yes) + ")",
+            "TenureGroup": bucket("tenure", TENURE_EDGES, TENURE_LABELS),
+            "HighRiskCombo": combo,
+            "IsNewCustomer": f"cast(`tenure` <= {NEW_CUSTOMER_MAX_TENURE} as int)",
+        }
+    if variant == "serving":
         avg = _try_div("`TotalCharges`", "(case when `tenure` = 0 then 1 else `tenure` end)")
-        phone = ("case when `PhoneService` = 'Yes' then 1 else 0 end" if _is_text(df, "PhoneService")
-                 else "coalesce(cast(`PhoneService` as int), 0)")
-        new = [
-            f"{avg} as `AvgMonthlySpend`",
-            f"cast(`MonthlyCharges` > {avg} as int) as `ChargeIncrease`",
-            "(" + " + ".join([phone] + yes) + ") as `NumServices`",
-            f"cast(`tenure` < {SERVING_NEW_CUSTOMER_BELOW} as int) as `IsNewCustomer`",
-            f"{combo} as `HighRiskCombo`",
-        ]
-    else:
-        raise ValueError(f"unknown variant {variant!r}")
-    return df.selectExpr(*[qi(c) for c in df.columns], *new)
+        phone = "case when `PhoneService` = 'Yes' then 1 else 0 end" if phone_is_text else "coalesce(cast(`PhoneService` as int), 0)"
+        return {
+            "AvgMonthlySpend": avg,
+            "ChargeIncrease": f"cast(`MonthlyCharges` > {avg} as int)",
+            "NumServices": "(" + " + ".join([phone] + yes) + ")",
+            "IsNewCustomer": f"cast(`tenure` < {SERVING_NEW_CUSTOMER_BELOW} as int)",
+            "HighRiskCombo": combo,
+        }
+    raise ValueError(f"unknown variant {variant!r}")
 
 
 def _is_text(df: DataFrame, name: str) -> bool:

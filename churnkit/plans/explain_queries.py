@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from churnkit.operators import explain as ex
 from churnkit.operators.accounts import encode_accounts
-from churnkit.operators.counterfactual import best_change, counterfactuals, scenario_rows
+from churnkit.operators.counterfactual import delta_best_change, delta_counterfactuals, scenario_rows
 from churnkit.operators.clean import Vocabulary
 from churnkit.plans.account_queries import ACC_CTES, SQL_VOCAB, q
 from churnkit.plans.fixture_sql import with_fx
@@ -211,20 +211,6 @@ def x13_risk_report(spark, sf_dir):
 
 # ------------------------------------------------------------------ counterfactuals
 
-def _score_fn(vocab):
-    model = ex.fixture_linear_score()
-
-    def score(raw):
-        encoded, _ = encode_accounts(raw, vocab=vocab)
-        return ex.linear_contributions(encoded, model).drop("contribs")
-    return score
-
-
-def counterfactual_frame(spark, sf_dir, with_current=False):
-    raw = fixtures.accounts(spark, sf_dir)
-    return counterfactuals(raw, _score_fn(BUNDLE_VOCAB), with_current=with_current)
-
-
 SCEN_VALUES = ", ".join(
     "('{}', '{}', {}, '{}', {}, {})".format(f, c, o, lab, "null" if t is None else f"'{t}'",
                                             "null" if n is None else d(n))
@@ -256,7 +242,7 @@ W2_SELECT = "select \"customerID\", factor, ord as \"order\", label, churn_proba
 
 @register("w2_counterfactuals", with_fx(W2_SELECT, "acc", extra=CF_CTES))
 def w2_counterfactuals(spark, sf_dir):
-    return counterfactual_frame(spark, sf_dir)
+    return delta_counterfactuals(fixtures.accounts(spark, sf_dir), ex.fixture_linear_score(), BUNDLE_VOCAB)
 
 
 @register("w3_best_change", with_fx(
@@ -265,4 +251,4 @@ def w2_counterfactuals(spark, sf_dir):
     "as worth_it from (select *, row_number() over (partition by \"customerID\", factor order by churn_probability, "
     "\"order\") as rn from (" + CF_SELECT + ")) where rn = 1", "acc", extra=CF_CTES))
 def w3_best_change(spark, sf_dir):
-    return best_change(counterfactual_frame(spark, sf_dir, with_current=True))
+    return delta_best_change(fixtures.accounts(spark, sf_dir), ex.fixture_linear_score(), BUNDLE_VOCAB)

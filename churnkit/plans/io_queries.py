@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from churnkit.operators import explain as ex
@@ -11,12 +12,12 @@ from churnkit.operators.accounts import encode_accounts
 from churnkit.operators.clean import as_vector
 from churnkit.operators.counterfactual import scenarios
 from churnkit.plans.account_queries import ACC_CTES
-from churnkit.plans.explain_queries import BUNDLE_VOCAB
+from churnkit.plans.explain_queries import BUNDLE_VOCAB, SCEN_VALUES
 from churnkit.plans.fixture_sql import with_fx
 from churnkit.plans.registry import register
 from churnkit.session import scratch_path
 from churnkit.sources import fixtures
-from churnkit.sources.accounts import ensure_id, read_accounts, sequential_index, split_rejects
+from churnkit.sources.accounts import ensure_id, read_accounts, read_usage, sequential_index, split_rejects
 from churnkit.sources.sinks import write_predictions, write_report
 from churnkit.sources.tables import load
 from churnkit.streaming.stream import stream_dedupe, stream_scores
@@ -35,10 +36,15 @@ def s3_rejects(spark, sf_dir):
     cells = [F.coalesce(F.col(c), F.lit("")) for c in rows.columns]
     line = F.when(F.col("customerID").cast("long") % 10 == 0, F.concat_ws(",", *cells[:-2])).otherwise(F.concat_ws(",", *cells))
     path = scratch_path(spark, "broken-csv")
-    head = spark.range(1).select(F.lit(",".join(rows.columns)).alias("value"))
-    # one header line in each file: the lines of a task become one file
-    body = rows.select(line.alias("value"))
-    head.coalesce(1).unionAll(body.coalesce(1)).coalesce(1).write.text(path)
+    header = ",".join(rows.columns)
+
+    def headed(batches):  # each task's lines become a file, which starts with the header
+        for i, b in enumerate(batches):
+            if not i:
+                yield pa.RecordBatch.from_arrays([pa.array([header])], schema=b.schema)
+            yield b
+
+    rows.select(line.alias("value")).mapInArrow(headed, "value string").write.text(path)
     good, bad = split_rejects(read_accounts(spark, path))
     return good.select("customerID", F.lit(False).alias("rejected")).unionByName(bad.select("customerID", F.lit(True).alias("rejected")))
 
@@ -51,6 +57,23 @@ def s4_row_ids(spark, sf_dir):
     return ensure_id(spark.read.schema("o_orderkey long").csv(path))
 
 
+USAGE_METRICS = ["total_rech_amt", "total_ic_mou", "total_og_mou", "vol_2g_mb"]
+USAGE_COLUMNS = [f"{m}_{month}" for m in USAGE_METRICS for month in (6, 7, 8, 9)]
+
+
+@register("s2_mixed_headers", with_fx(
+    "select cast(customer_id as varchar) as customer_id, " + ", ".join(
+        c if not c.endswith("_9") else f"case when customer_id % 3 <> 2 then {c} end as {c}" for c in USAGE_COLUMNS) + " from fx2", "fx2"))
+def s2_mixed_headers(spark, sf_dir):
+    """Usage files of three headers: two column orders, and one that lacks the last month."""
+    wide = fixtures.usage_wide(spark, sf_dir)
+    root = scratch_path(spark, "usage-csv")
+    for part, names in enumerate((USAGE_COLUMNS, USAGE_COLUMNS[::-1], [c for c in USAGE_COLUMNS[3:] + USAGE_COLUMNS[:3] if not c.endswith("_9")])):
+        order = [*names, "customer_id"] if part else ["customer_id", *names]
+        wide.filter(F.col("customer_id") % 3 == part).select(*order).write.option("header", True).csv(f"{root}/part{part}")
+    return read_usage(spark, f"{root}/*").select("customer_id", *USAGE_COLUMNS)
+
+
 @register("s5_report", """select row_number() over (order by p desc, c_custkey) - 1 as position, c_custkey, p as churn_probability, 'a, b' as factors
 from (select c_custkey, (c_custkey * 37 % 1000) / 1000.0::double as p from customer)""")
 def s5_report(spark, sf_dir):
@@ -89,12 +112,12 @@ def c9_as_vector(spark, sf_dir):
     return v.select("vec_id", F.size("a").alias("n"), F.col("a")[0].alias("first_value"), F.col("a")[63].alias("last_value"))
 
 
-@register("w1_scenarios", with_fx("""select "customerID", n as scenarios from clean, (select 3 + 4 + 3 + 2 + 2 + 8 + 6 as n)""",
-                                  "acc", extra=ACC_CTES[:1]))
+@register("w1_scenarios", with_fx(
+    f"""select "customerID", factor, col as "column", ord as "order", label, tval as text_value, cast(nval as double) as num_value
+from clean, (values {SCEN_VALUES}) s(factor, col, ord, label, tval, nval)""", "acc", extra=ACC_CTES[:1]))
 def w1_scenarios(spark, sf_dir):
-    """How many single-factor scenarios each account is tried with."""
-    per = scenarios(spark).agg(F.count(F.lit(1)).cast("int").alias("scenarios"))  # one row
-    return fixtures.accounts(spark, sf_dir).select("customerID").crossJoin(F.broadcast(per))
+    """The what-if table: every scenario of every account."""
+    return fixtures.accounts(spark, sf_dir).select("customerID").crossJoin(F.broadcast(scenarios(spark)))  # 28 rows
 
 
 def _scorer(df):

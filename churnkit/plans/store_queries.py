@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from churnkit.operators import store
+from churnkit.operators.committed import CommittedStore
 from churnkit.plans.fixture_sql import with_fx
 from churnkit.plans.registry import register
+from churnkit.session import scratch_path
 from churnkit.sources import fixtures
 from churnkit.sources.tables import load
 
@@ -206,3 +208,85 @@ def h1_dashboard(spark, sf_dir):
     "(select batch_id from meta order by \"timestamp\" desc, batch_id desc limit 1)", "fx4", extra=CTES))
 def h2_batch_history(spark, sf_dir):
     return store.latest_batch_rows(batch_predictions(spark, sf_dir), batch_meta(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ the store with commits
+
+STORE_PREDS = ("cast(customer_id as varchar) as customer_id, \"timestamp\", churn_probability, risk_level, "
+               "'order ' || cast(id as varchar) || ', ' || status as top_factors, lower(risk_level) as recommended_action")
+STORE_CTES = CTES + [
+    ("st_single", f"select {STORE_PREDS} from single".replace("|| status", "|| 'latest'")),
+    ("st_batch", f"select batch_id, {STORE_PREDS} from bp"),
+]
+
+
+def _store_sql(keep_rows: str = "true", keep_queue: str = "true") -> str:
+    cols = "customer_id, \"timestamp\", churn_probability, risk_level, top_factors, recommended_action"
+    none = "cast(null as varchar) as {}"
+    return " union all ".join([
+        f"select 'single_predictions' as \"table\", {none.format('batch_id')}, {cols}, {none.format('status')}, "
+        f"cast(null as bigint) as total, cast(null as bigint) as high, cast(null as bigint) as medium, cast(null as bigint) as low "
+        f"from st_single where {keep_rows}",
+        f"select 'batch_predictions', batch_id, {cols}, null, null, null, null, null from st_batch where {keep_rows}",
+        f"select 'batch_metadata', batch_id, null, \"timestamp\", round(avg_churn_probability, 9), null, null, null, null, "
+        f"total_customers, high_risk_count, medium_risk_count, low_risk_count from meta where {keep_rows}",
+        f"select 'risk_queue', null, {cols}, 'pending', null, null, null, null from (select * exclude (batch_id) from st_batch union all "
+        f"select * from st_single) q left join lastu on lastu.c = q.customer_id where risk_level = 'High' and {keep_queue}"])
+
+
+def _recorded(spark, sf_dir):
+    """All batches and the single predictions recorded, one batch cut off before its commit."""
+    out = CommittedStore.create(spark, scratch_path(spark, "store"))
+
+    def rows(df, more):
+        return df.select(F.col("customer_id").cast("string").alias("customer_id"), F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+                         "churn_probability", "risk_level",
+                         F.array(F.concat(F.lit("order "), F.col("id").cast("string")), more).alias("top_factors"),
+                         F.lower("risk_level").alias("recommended_action"))
+
+    bp = batch_predictions(spark, sf_dir)
+    batches = sorted(r["batch_id"] for r in bp.select("batch_id").distinct().collect())  # one per year
+    out.stage_batch(rows(bp.filter(F.col("batch_id") == batches[0]), F.lit("lost")), batches[0], AS_OF)  # cut off: made again below
+    for b in batches:
+        out.record_batch(rows(bp.filter(F.col("batch_id") == b), F.col("status")), b, AS_OF)
+    single = rows(single_predictions(spark, sf_dir), F.lit("latest"))
+    out.record_single(single.withColumn("input_features", F.struct("customer_id")), "latest", AS_OF)
+    out.stage_batch(rows(bp, F.lit("lost")), "never", AS_OF)
+    return out
+
+
+def _all_tables(st):
+    def part(table, df, **more):
+        names = {"batch_id": "string", "customer_id": "string", "timestamp": "timestamp_ntz", "churn_probability": "double",
+                 "risk_level": "string", "top_factors": "string", "recommended_action": "string", "status": "string",
+                 "total": "bigint", "high": "bigint", "medium": "bigint", "low": "bigint"}
+        have = {n: F.col(more.get(n, n)) if more.get(n, n) in df.columns else F.lit(None) for n in names}
+        return df.select(F.lit(table).alias("table"), *[c.cast(names[n]).alias(n) for n, c in have.items()])
+
+    meta = st.read("batch_metadata").withColumn("avg_churn_probability", F.round("avg_churn_probability", 9))
+    return (part("single_predictions", st.read("single_predictions"))
+            .unionAll(part("batch_predictions", st.read("batch_predictions")))
+            .unionAll(part("batch_metadata", meta, churn_probability="avg_churn_probability", total="total_customers",
+                           high="high_risk_count", medium="medium_risk_count", low="low_risk_count"))
+            .unionAll(part("risk_queue", st.read("risk_queue"))))
+
+
+LASTU = ("lastu", "select cast(customer_id as varchar) as c, ts as u_ts, status as u_status from (select *, row_number() over "
+         "(partition by customer_id order by ts desc, update_id desc, status desc, follow_up_notes desc) as rn from upd) where rn = 1")
+
+
+@register("s8_committed_store", with_fx(_store_sql(), "fx4", extra=STORE_CTES + [LASTU]))
+def s8_committed_store(spark, sf_dir):
+    """Every committed row of the four tables; two writes that were cut off leave nothing."""
+    return _all_tables(_recorded(spark, sf_dir))
+
+
+@register("q9_clear_store", with_fx(_store_sql(
+    f"\"timestamp\" >= {CUTOFF_SQL}",
+    f"not (coalesce(u_ts >= \"timestamp\", false) and u_status = 'resolved' and u_ts < {CUTOFF_SQL})"), "fx4", extra=STORE_CTES + [LASTU]))
+def q9_clear_store(spark, sf_dir):
+    """The stored tables after old rows are cleared: queue rows go by their status with the update log folded in."""
+    st = _recorded(spark, sf_dir)
+    log = updates_log(spark, sf_dir).withColumn("customer_id", F.col("customer_id").cast("string"))
+    st.clear_old(AS_OF, RETAIN_DAYS, "yearly", log)
+    return _all_tables(st)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,19 +93,69 @@ def ensure_id(df: DataFrame, id_col: str = "customerID") -> DataFrame:
                           *[F.col(f"`{c}`") for c in df.columns])
 
 
+# Usage columns without a month suffix that hold numbers.
+USAGE_NUMBERS = ("loc_og_t2o_mou", "std_og_t2o_mou", "loc_ic_t2o_mou")
+MAX_HEADERS = 1000
+
+
+def first_lines(spark: SparkSession, paths: list[str], at_once: int = 16) -> list[str]:
+    """The first line of each file, through the file system that Spark reads it with (and its compression)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first(path):
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path) if "://" in path or path.startswith("file:") else path)
+        stream = p.getFileSystem(conf).open(p)
+        try:
+            codec = codecs.getCodec(p)
+            source = codec.createInputStream(stream) if codec is not None else stream
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8"))
+            return (reader.readLine() or "").removeprefix("\ufeff")
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return list(pool.map(first, paths))
+
+
+def usage_type(name: str, months=(6, 7, 8, 9)) -> T.DataType:
+    """Metrics of a month are numbers, ids and dates text."""
+    numeric = any(name.endswith(f"_{m}") for m in months) and not name.startswith(("date_", "last_date"))
+    return T.DoubleType() if numeric or name in USAGE_NUMBERS else T.StringType()
+
+
+def header_groups(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of ``path`` by their header; only first lines are read.  Empty files are left out."""
+    files = sorted(spark.read.text(path).inputFiles())
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, line in zip(files, first_lines(spark, files)):
+        if line:
+            names = tuple(n.strip() for n in next(csv.reader([line])))
+            if len(set(names)) < len(names):
+                raise ValueError(f"{file}: a column name occurs twice")
+            groups.setdefault(names, []).append(file)
+    if len(groups) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different headers")
+    return groups
+
+
 def read_usage(spark: SparkSession, path: str, months=(6, 7, 8, 9)) -> DataFrame:
-    """Wide usage CSV; numeric columns found from the header get doubles.
+    """Wide usage CSV files, each read by its own header.
 
-    The header is read once (one line) to build an explicit schema: ids and
-    ``date_*`` columns as text, every ``*_{month}`` metric as double.
+    Files of one header are read together with an explicit schema (ids and
+    ``date_*`` columns as text, every ``*_{month}`` metric as double); the
+    groups are put together by column name, and a column that a file lacks is
+    null there.  Columns come in the order of the first file, new ones of later
+    headers after them.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    fields = []
-    for h in header:
-        numeric = any(h.endswith(f"_{m}") for m in months) and not h.startswith(("date_", "last_date"))
-        numeric = numeric or h in ("loc_og_t2o_mou", "std_og_t2o_mou", "loc_ic_t2o_mou")
-        fields.append(T.StructField(h, T.DoubleType() if numeric else T.StringType(), True))
-    return spark.read.schema(T.StructType(fields)).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    out = None
+    for names, files in header_groups(spark, path).items():
+        schema = T.StructType([T.StructField(n, usage_type(n, months), True) for n in names])
+        part = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(files)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no file with a header in {path}")
+    return out
 
 
 def pivot_usage(long: DataFrame, id_col: str, metric_col: str, month_col: str, value_col: str,
