@@ -3,24 +3,36 @@
 The fitted forest / boosted model is written with MLlib's own writer; its
 node table (one row per tree node, a size bounded by the model, not the
 data) is read back, turned into flat arrays per tree and broadcast.  Scoring
-runs over Arrow batches: each leaf is a product of conditions on its path's
-features, and its path-dependent Shapley values (node covers as background)
-are computed for all rows of a batch together.  For boosted trees everything is on the margin F
-(MLlib: rawPrediction = [-F, F], probability = 1 / (1 + exp(-2F))).
+runs over Arrow batches, and each tree is descended once for all rows of a
+batch together.
+
+A leaf's game is a product over the features of its path: q where a feature is
+known (1 over the cover shares it follows, or 0) and 1 where it is not, times
+the leaf's value and cover share.  The Shapley value of feature i is the
+integral over t from 0 to 1 of (q_i - 1) times the product of the other
+features' t q + 1 - t.  A node's summary is the sum of these products over its
+leaves, kept at the Gauss-Legendre points that integrate polynomials of the
+tree's depth exactly; dividing it by one feature's factor takes that feature
+out.  So every edge is visited once, whatever hangs below it.
+
+For boosted trees everything is on the margin F (MLlib: rawPrediction =
+[-F, F], probability = 1 / (1 + exp(-2F))).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import comb
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnkit.session import scratch_path
 
+ROWS_AT_ONCE = 2048
+
 
 @dataclass
 class TreeArrays:
@@ -47,39 +59,22 @@ def extract_trees(spark, model, kind: str | None = None) -> list[TreeArrays]:
     nodes = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.rawCount",
         "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-        "nodeData.split.leftCategoriesOrThreshold").collect()  # bounded by the model size
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut")).toArrow()  # bounded by the model size
+    nodes = nodes.sort_by([("treeID", "ascending"), ("id", "ascending")])
+    left, right, feature = (nodes[c].to_numpy().astype(np.int64) for c in ("leftChild", "rightChild", "featureIndex"))
+    value, cover = nodes["prediction"].to_numpy(), nodes["rawCount"].to_numpy().astype(float)
+    cut = nodes["cut"].fill_null(0.0).to_numpy()
     if kind == "gbt":
         weights = list(clf.treeWeights)
     else:
         weights = [1.0 / clf.getNumTrees] * clf.getNumTrees
-    by_tree: dict[int, list] = {}
-    for r in nodes:
-        by_tree.setdefault(r["treeID"], []).append(r)
-    trees = []
-    for tid in sorted(by_tree):
-        rows = sorted(by_tree[tid], key=lambda r: r["id"])
-        n = len(rows)
-        left = np.full(n, -1, dtype=np.int64)
-        right = np.full(n, -1, dtype=np.int64)
-        feat = np.full(n, -1, dtype=np.int64)
-        thr = np.zeros(n)
-        val = np.zeros(n)
-        cover = np.zeros(n)
-        for r in rows:
-            i = r["id"]
-            if r["leftChild"] >= 0:
-                left[i], right[i] = r["leftChild"], r["rightChild"]
-                feat[i] = r["featureIndex"]
-                thr[i] = float(r["leftCategoriesOrThreshold"][0])
-            if kind == "gbt":
-                val[i] = float(r["prediction"])
-            else:
-                stats = list(r["impurityStats"] or [])
-                tot = sum(stats)
-                val[i] = (stats[1] / tot) if tot > 0 and len(stats) > 1 else float(r["prediction"])
-            cover[i] = float(r["rawCount"])
-        trees.append(TreeArrays(left, right, feat, thr, val, cover, float(weights[tid])))
-    return trees
+        stats = np.array(nodes["impurityStats"].combine_chunks().flatten()).reshape(len(value), -1)
+        total = stats.sum(1)
+        if stats.shape[1] > 1:
+            value = np.where(total > 0, stats[:, 1] / np.maximum(total, 1e-300), value)
+    starts = np.flatnonzero(nodes["id"].to_numpy() == 0)
+    return [TreeArrays(left[a:b], right[a:b], feature[a:b], cut[a:b], value[a:b], cover[a:b], float(w))
+            for a, b, w in zip(starts, [*starts[1:], len(value)], weights)]
 
 
 def expected_value(tree: TreeArrays) -> float:
@@ -88,76 +83,52 @@ def expected_value(tree: TreeArrays) -> float:
     return float((tree.value[leaves] * tree.cover[leaves]).sum() / tree.cover[0])
 
 
-@dataclass
-class LeafPath:
-    """One leaf as the conditions that lead to it, merged per feature: low < x[feature] <= high."""
+def _depth(tree: TreeArrays) -> int:
+    depth, level = 0, np.zeros(1, np.int64)
+    while len(level := level[tree.left[level] >= 0]):
+        depth, level = depth + 1, np.concatenate([tree.left[level], tree.right[level]])
+    return depth
 
-    features: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    share: np.ndarray  # of the covers that follow the path at the feature's splits
-    value: float       # leaf value times tree weight
 
+def _add_tree(tree: TreeArrays, X: np.ndarray, phi: np.ndarray) -> None:
+    """Add one tree's Shapley values of the rows of ``X`` (rows x features) to ``phi`` (features x rows)."""
+    # n points are exact up to degree 2 n - 1; taking one feature out of a path leaves a degree below the depth
+    points, weights = np.polynomial.legendre.leggauss(max(1, (_depth(tree) + 1) // 2))
+    t, weights = (points[:, None] + 1) / 2, weights / 2
+    columns = X.T
 
-def leaf_paths(tree: TreeArrays) -> list[LeafPath]:
-    out, todo = [], [(0, {})]
-    while todo:
-        node, conds = todo.pop()
+    def descend(node, product, share, known):
+        """The node's summary (points x rows), from the product of its path's factors."""
         if tree.left[node] < 0:
-            f = sorted(conds)
-            out.append(LeafPath(np.array(f, np.int64), *(np.array([conds[i][c] for i in f]) for c in range(3)),
-                                float(tree.value[node] * tree.weight)))
-            continue
-        f, cut = int(tree.feature[node]), tree.threshold[node]
-        low, high, share = conds.get(f, (-np.inf, np.inf, 1.0))
-        for child, bounds in ((tree.left[node], (low, min(high, cut))), (tree.right[node], (max(low, cut), high))):
-            todo.append((child, conds | {f: (*bounds, share * tree.cover[child] / tree.cover[node])}))
-    return out
-
-
-def path_contributions(met: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Shapley values of a leaf of value 1, per pattern of met conditions (patterns x conditions).
-
-    The leaf's game is a product: a condition gives 1 or 0 where its feature
-    is known and its cover share where it is not.  For each condition the
-    other factors are multiplied out by the number of known features, and the
-    coefficients are weighted as coalitions of that size.
-    """
-    m = len(share)
-    size = np.arange(m)
-    weight = np.array([1.0 / (m * comb(m - 1, int(s))) for s in size])
-    out = np.empty(met.shape)
-    for j in range(m):
-        poly = np.zeros((len(met), m))
-        poly[:, 0] = 1.0
-        for i in range(m):
-            if i != j:
-                known = poly[:, :-1] * met[:, i:i + 1]
-                poly = poly * share[i]
-                poly[:, 1:] += known
-        out[:, j] = (met[:, j] - share[j]) * (poly @ weight)
-    return out
+            return product * (tree.value[node] * tree.weight * share)
+        f = int(tree.feature[node])
+        low = columns[f] <= tree.threshold[node]
+        before = known.get(f)
+        total = 0.0
+        for child, met in ((tree.left[node], low), (tree.right[node], ~low)):
+            part = tree.cover[child] / tree.cover[node]
+            q = np.where(met, 1.0 if before is None else before[0], 0.0) / part
+            factor = t * (q - 1) + 1
+            below = product * factor if before is None else product * (factor / before[1])
+            summary = descend(int(child), below, share * part, known | {f: (q, factor)})
+            phi[f] += (q - 1) * (weights @ (summary / factor))
+            if before is not None:  # these leaves' last condition on the feature lies here, not above
+                phi[f] -= (before[0] - 1) * (weights @ (summary / before[1]))
+            total = total + summary
+        return total
+
+    if tree.left[0] >= 0:
+        descend(0, np.ones((len(weights), len(X))), 1.0, {})
 
 
 def shap_values(trees: list[TreeArrays], X: np.ndarray) -> tuple[np.ndarray, float]:
-    """(rows x features contributions, base value) for a batch: all rows of a leaf at once.
-
-    A leaf's contributions depend on a row only through which conditions it
-    meets, so they are worked out once per pattern that occurs and looked up.
-    """
-    phi = np.zeros(X.shape, dtype=float)
-    for tree in trees:
-        for p in leaf_paths(tree):
-            if not len(p.features):
-                continue
-            x = X[:, p.features]
-            met = (x > p.low) & (x <= p.high)
-            code = met @ (1 << np.arange(len(p.features), dtype=np.int64))
-            codes, rows = np.unique(code, return_inverse=True)
-            patterns = (codes[:, None] >> np.arange(len(p.features)) & 1).astype(float)
-            phi[:, p.features] += (path_contributions(patterns, p.share) * p.value)[rows]
+    """(rows x features contributions, base value) for a batch."""
+    phi = np.zeros(X.shape[::-1], dtype=float)
+    for s in range(0, len(X), ROWS_AT_ONCE):
+        for tree in trees:
+            _add_tree(tree, X[s:s + ROWS_AT_ONCE], phi[:, s:s + ROWS_AT_ONCE])
     base = sum(expected_value(t) * t.weight for t in trees)
-    return phi, base
+    return phi.T, base
 
 
 def tree_output(trees: list[TreeArrays], x: np.ndarray) -> float:
@@ -200,17 +171,15 @@ def tree_contributions(df: DataFrame, model, features: list[str], id_col: str,
               "base_value double, model_output double")
 
     def run(batches):
-        import pandas as pd
-
         ts = bc.value
-        base = sum(expected_value(t) * t.weight for t in ts)
-        for pdf in batches:
-            X = pdf[names].to_numpy(dtype=float, na_value=0.0)
-            phi, _ = shap_values(ts, X)
-            rows = [[{"feature": n, "value": float(X[r, j]), "contribution": float(phi[r, j])}
-                     for j, n in enumerate(names)] for r in range(len(pdf))]
-            outs = batch_output(ts, X)
-            yield pd.DataFrame({id_col: pdf[id_col], out: rows, "base_value": base, "model_output": outs})
+        for b in batches:
+            X = np.column_stack([b.column(i + 1).to_numpy() for i in range(len(names))]) if names else np.zeros((b.num_rows, 0))
+            phi, base = shap_values(ts, X)
+            label = pa.array(names, pa.string()).take(pa.array(np.tile(np.arange(len(names)), len(X))))
+            cells = pa.StructArray.from_arrays([label, pa.array(X.ravel()), pa.array(phi.ravel())], ["feature", "value", "contribution"])
+            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(X) + 1) * len(names)).astype(np.int32)), cells)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(np.full(len(X), base)), pa.array(batch_output(ts, X))],
+                                             [id_col, out, "base_value", "model_output"])
 
     cols = [F.col(id_col)] + [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in names]
-    return df.select(*cols).mapInPandas(run, schema)
+    return df.select(*cols).mapInArrow(run, schema)

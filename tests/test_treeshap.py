@@ -77,3 +77,51 @@ def test_forest_additivity_in_probability_space(spark):
     mo = out.orderBy("id").collect()
     for p, q in zip(prob[:50], mo[:50]):
         assert abs(p["prob"] - q["model_output"]) < 1e-9
+
+
+def test_deep_forest_adds_up_and_equals_one_pass_a_leaf(spark):
+    """Features met again and again on a path; the reference here multiplies out every leaf's game."""
+    from math import comb
+
+    from churnkit.operators import models as ml
+    from churnkit.operators.treeshap import expected_value
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4)).round(1)
+    y = (x[:, 0] * x[:, 1] + np.sin(3 * x[:, 2]) + rng.normal(0, 0.3, 400) > 0).astype(int)
+    feats = [f"f{i}" for i in range(4)]
+    df = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(400)],
+                               "id int, label int, " + ", ".join(f"{c} double" for c in feats))
+    m = ml.fit(df, feats, ml.forest(n_estimators=6, max_depth=12, random_state=3), "label")
+    trees = extract_trees(spark, m)
+    X = np.vstack([x[:30], np.full((1, 4), np.nan)])
+    phi, base = shap_values(trees, X)
+    assert np.allclose(phi.sum(1) + base, batch_output(trees, X), atol=1e-10)
+
+    def leaves(tree, node=0, conds=()):
+        if tree.left[node] < 0:
+            yield node, conds
+            return
+        f, cut = tree.feature[node], tree.threshold[node]
+        for child, low in ((tree.left[node], True), (tree.right[node], False)):
+            yield from leaves(tree, child, (*conds, (f, cut, low, tree.cover[child] / tree.cover[node])))
+
+    want = np.zeros_like(phi)
+    for tree in trees:
+        for node, conds in leaves(tree):
+            used = sorted({c[0] for c in conds})
+            for r, row in enumerate(X):
+                one, part = {f: 1.0 for f in used}, {f: 1.0 for f in used}
+                for f, cut, low, share in conds:
+                    one[f] *= float((row[f] <= cut) == low)
+                    part[f] *= share
+                for f in used:
+                    poly = np.array([1.0])  # by the number of known features
+                    for g in used:
+                        if g != f:
+                            poly = np.append(poly * part[g], 0.0) + np.append(0.0, poly * one[g])
+                    n = len(used)
+                    size = sum(c / (n * comb(n - 1, s)) for s, c in enumerate(poly))
+                    want[r, f] += tree.value[node] * tree.weight * (one[f] - part[f]) * size
+    assert np.allclose(phi, want, atol=1e-10)
+    assert abs(base - sum(expected_value(t) * t.weight for t in trees)) < 1e-12
