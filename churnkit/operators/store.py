@@ -111,13 +111,26 @@ def apply_updates(queue_df: DataFrame, updates: DataFrame, customer: str = "cust
     and one join, salted for customers holding a large share of the queue;
     no pairs of updates and rows are formed.
     """
+    return apply_facts(queue_df, update_facts(updates, customer), customer)
+
+
+def update_facts(updates: DataFrame, customer: str = "customer_id") -> DataFrame:
+    """Per customer (``_cust``) the last update ``u`` and the last one with a note ``n``, as structs that hold all that
+    orders them: the facts of two logs put together are the larger ones of each customer's."""
     # a total order: duplicate log rows (same ts and id) tie-break on their content
     order = F.struct(F.col("ts"), F.col("update_id"), F.col("status"), F.col("follow_up_notes"))
     noted = F.when(F.length(F.coalesce(F.col("follow_up_notes"), F.lit(""))) > 0, order)
-    latest = updates.groupBy(col(customer).alias("_cust")).agg(
-        F.max_by(F.struct(F.col("ts").alias("u_ts"), F.col("status").alias("u_status")), order).alias("u"),
-        F.max_by(F.struct(F.col("ts").alias("n_ts"), F.col("follow_up_notes").alias("n_notes")), noted).alias("n"))
-    latest = latest.select("_cust", "u.u_ts", "u.u_status", "n.n_ts", "n.n_notes")
+    return updates.groupBy(col(customer).alias("_cust")).agg(F.max(order).alias("u"), F.max(noted).alias("n"))
+
+
+def merge_facts(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).groupBy("_cust").agg(F.max("u").alias("u"), F.max("n").alias("n"))
+
+
+def apply_facts(queue_df: DataFrame, facts: DataFrame, customer: str = "customer_id") -> DataFrame:
+    """Q8: the queue with the facts of its update log folded in."""
+    latest = facts.select("_cust", F.col("u.ts").alias("u_ts"), F.col("u.status").alias("u_status"),
+                          F.col("n.ts").alias("n_ts"), F.col("n.follow_up_notes").alias("n_notes"))
     # a customer holding a large share of the queue is spread over several tasks
     j = salted_join(queue_df, latest, customer, "_cust", "left")
     applies = "(u_ts is not null and u_ts >= `timestamp`)"

@@ -130,8 +130,8 @@ def b4_smote_counts(spark, sf_dir):
     return bal.groupBy(LABEL, "is_synthetic").agg(F.count(F.lit(1)).alias("rows"))
 
 
-# SMOTE on the embeddings: class 0 against the rest, the first eight coordinates as features
-EMB_DIMS = 8
+# SMOTE on the embeddings: class 0 against the rest, all coordinates as features
+EMB_DIMS = 64
 _EMB_COORD = ", ".join(f"cast(embedding[{i + 1}] as double) as e{i}" for i in range(EMB_DIMS))
 _EMB_DIST = " + ".join(f"(a.e{i} - b.e{i}) * (a.e{i} - b.e{i})" for i in range(EMB_DIMS))
 

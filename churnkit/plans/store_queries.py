@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from churnkit.operators import store
 from churnkit.operators.committed import CommittedStore
+from churnkit.operators.facts import UpdateFacts
 from churnkit.plans.fixture_sql import with_fx
 from churnkit.plans.registry import register
 from churnkit.session import scratch_path
@@ -169,6 +170,16 @@ def q8_apply_updates(spark, sf_dir):
     return applied_queue(spark, sf_dir)
 
 
+@register("q8_incremental", with_fx("select * from applied", "fx4", extra=CTES))
+def q8_incremental(spark, sf_dir):
+    """The log folded into the kept facts in three parts, one after another, then the facts into the queue."""
+    facts = UpdateFacts(spark, scratch_path(spark, "facts"))
+    log = updates_log(spark, sf_dir)
+    for part in range(3):
+        facts.fold(log.filter(F.pmod(F.col("update_id"), F.lit(3)) == part), f"part{part}")
+    return store.apply_facts(queue_state(spark, sf_dir), facts.facts())
+
+
 @register("q9_retain_predictions", with_fx(
     f"select id, batch_id from bp where \"timestamp\" >= {CUTOFF_SQL}", "fx4", extra=CTES[:1]))
 def q9_retain_predictions(spark, sf_dir):

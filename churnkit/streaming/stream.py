@@ -102,6 +102,40 @@ def stream_counts(stream: DataFrame, delay: str = "1 day", duration: str = "1 da
     return window_counts(risk_events(stream).withWatermark("event_time", delay), duration, slide)
 
 
+def stream_panes(stream: DataFrame, out: str, checkpoint: str, delay: str = "1 day", available_now: bool = True):
+    """ST2 as a stream of one-day panes: the state is a row a day within ``delay``; rows later than that are dropped.
+
+    Every micro-batch writes the panes that it changed, under its epoch; a
+    replayed epoch replaces its own.  Read them with :func:`panes`.
+    """
+    counts = stream_counts(stream, delay)
+
+    def each(batch: DataFrame, epoch_id: int) -> None:
+        _write_epoch(batch, out, epoch_id)
+
+    w = counts.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
+
+
+PANE = "window_start timestamp_ntz, window_end timestamp_ntz, events bigint, high_risk_events bigint"
+
+
+def panes(spark: SparkSession, path: str) -> DataFrame:
+    """The last state of every written pane."""
+    rows = spark.read.schema(PANE + ", epoch bigint").parquet(path)
+    last = F.max(F.struct("epoch", "window_end", "events", "high_risk_events")).alias("p")
+    return rows.groupBy("window_start").agg(last).select("window_start", "p.window_end", "p.events", "p.high_risk_events")
+
+
+def windows_of_panes(daily: DataFrame, days: int = 7) -> DataFrame:
+    """Sliding windows of ``days`` days, one starting each day, added up from one-day panes: a pane counts in ``days`` windows."""
+    back = F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
+    spread = daily.withColumn("_back", back).select(
+        (F.col("window_start") - F.make_dt_interval(days=F.col("_back"))).alias("window_start"), "events", "high_risk_events")
+    return spread.groupBy("window_start").agg(F.sum("events").alias("events"), F.sum("high_risk_events").alias("high_risk_events")).select(
+        "window_start", (F.col("window_start") + F.make_dt_interval(days=F.lit(days))).alias("window_end"), "events", "high_risk_events")
+
+
 def stream_dedupe(stream: DataFrame, key: str = "customer_id", ts: str = "timestamp",
                   delay: str = "1 day") -> DataFrame:
     """ST3: first queue entry per customer within the watermark delay."""
