@@ -2,23 +2,27 @@
 
 One logistic classifier sees the text's content (hashed words and shape
 counts), the other the page's metadata (source, language, length).  In each
-round every classifier labels the unlabelled pages it is surest of for the
-other one.  Both are then calibrated on labelled pages kept aside, and their
-log-odds add up to the score of every page.
-
-The classifiers are fitted on a bounded sample (``PER_CLASS`` labelled pages of
-each class, ``POOL`` unlabelled ones, by hashed id); all pages are scored in one
-pass without a shuffle.
+round every classifier labels, of all unlabelled pages, the ones that it is
+surest of for the other one, as many of each class as the class has among the
+labelled pages.  A round stays only if the log-loss on labelled pages kept
+aside falls.  Both are calibrated on those pages, and their log-odds add up to
+the score of every page.
+
+The classifiers are fitted on a bounded sample of labelled pages
+(``PER_CLASS`` of each class, by hashed id) and on what they teach each other;
+the unlabelled pages are all scored in every round, and a task hands on no more
+than the pages that can be taught.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from churnkit.llm.textkit import LOWER, SPACE, hash_sample, slices, utf8, word_bounds, word_hashes
 
@@ -26,10 +30,9 @@ WORD_SLOTS = 512
 SHAPES = 10
 META = 1 + 64 + 32 + 3
 PER_CLASS = 1500
-POOL = 4000
 ROUNDS = 4
-PER_ROUND = 0.05
-SURE = 0.95
+PER_ROUND = 1.0
+MOST_TAUGHT = 200
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>@=+~^\\_{}[]"]] = True
@@ -152,34 +155,72 @@ class CoTrained:
         return _sigmoid(a), _sigmoid(b), _sigmoid(a + b - self.prior)
 
 
+def log_loss(model: CoTrained, xt, xm, y) -> float:
+    p = np.clip(model.score(xt, xm)[2], 1e-9, 1 - 1e-9)
+    return float(-np.mean(np.where(y > 0, np.log(p), np.log(1 - p))))
+
+
+# what a view teaches: per view and class the content and metadata features of the pages it is surest of
+Taught = dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
+
+
+def from_arrays(pool_t: np.ndarray, pool_m: np.ndarray) -> Callable[[CoTrained, dict[int, int]], Taught]:
+    """Teaching from pages that are held as arrays; a page is taught once by each view."""
+    left = {v: np.arange(len(pool_t)) for v in ("t", "m")}
+
+    def teach(model, most):
+        out = {}
+        for v, x, classifier in (("t", pool_t, model.text), ("m", pool_m, model.meta)):
+            order = left[v][np.argsort(classifier.margin(x[left[v]]), kind="stable")]
+            chosen = {0: order[:most[0]], 1: order[len(order) - min(most[1], max(0, len(order) - most[0])):]}
+            out |= {(v, c): (pool_t[rows], pool_m[rows]) for c, rows in chosen.items()}
+            left[v] = np.setdiff1d(left[v], np.concatenate([chosen[0], chosen[1]]))
+        return out
+
+    return teach
+
+
 def co_train(xt, xm, y, pool_t, pool_m, aside, rounds: int = ROUNDS, per_round: float = PER_ROUND) -> CoTrained | None:
-    """Fit both views on the labelled rows not ``aside`` and on each other's surest pool labels; calibrate on those aside."""
+    """Co-training on pages held as arrays; see :func:`train`."""
+    return train(xt, xm, y, aside, from_arrays(pool_t, pool_m), rounds, per_round)
+
+
+def train(xt, xm, y, aside, teach: Callable[[CoTrained, dict[int, int]], Taught], rounds: int = ROUNDS,
+          per_round: float = PER_ROUND) -> CoTrained | None:
+    """Fit both views on the labelled rows not ``aside`` and on what each teaches the other; calibrate on those aside.
+
+    A round teaches ``per_round`` times the labelled rows, in the proportion of their classes, and stays if the
+    log-loss of the rows aside falls; the first one that does not ends the training.
+    """
     if len(set(y[~aside].tolist())) < 2:
         return None
     rows = aside if len(set(y[aside].tolist())) == 2 else np.ones(len(y), bool)
-    known = {"t": (xt[~aside], y[~aside]), "m": (xm[~aside], y[~aside])}
-    views, left = {"t": pool_t, "m": pool_m}, np.arange(len(pool_t))
-    for _ in range(rounds):
-        # sure by calibrated probability: a view that says little about quality teaches nothing
-        fitted = {v: Logistic.fit(*known[v]).calibrate(x[rows], y[rows]) for v, x in (("t", xt), ("m", xm))}
-        taken = set()
-        for v, other in (("t", "m"), ("m", "t")):
-            if not len(left):
-                break
-            p = _sigmoid(fitted[v].log_odds(views[v][left]))
-            n = max(1, int(per_round * len(pool_t)))
-            order = np.argsort(p, kind="stable")
-            good = [i for i in order[::-1][:n] if p[i] >= SURE]
-            poor = [i for i in order[:n] if p[i] <= 1 - SURE]
-            taught = left[good + poor]
-            x, labels = known[other]
-            known[other] = (np.concatenate([x, views[other][taught]]), np.concatenate([labels, [1.0] * len(good) + [0.0] * len(poor)]))
-            taken.update(taught.tolist())
-        left = np.array([i for i in left if i not in taken], np.int64)
-    final = {v: Logistic.fit(*known[v]) for v in known}
     # of the rows that both calibrations saw, so that a view without a say adds nothing
     prior = float(np.log(((y[rows] > 0).sum() + 1) / ((y[rows] == 0).sum() + 1)))
-    return CoTrained(final["t"].calibrate(xt[rows], y[rows]), final["m"].calibrate(xm[rows], y[rows]), prior)
+    own = y[~aside]
+    known = {"t": [(xt[~aside], own)], "m": [(xm[~aside], own)]}
+
+    def fitted(examples):
+        t, m = (Logistic.fit(np.concatenate([x for x, _ in examples[v]]), np.concatenate([c for _, c in examples[v]])) for v in ("t", "m"))
+        return CoTrained(t.calibrate(xt[rows], y[rows]), m.calibrate(xm[rows], y[rows]), prior)
+
+    model = fitted(known)
+    loss = log_loss(model, xt[rows], xm[rows], y[rows])
+    most = {c: min(MOST_TAUGHT, max(1, round(per_round * int((own == c).sum())))) for c in (0, 1)}
+    for _ in range(rounds):
+        more = {"t": [], "m": []}
+        for (view, label), (content, meta) in teach(model, most).items():
+            other, x = ("m", meta) if view == "t" else ("t", content)
+            more[other].append((x, np.full(len(x), float(label))))
+        if not sum(len(c) for part in more.values() for _, c in part):
+            break
+        trial = {v: known[v] + more[v] for v in known}
+        new = fitted(trial)
+        now = log_loss(new, xt[rows], xm[rows], y[rows])
+        if now >= loss:
+            break
+        model, loss, known = new, now, trial
+    return model
 
 
 def _pages(df: DataFrame, id_col, text_col, source_col, lang_col, size_col) -> DataFrame:
@@ -207,23 +248,70 @@ def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return view("xt", WORD_SLOTS + SHAPES), view("xm", META), got["label"].to_numpy(), got["fold"].to_numpy()
 
 
+def from_pages(pages: DataFrame) -> Callable[[CoTrained, dict[int, int]], Taught]:
+    """Teaching from a table of unlabelled pages: every page is scored, and per view and class the surest ones come
+    back.  A task keeps no more than these of the pages it has seen; equal margins go by a hash of the page."""
+    taught: dict[str, set[int]] = {"t": set(), "m": set()}
+
+    def teach(model, most):
+        def surest(batches):
+            best = {(v, c): [] for v in ("t", "m") for c in (0, 1)}
+            for b in batches:
+                for s in slices(b):
+                    xt, xm = _views(s)
+                    page = s.column("page").to_numpy()
+                    for v, margin in (("t", model.text.margin(xt)), ("m", model.meta.margin(xm))):
+                        left = np.flatnonzero(~np.isin(page, np.fromiter(taught[v], np.int64, len(taught[v]))))
+                        for c in (0, 1):
+                            value = -margin[left] if c else margin[left]
+                            for i in np.lexsort((page[left], value))[:most[c]]:
+                                j = left[i]
+                                best[v, c].append((float(value[i]), int(page[j]), xt[j].astype(np.float16).tobytes(), xm[j].astype(np.float16).tobytes()))
+                            best[v, c] = sorted(best[v, c])[:most[c]]
+            rows = [(v, c, *r) for (v, c), some in best.items() for r in some]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows), (
+                    pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()))], ["view", "class", "value", "page", "xt", "xm"])
+
+        found = pages.mapInArrow(surest, "view string, class int, value double, page bigint, xt binary, xm binary")
+        order = Window.partitionBy("view", "class").orderBy("value", "page", "xt")
+        top = max(most.values())
+        got = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).toArrow()  # 4 x MOST_TAUGHT rows at most
+        out = {}
+        for v, other in (("t", "m"), ("m", "t")):
+            for c in (0, 1):
+                part = sorted((r for r in got.to_pylist() if r["view"] == v and r["class"] == c), key=lambda r: r["r"])[:most[c]]
+                taught[v] |= {r["page"] for r in part}
+                out[v, c] = tuple(np.frombuffer(b"".join(r[k] for r in part), np.float16).reshape(len(part), -1 if part else d).astype(np.float64)
+                                  for k, d in (("xt", WORD_SLOTS + SHAPES), ("xm", META)))
+        return out
+
+    return teach
+
+
 def fit_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 lang_col: str = "lang", size_col: str = "n_chars", label_id_col: str = "doc_id", label_col: str = "quality",
-                per_class: int = PER_CLASS, pool: int = POOL) -> CoTrained | None:
-    """None where the labelled sample does not hold both classes."""
+                per_class: int = PER_CLASS, rounds: int = ROUNDS) -> CoTrained | None:
+    """None where the labelled sample does not hold both classes.
+
+    Of the rows of one labelled id the first in the order of their columns counts; rows with a null id and without a
+    label are unlabelled pages.
+    """
     pages = _pages(df, id_col, text_col, source_col, lang_col, size_col)
     # repeated labels of a page count once; a page labelled both ways counts as poor
     known = (labels.where(labels[label_id_col].isNotNull() & labels[label_col].isNotNull())
              .groupBy(labels[label_id_col].alias("id")).agg(F.min(labels[label_col].cast("double")).alias("label")))
     sample = known.where(hash_sample(known, "id", per_class, "label"))  # at most per_class rows of each class
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).cast("int")
-    labelled = pages.join(F.broadcast(sample), pages.doc_id == F.col("id")).withColumn("fold", fold).select(*pages.columns, "fold", "label")
-    xt, xm, y, folds = _collected(labelled)
-    chosen = pages.where(pages.doc_id.isNotNull() & hash_sample(pages, "doc_id", pool + len(y)))
-    # the pool's own labels are not looked at
-    pt, pm, _, _ = _collected(chosen.join(F.broadcast(sample.select("id")), pages.doc_id == F.col("id"), "left_anti")
-                              .withColumn("fold", fold).withColumn("label", F.lit(None).cast("double")))
-    return co_train(xt, xm, y, pt, pm, folds == 0) if len(y) else None
+    # one row of each sampled id, however often it is repeated
+    whole = pages.join(F.broadcast(sample), pages.doc_id == F.col("id")).groupBy("doc_id").agg(
+        F.min(F.struct("text", "source", "lang", "n_chars", "label")).alias("p")).select("doc_id", "p.*")
+    xt, xm, y, folds = _collected(whole.withColumn("fold", fold))
+    if not len(y):
+        return None
+    page = F.xxhash64("doc_id", "text", "source", "lang", "n_chars").alias("page")
+    rest = pages.join(F.broadcast(sample.select("id")), pages.doc_id == F.col("id"), "left_anti").select("*", page)
+    return train(xt, xm, y, folds == 0, from_pages(rest), rounds)
 
 
 def score_quality(df: DataFrame, model: CoTrained | None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

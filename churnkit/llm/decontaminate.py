@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from churnkit.llm.textkit import LOWER, PLACE, keyed_text, ngrams, passage_bounds, powers, slices, utf8, word_hashes
 
@@ -55,6 +56,7 @@ class ItemBlock:
     item: np.ndarray
     filter: np.ndarray
     k: int
+    chars: list[int]
     short: dict[int, tuple[np.ndarray, np.ndarray]]  # of each length: sorted hashes of whole short items, their places
 
     @staticmethod
@@ -79,7 +81,7 @@ class ItemBlock:
             whole = whole[::size - min(size, len(PLACE)) + 1]
             by = np.argsort(whole, kind="stable")
             short[size] = whole[by], places[by]
-        return ItemBlock(ids, words, seeds, seed[order], item[order], seen, k, short)
+        return ItemBlock(ids, words, seeds, seed[order], item[order], seen, k, [len(t or "") for t in texts], short)
 
     def whole_hits(self, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
         """Distinct (document, item) of the short items that a document holds as a whole."""
@@ -178,12 +180,13 @@ def _mark(x: _Side, y: _Side, size: int) -> list[tuple[int, int, int]]:
 
 
 def batch_matches(block: ItemBlock, column, threshold: float,
-                  passage_words: int = PASSAGE_WORDS) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, covered words, item words, tiles) of the documents of a slice that reach the threshold or have a
-    tile of ``passage_words``."""
+                  passage_words: int = PASSAGE_WORDS) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(row, item, covered words, item words, tiles, words of the document) of the documents of a slice that reach the
+    threshold or have a tile of ``passage_words``."""
     h, doc, _, n = words_of(column)
+    sizes = np.bincount(doc, minlength=n).tolist()
     for row, item in block.whole_hits(h, doc):
-        yield row, item, len(block.words[item]), len(block.words[item]), 1
+        yield row, item, len(block.words[item]), len(block.words[item]), 1, sizes[row]
     grams, at = ngrams(h, doc, block.k)
     row, item, seed = block.hits(grams, doc[at])
     if not len(row):
@@ -203,7 +206,7 @@ def batch_matches(block: ItemBlock, column, threshold: float,
         got = tiles(a, h[first[row[s]]:first[row[s] + 1]], block.k)
         covered = sum(t[2] for t in got)
         if covered and (covered >= threshold * len(a) or max(t[2] for t in got) >= passage_words):
-            yield int(row[s]), int(item[s]), covered, len(a), len(got)
+            yield int(row[s]), int(item[s]), covered, len(a), len(got), sizes[row[s]]
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, k: int, min_words: int,
@@ -241,22 +244,22 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     out = None
     for block in item_blocks(items, item_id_col, item_text_col, seed_words, min_words, block_chars):
         shared = df.sparkSession.sparkContext.broadcast(block)
-        part = docs.mapInArrow(_matcher(shared, threshold, passage_words), schema)
+        part = docs.mapInArrow(_matcher(shared, threshold, passage_words, to_arrow_type(item_type)), schema)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else df.sparkSession.createDataFrame([], schema)
 
 
-def _matcher(shared, threshold, passage_words):
+def _matcher(shared, threshold, passage_words, item_type):
     def run(batches):
         block = shared.value
         for b in batches:
             for s in slices(b):
                 got = list(batch_matches(block, s.column("text"), threshold, passage_words))
                 if got:
-                    row, item, covered, total, n = map(list, zip(*got))
+                    row, item, covered, total, n, _ = map(list, zip(*got))
                     yield pa.RecordBatch.from_pydict({
                         "doc_id": s.column("doc_id").take(pa.array(row)),
-                        "item_id": pa.array([block.ids[i] for i in item]),
+                        "item_id": pa.array([block.ids[i] for i in item], item_type),
                         "n_covered": pa.array(covered, pa.int64()), "n_item_words": pa.array(total, pa.int64()),
                         "n_tiles": pa.array(n, pa.int64()),
                         "coverage": pa.array([c / t for c, t in zip(covered, total)], pa.float64())})
@@ -266,17 +269,25 @@ def _matcher(shared, threshold, passage_words):
 def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
                       item_text_col: str = "text", threshold: float = THRESHOLD, seed_words: int = SEED_WORDS,
                       min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS,
-                      passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """The rows of ``df`` that match no item as in ``contamination``, all columns as they were."""
+                      passage_words: int = PASSAGE_WORDS, drop_words: int = 1, drop_chars: int = 1) -> DataFrame:
+    """The rows of ``df`` that match no item as in ``contamination``, all columns as they were.
+
+    Items of fewer than ``drop_words`` words or ``drop_chars`` characters, which stand in many clean texts by chance,
+    remove only documents that say nothing else; by default any item removes.
+    """
     schema = df.schema
 
+    def decides(block, item, total, size):
+        return (total >= drop_words and block.chars[item] >= drop_chars) or size == total
+
     def keeper(shared):
         def run(batches):
             block = shared.value
             for b in batches:
                 for s in slices(b, text_col):
                     keep = np.ones(s.num_rows, bool)
-                    keep[[m[0] for m in batch_matches(block, s.column(text_col), threshold, passage_words)]] = False
+                    keep[[row for row, item, _, total, _, size in batch_matches(block, s.column(text_col), threshold, passage_words)
+                          if decides(block, item, total, size)]] = False
                     yield s.filter(pa.array(keep))
         return run
 

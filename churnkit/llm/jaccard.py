@@ -29,9 +29,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from churnkit.llm.components import components
+from churnkit.llm.manifest import ranked, written
 from churnkit.llm.textkit import LOWER, PLACE, keyed_text, mix, ngrams, slices, utf8, word_bounds, word_hashes
 from churnkit.session import reliable, scratch_path
 
@@ -385,7 +386,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_shingles, component_id for every row; component_id is the smallest doc_id that
     links of Jaccard similarity of at least ``percent`` / 100 reach.
 
-    Ids are integers.  Texts without a word (null and empty ones too) have an
+    Ids of another type than an integer are numbered in their order first.  Texts without a word (null and empty ones too) have an
     empty set and link with nothing.  Rows of one id count as one document: a
     repeated row changes nothing, and different texts under one id share its
     component.  Rows with a null id link with nothing and have a null
@@ -393,6 +394,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = df.sparkSession
     docs = keyed_text(df, id_col, text_col)
+    if docs.schema["doc_id"].dataType not in (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()):
+        return _numbered(docs, shingle, percent, block)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     often = frequent_grams(docs, shingle)
     path = scratch_path(spark, "jaccard-sets")
@@ -458,6 +461,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return by_id.unionAll(single).select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
 
 
+def _numbered(docs: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
+    """The join over ids of any type: numbers that keep their order stand for them."""
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().withColumn("tree", F.lit(""))
+    numbers = written(ranked(ids, ["doc_id"]).select(F.col("doc_id").alias("name"), "at"), "ids")
+    rows = docs.join(numbers, docs["doc_id"] == numbers["name"], "left").select(F.col("at").alias("doc_id"), "text")
+    found = jaccard_components(rows, shingle=shingle, percent=percent, block=block)
+    top = numbers.withColumnsRenamed({"name": "top", "at": "top_at"})
+    return (found.join(numbers, found["doc_id"] == numbers["at"], "left").join(top, F.col("component_id") == F.col("top_at"), "left")
+            .select(F.col("name").alias("doc_id"), "n_shingles", F.col("top").alias("component_id")))
+
+
 def _bucket(key, block) -> Column:
     return F.xxhash64(key, block)
 

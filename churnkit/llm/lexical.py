@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from churnkit.llm.textkit import LOWER, NOT_ALNUM, keyed_text, slices, utf8, word_bounds
 from churnkit.session import scratch_path
@@ -313,7 +314,7 @@ def document_counts(index: Index, vocabulary: pa.Array) -> np.ndarray:
     return out
 
 
-def _searcher(shared, k: int):
+def _searcher(shared, k: int, item_type: pa.DataType):
     def run(batches):
         items = shared.value
         best = [Best(k) for _ in items.ids]
@@ -336,7 +337,7 @@ def _searcher(shared, k: int):
         out = [(items.numbers[i], items.ids[i], None if null else doc, -s) for i, f in enumerate(best) for s, null, doc in f.rows]
         if out:
             number, item, doc, score = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(item), pa.array(doc, id_type),
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(item, item_type), pa.array(doc, id_type),
                                               pa.array(score, pa.int64())], ["number", "item_id", "doc_id", "score"])
     return run
 
@@ -352,11 +353,12 @@ def search(index: Index, items: DataFrame, item_id_col: str = "item_id", item_te
     spark = index.blocks.sparkSession
     id_type = index.blocks.schema["ids"].dataType.elementType.simpleString()
     item_type = items.schema[item_id_col].dataType.simpleString()
+    arrow_type = to_arrow_type(items.schema[item_id_col].dataType)
     found = None
     for block in item_blocks(items, item_id_col, item_text_col, item_chars):
         counts = document_counts(index, block.vocabulary)
         block.weights = np.array([math.floor(1000 * math.log((2 * index.n_docs + 2) / (2 * n + 1))) for n in counts.tolist()], np.int64)
-        part = index.blocks.mapInArrow(_searcher(spark.sparkContext.broadcast(block), k),
+        part = index.blocks.mapInArrow(_searcher(spark.sparkContext.broadcast(block), k, arrow_type),
                                        f"number bigint, item_id {item_type}, doc_id {id_type}, score bigint")
         found = part if found is None else found.unionAll(part)
     schema = f"item_id {item_type}, rank int, doc_id {id_type}, score bigint"

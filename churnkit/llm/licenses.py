@@ -1,23 +1,25 @@
 """License scans by conditional compression.
 
-Candidate blocks are windows of words around the mentions of a license, wide
-enough for the longest template on both sides; line breaks and comment markers
-do not end them.  In each block every passage whose words differ from a
-template in few places is found by exact approximate matching: the words of the
-template that the passage lacks, changes or adds.  Passages are compressed with
-zstandard, without help and with the template as a raw dictionary; how much the
-template shrinks the passage decides between templates with equally many
-differences.  Words of a confirmed passage are taken, and the rest of the block
-is scanned again until nothing more is confirmed.
+Candidate blocks are windows of words around the words that no confirmed
+notice can lack (``anchors``), wide enough for the longest template on both
+sides; line breaks and comment markers do not end them.  Every block is
+compressed with zstandard, alone and with each template as a raw dictionary.
+The templates are ranked by how many bytes they save; those that save too
+little are not looked at.  The first of them whose wording is confirmed wins: a
+passage of the block differs from it in few words, counted exactly as missing,
+changed and added ones, has the words that decide between licenses, and is not
+compressed better by a template of another license.  Its words are taken, and
+the rest of the block is ranked again until nothing more is confirmed.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from churnkit.llm.textkit import keyed_text
 
 # Wording of common license notices and the identifier they stand for.
-TEMPLATES = {
+NOTICES = {
     "Apache-2.0 notice": ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     "Apache-2.0 header": ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this '
                           "file except in compliance with the License. You may obtain a copy of the License at "
@@ -43,23 +45,75 @@ TEMPLATES = {
     "GPL-2.0 notice": ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     "LGPL-3.0 notice": ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     "AGPL-3.0 notice": ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    "BSD-3-Clause grant": ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are "
-                           "permitted provided that the following conditions are met:"),
+    "BSD sentence": ("BSD-2-Clause OR BSD-3-Clause", "Redistribution and use in source and binary forms, with or without "
+                     "modification, are permitted provided that the following conditions are met:"),
     "MPL-2.0 header": ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     "CC-BY-4.0 notice": ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     "CC-BY-SA-4.0 notice": ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     "CC-BY-NC-4.0 notice": ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     "CC0-1.0 notice": ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights."),
+    "MIT licensed": ("MIT", "Licensed under the MIT license."),
+    "BSD-2-Clause notice": ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    "BSD-3-Clause notice": ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    "BSD-2-Clause grant": ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are "
+                           "permitted provided that the following conditions are met: 1. Redistributions of source code must retain "
+                           "the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in "
+                           "binary form must reproduce the above copyright notice, this list of conditions and the following "
+                           "disclaimer in the documentation and/or other materials provided with the distribution."),
+    "BSD-3-Clause grant": ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are "
+                           "permitted provided that the following conditions are met: 1. Redistributions of source code must retain "
+                           "the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in "
+                           "binary form must reproduce the above copyright notice, this list of conditions and the following "
+                           "disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the "
+                           "name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                           "products derived from this software without specific prior written permission."),
+    "ISC grant": ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+                  "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "Unlicense": ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    "BSL-1.0 notice": ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    "EPL-2.0 notice": ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse "
+                       "Public License 2.0"),
+    "GPL-2.0 header": ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                       "General Public License as published by the Free Software Foundation; either version 2 of the License, or (at "
+                       "your option) any later version."),
+    "LGPL-2.1 header": ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the "
+                        "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+                        "License, or (at your option) any later version."),
+    "LGPL-3.0 header": ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the "
+                        "GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+                        "License, or (at your option) any later version."),
+    "AGPL-3.0 header": ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the "
+                        "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                        "License, or (at your option) any later version."),
+    "Zlib disclaimer": ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the "
+                        "authors be held liable for any damages arising from the use of this software."),
+    "WTFPL": ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and "
+              "changing it is allowed as long as the name is changed."),
+    "Artistic-2.0 notice": ("Artistic-2.0", "Licensed under the Artistic License 2.0."),
+    "CDDL-1.0 header": ("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution "
+                        "License."),
+    "OFL-1.1 notice": ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    "EUPL-1.2 notice": ("EUPL-1.2", "Licensed under the European Union Public Licence, Version 1.2."),
+    "MS-PL notice": ("MS-PL", "This source code is licensed under the Microsoft Public License."),
+    "PSF-2.0 notice": ("PSF-2.0", "Licensed under the Python Software Foundation License Version 2."),
+    "PostgreSQL notice": ("PostgreSQL", "Released under the PostgreSQL License."),
+    "CC-BY-ND-4.0 notice": ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    "CC-BY-NC-SA-4.0 notice": ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    "CC-BY-NC-ND-4.0 notice": ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+}
+SENTENCES = {
+    "CC-BY-4.0 sentence": ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC-BY-SA-4.0 sentence": ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
+                              "International License."),
 }
-# what may stand between two words of a wrapped notice, with the comment markers that are words themselves
-_GAP = r"\W+(?:(?:dnl|rem)\W+)?"
-SIGNAL = re.compile("licen[sc]|copyright|" + "|".join(
-    p.replace(" ", _GAP) for p in ("permission is hereby", "redistribution and use", "free software", "creative commons")),
-    re.IGNORECASE)
+# every license has its identifier line as well
+LINES = {f"{v} line": (v, f"SPDX-License-Identifier: {v}") for v in sorted({v for v, _ in NOTICES.values()}) if " " not in v}
+TEMPLATES = NOTICES | LINES | SENTENCES
 WORD = re.compile(r"[0-9A-Za-z]+(?:[.'/-][0-9A-Za-z]+)*")
 LINE_MARKER = re.compile(r"^[ \t]*(dnl|rem)\b", re.IGNORECASE | re.MULTILINE)
 CLOSING = re.compile(r"""[.,;:!?)\]"']*""")
 MIN_GAIN = 0.25
+LEVEL = 6
 MAX_WRONG = 0.15
 
 
@@ -89,17 +143,48 @@ class Scanner:
             for i, v in enumerate(w):
                 places[v] = places.get(v, 0) | 1 << i
             self.places.append(places)
+        # any passage with at most ``allowed`` differences holds one of allowed + 1 different words
+        self.anchors = [set(sorted(set(w), key=lambda v: (-len(v), v))[:n + 1]) for w, n in zip(self.words, self.allowed)]
+        self.anchor_words = set().union(*self.anchors)
+        self.finder = ahocorasick.Automaton()
+        for v in self.anchor_words:
+            self.finder.add_word(v, v)
+        if self.anchor_words:
+            self.finder.make_automaton()
+        self.deciding = [self._deciding(i) for i in range(len(self.words))]
         self.reach = max((len(w) + n for w, n in zip(self.words, self.allowed)), default=0)
-        self.plain = zstandard.ZstdCompressor(level=19)
-        self.primed = [zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(
-            " ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.words]
-        self.gain = lru_cache(20_000)(self._gain)
+        self.plain = zstandard.ZstdCompressor(level=LEVEL)
+        self.primed = []
+        for w in self.words:
+            template = zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            template.precompute_compress(level=LEVEL)
+            self.primed.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=template))
+        self.alone = lru_cache(20_000)(lambda passage: len(self.plain.compress(passage.encode())))
+        self.saved = lru_cache(50_000)(self._saved)
+
+    def _deciding(self, i: int) -> Counter:
+        """Words that a notice of this template cannot lack: those with digits, and those that tell it from a much
+        alike template of another license."""
+        out = {w for w in self.words[i] if any(c.isdigit() for c in w)}
+        for j, other in enumerate(self.counts):
+            extra = self.counts[i] - other
+            if self.licenses[j] != self.licenses[i] and extra.total() <= max(2, self.allowed[i]):
+                out |= set(extra)
+        return Counter({w: self.counts[i][w] for w in out})
 
-    def _gain(self, i: int, passage: str) -> float:
-        """The share of the template's own words that its dictionary saved on the passage."""
-        raw = passage.encode()
-        alone = len(self.plain.compress(raw))
-        return (alone - len(self.primed[i].compress(raw))) / max(1, min(alone, len(" ".join(self.words[i]))))
+    def _saved(self, i: int, passage: str) -> int:
+        """Bytes that the template as dictionary saves on the passage."""
+        return self.alone(passage) - len(self.primed[i].compress(passage.encode()))
+
+    def gain(self, i: int, passage: str) -> float:
+        """The bytes saved as a share of the template's own, or of the passage's where that is smaller."""
+        return self.saved(i, passage) / max(1, min(self.alone(passage), len(" ".join(self.words[i]))))
+
+    def ranking(self, said: list[str]) -> list[int]:
+        """Templates that save enough on these words, those that save most first; of equal ones the longer."""
+        block, here = " ".join(said), set(said)
+        near = [i for i, a in enumerate(self.anchors) if a & here and self.gain(i, block) >= MIN_GAIN]
+        return sorted(near, key=lambda i: (-self.saved(i, block), -len(self.words[i]), i))
 
     def distances(self, i: int, said: list[str]) -> list[int]:
         """Fewest differences between template ``i`` and a passage that ends with each word (bit-parallel edit distance)."""
@@ -162,12 +247,27 @@ class Scanner:
                 out.append((a + low, b + low, *wording))
         return out
 
+    def confirmed_by(self, i: int, said: list[str], rivals: list[int]) -> list[tuple[int, int, int, int, int]]:
+        """The passages of ``said`` that template ``i`` explains: few differences, every deciding word, and no rival of
+        another license that saves more on the passage."""
+        out = []
+        for x, y, *wording in self.passages(i, said):
+            passage = said[x:y + 1]
+            if self.deciding[i] - Counter(passage):
+                continue
+            text = " ".join(passage)
+            mine = self.saved(i, text)
+            if self.gain(i, text) >= MIN_GAIN and not any(
+                    self.licenses[j] != self.licenses[i] and self.saved(j, text) > mine for j in rivals):
+                out.append((x, y, *wording))
+        return out
+
     def confirmed(self, said: list[str], free: list[bool], low: int, high: int, own: set[int]):
         """Every passage among the free words from ``low`` to ``high`` that a template explains and that has one of
         the places ``own``; takes its words.  Yields (first, last, license, template, gain, missing, changed, added)."""
-        while True:
-            found = []
-            a = low
+        more = True
+        while more:
+            more, a = False, low
             while a < high:
                 if not free[a]:
                     a += 1
@@ -175,32 +275,24 @@ class Scanner:
                 b = a
                 while b < high and free[b]:
                     b += 1
-                for i in range(len(self.names)):
-                    for x, y, *wording in self.passages(i, said[a:b]):
-                        x, y = x + a, y + a
-                        if not any(p in own for p in range(x, y + 1)):
-                            continue
-                        gain = self.gain(i, " ".join(said[x:y + 1]))
-                        if gain >= MIN_GAIN:
-                            found.append((sum(wording), -gain, -len(self.words[i]), self.licenses[i], self.names[i], x, y, wording))
+                ranked = self.ranking(said[a:b])
+                for i in ranked:
+                    hits = [(x + a, y + a, *w) for x, y, *w in self.confirmed_by(i, said[a:b], ranked)]
+                    hits = [h for h in hits if any(p in own for p in range(h[0], h[1] + 1))]
+                    for x, y, *wording in hits:
+                        free[x:y + 1] = [False] * (y + 1 - x)
+                        yield x, y, self.licenses[i], self.names[i], round(self.gain(i, " ".join(said[x:y + 1])), 4), *wording
+                    if hits:  # what is left of the block is ranked anew
+                        more = True
+                        break
                 a = b
-            if not found:
-                return
-            # a passage inside a longer one of the same license says nothing of its own
-            found = [c for c in found if not any(
-                c[3] == o[3] and o[5] <= c[5] and c[6] <= o[6] and o[6] - o[5] > c[6] - c[5] for o in found)]
-            # the fewest differences win, then the better compression; what overlaps a winner is searched again
-            for _, gain, _, name, template, x, y, wording in sorted(found):
-                if all(free[x:y + 1]):
-                    free[x:y + 1] = [False] * (y + 1 - x)
-                    yield x, y, name, template, round(-gain, 4), *wording
 
     def scan(self, text: str | None):
         """(start, end, license, template, gain, missing, changed, added) of each passage that a template explains."""
-        if not text or not SIGNAL.search(text):
+        if not text or not self.anchor_words or next(self.finder.iter(text.lower()), None) is None:
             return
         said, starts, ends = placed_words(text)
-        mentions = sorted({max(0, bisect_right(starts, m.start()) - 1) for m in SIGNAL.finditer(text)}) if said else []
+        mentions = [i for i, w in enumerate(said) if w in self.anchor_words]
         free, found, done = [True] * len(said), [], 0
         while done < len(mentions):
             # the mentions of one block, which reaches far enough to both sides of each of them

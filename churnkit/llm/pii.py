@@ -3,6 +3,7 @@
 Base kinds (email, ip, card, phone) are kept by the pattern and its check
 alone.  The extra kinds (iban, ssn) are weaker patterns, so they are kept only
 when a checksum (mod 97) and context words lift their score to ``min_score``.
+Scores are worked out in hundredths; context words count as whole words.
 
 Every scan is linear in the text: patterns consume whole runs with possessive
 quantifiers, and e-mail addresses are found from their ``@`` outwards.
@@ -45,7 +46,17 @@ SUPPORTING = {
     "ssn": ("ssn", "social security", "tax id", "taxpayer"),
 }
 OPPOSING = ("example", "sample", "dummy", "version", "isbn", "order", "invoice", "test")
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7, "ssn": 0.3}
+PRIOR = {"email": 80, "ip": 60, "card": 80, "phone": 60, "iban": 70, "ssn": 30}  # hundredths
+LIFT = {"email": 20, "ip": 20, "card": 20, "phone": 20, "iban": 20, "ssn": 40}
+DROP = 20
+
+
+def _any_word(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"(?<![^\W_])(?:" + "|".join(words) + r")(?![^\W_])", re.IGNORECASE)
+
+
+_SUPPORTING = {kind: _any_word(words) for kind, words in SUPPORTING.items()}
+_OPPOSING = _any_word(OPPOSING)
 
 
 def luhn(digits: str) -> bool:
@@ -115,17 +126,23 @@ def ssns(text: str) -> Iterator[tuple[int, int]]:
         yield m.span()
 
 
-def score(text: str, kind: str, start: int, end: int) -> float:
-    """Prior of the confirmed pattern, moved by the words within CONTEXT_CHARS on both sides."""
-    near = (text[max(0, start - CONTEXT_CHARS):start] + " " + text[end:end + CONTEXT_CHARS]).lower()
-    s = PRIOR[kind]
-    if any(w in near for w in SUPPORTING[kind]):
-        s += 0.2
-    if kind == "ssn" and any(w in near for w in SUPPORTING[kind]):
-        s += 0.2
-    if any(w in near for w in OPPOSING):
-        s -= 0.2
-    return min(1.0, max(0.0, s))
+def score(text: str, kind: str, start: int, end: int) -> int:
+    """Prior of the confirmed pattern in hundredths, moved by whole words within CONTEXT_CHARS on both sides."""
+    low, high = max(0, start - CONTEXT_CHARS), min(len(text), end + CONTEXT_CHARS)
+
+    def whole(words):  # a word that the window cuts is none
+        m = words.search(text, low, start)
+        while m and m.start() == low and low and text[low - 1].isalnum():
+            m = words.search(text, m.end(), start)
+        if m:
+            return True
+        m = words.search(text, end, high)
+        while m and m.end() == high and high < len(text) and text[high].isalnum():
+            m = words.search(text, m.end(), high)
+        return bool(m)
+
+    s = PRIOR[kind] + (LIFT[kind] if whole(_SUPPORTING[kind]) else 0) - (DROP if whole(_OPPOSING) else 0)
+    return min(100, max(0, s))
 
 
 def find_spans(text: str | None, min_score: float = MIN_SCORE) -> list[tuple[str, int, int, float]]:
@@ -142,8 +159,8 @@ def find_spans(text: str | None, min_score: float = MIN_SCORE) -> list[tuple[str
     out = []
     for kind, a, b in found:
         s = score(text, kind, a, b)
-        if kind in BASE_KINDS or s >= min_score:
-            out.append((kind, a, b, s))
+        if kind in BASE_KINDS or s >= round(100 * min_score):
+            out.append((kind, a, b, s / 100))
     return out
 
 

@@ -84,7 +84,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count_of(k) for k in pii.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(text_of(pii.BASE_KINDS), 256).alias("base_sha256"),
-                        text_of(pii.KINDS).alias("spans"))
+                        text_of(pii.KINDS).alias("spans"),
+                        F.array_join(F.transform("found", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",").alias("scores"))
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

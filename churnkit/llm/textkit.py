@@ -198,26 +198,73 @@ def ngrams(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return mix(g[at] + np.uint64(k)), at
 
 
+SLOTS = 4096
+SAMPLE_LEVELS = 4
+SAMPLE_JOBS = 8
+
+
 def hash_sample(rows: DataFrame, id_col: str, per_group: int, group_col: str | None = None) -> Column:
-    """A condition that holds for at most ``per_group`` rows of each group, those with the smallest
-    hashed ids (or one of 4,096 hash slots, if the first alone holds more).
+    """A condition that holds for at most ``per_group`` rows of each group, chosen by hashed id.
 
-    The cuts come from counts over all rows, so the choice is the same on every run.
+    The hash deals rows into slots, which are taken whole in their order while they fit.  One that does not fit is
+    dealt anew by another hash, so that the bound holds at any size; rows of one id stay together, and an id with more
+    rows than are left to take is passed over.  The cuts come from counts over all rows, so the choice is the same on
+    every run.
     """
     group = rows[group_col] if group_col else F.lit("")
-    slot = F.pmod(F.xxhash64(rows[id_col]), F.lit(4096)).cast("int")
-    counts = rows.groupBy(group.alias("g"), slot.alias("slot")).count().collect()
-    taken, cut = {}, {}
-    for r in sorted((r for r in counts if r["g"] is not None), key=lambda r: (str(r["g"]), r["slot"])):
-        total = taken.get(r["g"], 0) + r["count"]
-        if total <= per_group or r["g"] not in cut:
-            cut[r["g"]] = r["slot"]
-        else:
-            total = per_group + 1
-        taken[r["g"]] = total
+    slots = [F.pmod(F.xxhash64(rows[id_col], *([F.lit(n)] if n else [])), F.lit(SLOTS)).cast("int") for n in range(SAMPLE_LEVELS)]
+
+    def below(path):
+        out = F.lit(True)
+        for c, v in zip(slots, path):
+            out = out & (c == v)
+        return out
+
+    def counts(inside):
+        """Rows per group, path and slot below the wanted (group, path) pairs; all of one level a job."""
+        out: dict = {}
+        for level in sorted({len(path) for _, path in inside}):
+            wanted = F.lit(False)
+            name = F.lit("")
+            for g, path in inside:
+                if len(path) == level:
+                    here = (F.lit(True) if g is None else group == F.lit(g)) & below(path)
+                    wanted = wanted | here
+                    name = F.when(here, F.lit(",".join(map(str, path)))).otherwise(name)
+            got = rows.where(wanted).groupBy(group.alias("g"), name.alias("path"), slots[level].alias("slot")).count().collect()
+            for r in got:
+                if r["g"] is not None:
+                    out.setdefault((r["g"], tuple(map(int, filter(None, r["path"].split(","))))), {})[r["slot"]] = r["count"]
+        return out
+
+    taken: dict = {}
+    found = counts([(None, ())])
+    left = {g: per_group for g, _ in found}
+    # per group what is still to be looked through, the next one last: (path, sorted slots with counts)
+    todo = {g: [(path, sorted(c.items()))] for (g, path), c in found.items()}
+    for _ in range(SAMPLE_JOBS):
+        again = []
+        for g, stack in todo.items():
+            while stack and left[g] > per_group // 10:
+                path, some = stack.pop()
+                for i, (slot, n) in enumerate(some):
+                    if n <= left[g]:
+                        left[g] -= n
+                        taken.setdefault((g, path), []).append(slot)
+                    elif len(path) + 1 < SAMPLE_LEVELS:
+                        stack.append((path, some[i + 1:]))
+                        again.append((g, (*path, slot)))
+                        break
+                if again and again[-1][0] == g:
+                    break
+        if not again:
+            break
+        for (g, path), c in counts(again).items():
+            todo[g].append((path, sorted(c.items())))
     keep = F.lit(False)
-    for g, last in cut.items():
-        keep = keep | ((group == F.lit(g)) & (slot <= last))
+    for (g, path), some in sorted(taken.items(), key=repr):
+        last = slots[len(path)]
+        keep = keep | ((group == F.lit(g)) & below(path) & last.isin(some))
     return keep
 
 

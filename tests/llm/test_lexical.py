@@ -101,6 +101,13 @@ def test_equal_scores_go_by_id(spark):
     assert got == brute(docs, items)
 
 
+def test_ids_of_other_types_and_null_items(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id int, text string")
+    for kind, value in (("int", 5), ("string", "x"), ("int", None)):
+        items = spark.createDataFrame([(value, "c")], f"item_id {kind}, text string")
+        assert rows_of(x.lexical_search(docs, items)) == [(value, 1, 2, brute([(1, "a b"), (2, "b c")], [(value, "c")])[0][3])]
+
+
 def test_ids_may_be_text(odd):
     items = odd.selectExpr("'i' || doc_id as item_id", "text")
     named = odd.selectExpr("'n' || doc_id as doc_id", "text")
