@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from churnkit.llm.components import components
 from churnkit.llm.manifest import ranked, written
-from churnkit.llm.textkit import LOWER, PLACE, keyed_text, mix, ngrams, slices, utf8, word_bounds, word_hashes
+from churnkit.llm.textkit import LOWER, PLACE, arrow_rows, keyed_text, mix, ngrams, slices, utf8, word_bounds, word_hashes
 from churnkit.session import reliable, scratch_path
 
 SHINGLE = 4
@@ -45,6 +45,7 @@ BLOCK = 8192
 FREQUENT = 2_000_000
 COUNTED_AT_ONCE = 2_000_000
 BROADCAST_IDS = 1_000_000
+PAIRS_AT_ONCE = 500  # two full sets a row
 
 
 def shingle_sets(column, k: int = SHINGLE) -> list[np.ndarray]:
@@ -431,7 +432,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     asked = reliable(_searched(dealt, signed, percent, None))
     pairs = asked.select("a", "b").distinct()
     sets = full_sets(docs, ends(pairs), shingle)
-    edges = reliable(verified(pairs, sets, percent))
+    with arrow_rows(spark, PAIRS_AT_ONCE):
+        edges = reliable(verified(pairs, sets, percent))
 
     # second pass: pairs of different components
     found = components(edges)
@@ -450,7 +452,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # sets that only pairs across the blocks of a large bucket ask for are still to be fetched
     missing = ends(pairs).join(sets.select("v").distinct(), F.col("id") == F.col("v"), "left_anti")
     sets = sets.unionAll(full_sets(docs, missing, shingle))
-    links = reliable(edges.unionAll(verified(pairs, sets, percent)))
+    with arrow_rows(spark, PAIRS_AT_ONCE):
+        links = reliable(edges.unionAll(verified(pairs, sets, percent)))
     found = components(links)
 
     labels = classes.join(found, F.col("v") == F.col("node"), "left").select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -198,6 +199,18 @@ def ngrams(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return mix(g[at] + np.uint64(k)), at
 
 
+@contextmanager
+def arrow_rows(spark, most: int):
+    """Plans made inside hand at most ``most`` rows at a time to Python; for rows that may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 SLOTS = 4096
 SAMPLE_LEVELS = 4
 SAMPLE_JOBS = 8
