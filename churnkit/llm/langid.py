@@ -114,7 +114,8 @@ class Node:
         ws, bs = [], []
         for i, j in combinations(range(len(self.names)), 2):
             rows = (y == i) | (y == j)
-            w, b = fit_svm(x[rows], np.where(y[rows] == i, 1.0, -1.0).astype(np.float32))
+            # only the rows of one pair are held in full precision
+            w, b = fit_svm(x[rows].astype(np.float32), np.where(y[rows] == i, 1.0, -1.0).astype(np.float32))
             self.pairs.append((i, j))
             ws.append(w)
             bs.append(b)
@@ -184,14 +185,18 @@ def sample_features(df: DataFrame, id_col: str, text_col: str, lang_col: str,
         run, "lang string, x binary, known boolean").toArrow()
     # the same order on every run
     got = got.sort_by([("lang", "ascending"), ("x", "ascending"), ("known", "ascending")])
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, DIM)
-    return x, got["lang"].to_pylist(), np.array(got["known"].to_pylist(), bool)
+    langs, known = got["lang"].to_pylist(), np.array(got["known"].to_pylist(), bool)
+    x = np.empty((len(langs), DIM), np.float16)
+    for i, row in enumerate(got["x"]):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    del got
+    pa.default_memory_pool().release_unused()
+    return x, langs, known
 
 
 def fit_nodes(x: np.ndarray, langs: list[str]) -> LanguageModel | None:
     if not langs:
         return None
-    x = x.astype(np.float32)
     names = sorted(set(langs))
     family_of = {lang: FAMILY_OF.get(lang, f"only {lang}") for lang in names}
     families = sorted(set(family_of.values()))
@@ -223,9 +228,11 @@ def rejection_scores(x: np.ndarray, langs: list[str], known: np.ndarray, quantil
         model = fit_nodes(x[rest], [langs[i] for i in rest])
         if model is None or not len(rows):
             continue
-        for i, lang, score in zip(rows, *model.predict(x[rows].astype(np.float32))):
-            if lang == langs[i]:
-                scores[lang].append(float(score))
+        for s in range(0, len(rows), ROWS_AT_ONCE):
+            some = rows[s:s + ROWS_AT_ONCE]
+            for i, lang, score in zip(some, *model.predict(x[some].astype(np.float32))):
+                if lang == langs[i]:
+                    scores[lang].append(float(score))
     return {lang: float(np.quantile(s, quantile, method="lower")) if s else 0.0 for lang, s in scores.items()}
 
 
