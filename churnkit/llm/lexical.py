@@ -32,6 +32,10 @@ BLOCK_BYTES = 4 << 20
 ITEM_CHARS = 8 << 20
 RANGES = 128
 TOP = 10
+# A row of the index is megabytes long.  Parquet looks at the size of what it holds only after 100 rows and reads the pages
+# of a row group whole, so every row is looked at: a group ends with the row that makes it full, a page with its value.
+INDEX_FORMAT = {"compression": "zstd", "parquet.block.size": str(BLOCK_BYTES), **{
+    f"parquet.{what}.size.row.check.{end}": "1" for what in ("block", "page") for end in ("min", "max")}}
 
 # for the sixteen sets of quarters: how many of them come before a quarter, -1 where it is empty
 _SET = np.arange(16)[:, None] >> np.arange(4) & 1
@@ -256,7 +260,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     blocks = docs.mapInArrow(run, f"ids array<{id_type}>, terms array<string>, counts array<int>, height int, "
                                   "masks binary, maxima binary")
     path = scratch_path(df.sparkSession, "lexical-index")
-    blocks.write.option("compression", "zstd").parquet(path)
+    blocks.write.options(**INDEX_FORMAT).parquet(path)
     return Index(df.sparkSession.read.parquet(path), n_docs, n_terms)
 
 

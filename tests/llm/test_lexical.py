@@ -134,3 +134,19 @@ def test_most_ranges_stay_closed(small, monkeypatch):
     counts = got["counts"][rows]
     x.descend(treap, level, nodes, rows, np.floor(1000 * np.log(402 / (2 * counts + 1))).astype(np.int64), got["ids"].to_pylist(), best, 2)
     assert sum(n for lv, n in opened if lv == treap.height - 1) < len(ids)
+
+
+def test_a_task_holds_few_rows_of_the_index(spark):
+    """Blocks are megabytes long: those that one task writes come in several row groups, each about as large as a block."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"{v:x}" for v in rng.integers(0, 1 << 40, 100_000).tolist()) for _ in range(16)]
+    docs = spark.createDataFrame([(f"d{i:02d}", t) for i, t in enumerate(texts)], "doc_id string, text string").coalesce(1)
+    index = x.build_index(docs, block_bytes=1 << 20)
+    groups = [m.row_group(g) for f in index.blocks.inputFiles() if (m := pq.read_metadata(f.removeprefix("file://"))).num_rows
+              for g in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 16
+    assert max(g.num_rows for g in groups) <= 4 and max(g.total_byte_size for g in groups) <= 4 * x.BLOCK_BYTES
+    items = spark.createDataFrame([(1, texts[5][:200])], "item_id int, text string")
+    assert x.search(index, items).first()["doc_id"] == "d05"
